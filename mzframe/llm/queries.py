@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mzframe.llm import common, url_filter, warc
+from mzframe.llm import byte_bpe, common, pii, url_filter, warc
 
 #: Fixed by the queries' contract.
 URL_RULES = [
@@ -17,6 +17,19 @@ URL_RULES = [
 ]
 
 
+def tokenizer() -> tuple[str, str]:
+    """Path of the rank file and the pattern."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path, pattern = tokenizer()
+    return byte_bpe.encode(docs, byte_bpe.load_ranks(spark, path), pattern, byte_bpe.digests, byte_bpe.DIGESTS)
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return url_filter.judge(pages, URL_RULES, url_filter.fit(pages))
@@ -31,8 +44,14 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.select(F.col("metadata.capture_key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", refers_to, "target_uri")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES = {
+    "op3_byte_bpe": op3_byte_bpe,
     "op6_url_filter": op6_url_filter,
     "op8_warc": op8_warc,
+    "op10_pii": op10_pii,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mzframe.llm import byte_bpe, common, pii, url_filter, warc
+from mzframe.llm import byte_bpe, common, mtree, multi_index, pii, url_filter, warc
 
 #: Fixed by the queries' contract.
 URL_RULES = [
@@ -24,6 +24,10 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.93)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path, pattern = tokenizer()
@@ -35,6 +39,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES, url_filter.fit(pages))
 
 
+def op7_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=5, scale=256, every=50)
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     path = common.scratch_path(spark, "warc")
@@ -49,9 +57,37 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_multi_index": op2_multi_index,
     "op3_byte_bpe": op3_byte_bpe,
     "op6_url_filter": op6_url_filter,
+    "op7_mtree": op7_mtree,
     "op8_warc": op8_warc,
     "op10_pii": op10_pii,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Brute force over the same rows.
+ORACLE_SQL = {
+    "op2_multi_index": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS vec FROM embeddings
+), good AS (
+  SELECT vec_id, label, list_transform(vec, lambda x: x / sqrt(list_sum(list_transform(vec, lambda y: y * y)))) AS u FROM v
+  WHERE label IS NOT NULL AND vec IS NOT NULL AND list_count(vec) = len(vec) AND len(vec) > 0
+    AND list_bool_and(list_transform(vec, lambda x: isfinite(x))) AND list_sum(list_transform(vec, lambda y: y * y)) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.u) = len(b.u)
+  WHERE list_dot_product(a.u, b.u) >= 0.93
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+), low AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, low.component_id, v.vec_id = low.component_id AS kept
+FROM v JOIN low ON low.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id""",
+    "op7_mtree": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vec FROM embeddings
+  WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND list_bool_and(list_transform(embedding, lambda x: isfinite(x)))
+), s AS (
+  SELECT q.vec_id AS query_id, y.vec_id, list_dot_product(q.vec, y.vec)::BIGINT AS score
+  FROM v q JOIN v y ON q.vec_id % 50 = 0 AND q.vec_id <> y.vec_id AND len(q.vec) = len(y.vec)
+), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5""",
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mzframe.llm import byte_bpe, common, mtree, multi_index, pii, raking, url_filter, warc, weak_labels
+from mzframe.llm import byte_bpe, common, mtree, multi_index, near_dedup, pii, raking, url_filter, warc, weak_labels
 
 #: Fixed by the queries' contract.
 URL_RULES = [
@@ -66,6 +66,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.select(F.col("metadata.capture_key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", refers_to, "target_uri")
 
 
+def op9_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), threshold=0.8)
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -78,6 +82,7 @@ QUERIES = {
     "op6_url_filter": op6_url_filter,
     "op7_mtree": op7_mtree,
     "op8_warc": op8_warc,
+    "op9_weighted_minhash": op9_weighted_minhash,
     "op10_pii": op10_pii,
 }
 #: Brute force over the same rows.

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mzframe.llm import byte_bpe, common, mtree, multi_index, near_dedup, pii, raking, url_filter, warc, weak_labels
+from mzframe.llm import byte_bpe, common, license_scan, mtree, multi_index, near_dedup, pii, raking, url_filter, warc, weak_labels
+from mzframe.llm.license_templates import TEMPLATES
 
 #: Fixed by the queries' contract.
 URL_RULES = [
@@ -24,6 +25,10 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), TEMPLATES, threshold=0.8)
+
+
 def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.93)
 
@@ -75,6 +80,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_multi_index": op2_multi_index,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_weak_labels": op4_weak_labels,

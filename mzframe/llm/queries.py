@@ -40,7 +40,8 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weak_labels.classify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return weak_labels.classify(docs, weak_labels.fit(docs))
 
 
 #: Powers that temper the natural shares.

@@ -186,8 +186,27 @@ def count_patterns(docs: DataFrame, text: str = "text") -> list[tuple[tuple[int,
     return sorted((tuple(r["votes"]), r["n"]) for r in counted.collect())
 
 
-def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5, sample_docs: int = 4_000, dimensions: int = 1 << 14) -> DataFrame:
-    """doc_id, votes (in the order of NAMES), posterior, score, kept: score is the linear scorer's probability of good."""
+@dataclass
+class Scorer:
+    """A fitted model; it is sent to executors, where every task makes its own hashing memo."""
+
+    model: LabelModel
+    weights: np.ndarray
+    bias: float
+
+    def texts(self, features: Features, texts: pd.Series) -> tuple[list[tuple[int, ...]], np.ndarray]:
+        """Votes and the probability of good for each text."""
+        votes, logits = [], []
+        for t in texts:
+            words, cast = _parts(t)
+            keys, values = features.of(words)
+            votes.append(cast)
+            logits.append(float(self.weights[keys] @ values) + self.bias)
+        return votes, 1 / (1 + np.exp(-np.clip(logits, -50, 50)))
+
+
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_docs: int = 4_000, dimensions: int = 1 << 14) -> Scorer:
+    """EM over the vote patterns of all documents, then the linear scorer on a sample of at most sample_docs."""
     patterns = count_patterns(docs, text)
     model = fit_labels(patterns, len(NAMES))
     total = sum(n for _, n in patterns)
@@ -207,20 +226,30 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresh
     got = sample.select("text").mapInPandas(featurise, "votes array<int>, keys array<int>, values array<double>").toPandas()
     target = model.posterior(np.array(list(got["votes"]), int).reshape(len(got), len(NAMES)))
     weights, bias = train([(np.asarray(k), np.asarray(v)) for k, v in zip(got["keys"], got["values"], strict=True)], target, dimensions)
+    return Scorer(model, weights, bias)
+
 
+def classify(docs: DataFrame, scorer: Scorer, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """doc_id, votes (in the order of NAMES), posterior, score, kept: score is the linear scorer's probability of good."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        features = Features(dimensions)
+        features = Features(len(scorer.weights))
         for batch in filter(len, batches):
-            votes, logits = [], []
-            for t in batch["text"]:
-                words, cast = _parts(t)
-                keys, values = features.of(words)
-                votes.append(cast)
-                logits.append(float(weights[keys] @ values) + bias)
-            p = 1 / (1 + np.exp(-np.clip(logits, -50, 50)))
-            posterior = model.posterior(np.array(votes, int).reshape(len(batch), len(NAMES)))
+            votes, p = scorer.texts(features, batch["text"])
+            posterior = scorer.model.posterior(np.array(votes, int).reshape(len(batch), len(NAMES)))
             yield batch[["doc_id"]].assign(votes=[list(v) for v in votes], posterior=posterior, score=p, kept=p >= threshold)
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(score, f"doc_id {kind}, votes array<int>, posterior double, score double, kept boolean")
+
+
+def accepted(docs: DataFrame, scorer: Scorer, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows whose text scores at least the threshold, unchanged."""
+
+    @F.pandas_udf("boolean")
+    def good(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        features = Features(len(scorer.weights))
+        for batch in batches:
+            yield pd.Series(scorer.texts(features, batch)[1] >= threshold, dtype=bool)
+
+    return docs.where(good(text))

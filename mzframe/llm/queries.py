@@ -49,7 +49,9 @@ MIX_TARGETS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 
 
 def op5_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = raking.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), MIX_TARGETS, budget_share=0.8)
+    described = raking.describe(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    described = common.materialize(described.select("doc_id", "source_group", "lang_group", "topic_group", "n_tokens"), "described")
+    mixed = raking.sample(described, MIX_TARGETS, budget_share=0.8)
     rounded = (F.round(c, 6).alias(c) for c in ("factor", "probability"))
     return mixed.select("doc_id", "source_group", "lang_group", "topic_group", "n_tokens", *rounded, "sampled")
 

@@ -102,23 +102,27 @@ def uniform(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def mix(docs: DataFrame, targets: Mapping[str, float | Mapping[str, float]], budget_share: float = 0.8, topic: Column | None = None, sweeps: int = 8, seed: int = 11, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with source_group, lang_group, topic_group, n_tokens, factor, probability, sampled.
-
-    targets: for each of source, lang and topic a power that tempers natural shares, or shares by
-    category. Columns of docs that clash with the new ones are replaced."""
-    made = {
+def describe(docs: DataFrame, topic: Column | None = None, text: str = "text") -> DataFrame:
+    """docs with source_group, lang_group, topic_group and n_tokens; columns of these names are replaced."""
+    return docs.withColumns({
         "source_group": _category(F.col("source")),
         "lang_group": _category(F.col("lang")),
         "topic_group": _category(topic if topic is not None else form_topic(F.col(text))),
         "n_tokens": token_count(F.col(text)),
-    }
-    docs = docs.drop("factor", "probability", "sampled").withColumns(made)
+    })
+
+
+def sample(described: DataFrame, targets: Mapping[str, float | Mapping[str, float]], budget_share: float = 0.8, sweeps: int = 8, seed: int = 11, doc_id: str = "doc_id") -> DataFrame:
+    """Described documents with factor, probability and sampled.
+
+    targets: for each of source, lang and topic a power that tempers natural shares, or shares by
+    category. `described` is read twice; where its texts are not needed, a narrow written table of
+    its other columns spares the second look at them."""
+    described = described.drop("factor", "probability", "sampled")
     groups = {f"{d}_group": d for d in DIMENSIONS}
-    cells = docs.groupBy(*groups).agg(F.sum("n_tokens").alias("tokens"))
-    cells = materialize(cells, "cells")
+    cells = materialize(described.groupBy(*groups).agg(F.sum("n_tokens").alias("tokens")), "cells")
     cells = rake(cells, {f"{d}_group": targets.get(d, 1.0) for d in DIMENSIONS}, sweeps)
     cells = materialize(calibrate(cells, budget_share).select(*groups, "factor", "probability"), "raked")
-    out = docs.join(cells, list(groups), "left")
+    out = described.join(cells, list(groups), "left")
     out = out.withColumns({"factor": F.coalesce("factor", F.lit(1.0)), "probability": F.coalesce("probability", F.lit(float(min(1.0, budget_share))))})
     return out.withColumn("sampled", uniform(F.col(doc_id), seed) < F.col("probability"))

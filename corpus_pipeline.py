@@ -30,7 +30,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample of documents by source, language and form of text."""
-    return raking.mix(docs, queries.MIX_TARGETS, budget_share=0.9).where("sampled").select(*docs.columns)
+    return raking.sample(raking.describe(docs), queries.MIX_TARGETS, budget_share=0.9).where("sampled").select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

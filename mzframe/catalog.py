@@ -389,18 +389,25 @@ def token_files(spark, d):
 
 
 def mzml_scan(spark, d):
-    """Writes the spectra as mzML elements and reads them with the XML source."""
-    path = _scratch(spark)
-    cv = lambda accession, value="", unit="": f'<cvParam cvRef="MS" accession="{accession}" name="" value="{value}"{unit}/>'
+    """Writes the spectra as elements of mzML files with Spark's XML sink, and reads these with the mzML source."""
+    path, groups = _scratch(spark), _scratch(spark)
+    text = lambda v: F.lit(v).cast("string")
+    cv = lambda accession, value="", unit=None: F.struct(text(accession).alias("_accession"), text(value).alias("_value"), text(unit).alias("_unitAccession"))
     pack = _little_endian()
-    array = lambda c, accession: F.concat(F.lit(f"<binaryDataArray>{cv('MS:1000523')}{cv('MS:1000576')}{cv(accession)}<binary>"), F.translate(F.base64(pack(c)), "\r\n", ""), F.lit("</binary></binaryDataArray>"))
-    head = F.concat(F.lit('<spectrum index="0" id="'), F.col("id"), F.lit('" defaultArrayLength="'), F.col("default_array_length").cast("string"), F.lit('"><referenceableParamGroupRef ref="g"/>' + cv("MS:1000511", "1")))
-    scan = f'<scanList count="1">{cv("MS:1000795")}<scan>{cv("MS:1000016", "5.5", chr(32) + chr(117) + "nitAccession=" + chr(34) + "UO:0000031" + chr(34))}</scan></scanList>'
-    body = F.concat(head, F.lit(scan + '<binaryDataArrayList count="2">'), array(F.col("mz"), "MS:1000514"), array(F.col("intensity"), "MS:1000515"), F.lit("</binaryDataArrayList></spectrum>"))
-    groups = f'<referenceableParamGroup id="g">{cv("MS:1000130")}</referenceableParamGroup>'
+    array = lambda c, accession: F.struct(F.array(cv("MS:1000523"), cv("MS:1000576"), cv(accession)).alias("cvParam"), F.translate(F.base64(pack(c)), "\r\n", "").alias("binary"))
     spectra = line_spectra(spark, d)
-    spectra.select(body.alias("value")).union(spectra.limit(1).select(F.lit(groups).alias("value"))).write.text(path)
-    back = mzml.read_mzml(spark, path)
+    elements = spectra.select(
+        F.col("id").alias("_id"),
+        F.col("default_array_length").alias("_defaultArrayLength"),
+        F.array(F.struct(F.lit("g").alias("_ref"))).alias("referenceableParamGroupRef"),
+        F.array(cv("MS:1000511", "1")).alias("cvParam"),
+        F.struct(F.array(cv("MS:1000795")).alias("cvParam"), F.array(F.struct(F.array(cv("MS:1000016", "5.5", "UO:0000031")).alias("cvParam"))).alias("scan")).alias("scanList"),
+        F.struct(F.array(array(F.col("mz"), "MS:1000514"), array(F.col("intensity"), "MS:1000515")).alias("binaryDataArray")).alias("binaryDataArrayList"),
+    )
+    elements.write.format("xml").options(rootTag="mzML", rowTag="spectrum").save(path)
+    group = spectra.limit(1).select(F.lit("g").alias("_id"), F.array(cv("MS:1000130")).alias("cvParam"))
+    group.write.format("xml").options(rootTag="mzML", rowTag="referenceableParamGroup").save(groups)
+    back = mzml.read_mzml(spark, [path, groups])
     accessions = F.array_join(F.transform("params", lambda p: p["accession"]), " ")
     start = F.try_element_at(F.try_element_at("scans", F.lit(1))["params"], F.lit(1))
     return back.select(KEY, "default_array_length", accessions.alias("accessions"), params.number_of(start["value"]).alias("start"), start["unit_accession"].alias("unit"), F.round(F.array_max("mz"), 4).alias("high_mz"), F.size("intensity").alias("n_intensity"))

@@ -46,7 +46,7 @@ def _window(w: Column) -> Column:
     return F.when(w.isNotNull(), F.struct(_params(w["cvParam"]).alias("params"))).cast(S.WINDOW)
 
 
-def read_param_groups(spark: SparkSession, path: str) -> DataFrame:
+def read_param_groups(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(ref, params) of the reference parameter groups."""
     rows = spark.read.format("xml").option("rowTag", "referenceableParamGroup").schema(GROUP).load(path).where("_id is not null")
     return rows.select(F.col("_id").alias("ref"), _params(F.col("cvParam")).alias("params"))
@@ -69,7 +69,7 @@ def _values(text: Column, kind: Column, packed: Column) -> Column:
     return decode(text, kind, packed)
 
 
-def read_mzml(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+def read_mzml(spark: SparkSession, path: str | list[str], strict: bool = False) -> DataFrame:
     """Spectra of mzML files, with parameters of reference groups behind their own.
 
     strict: a reference to a missing group is an error; else it is skipped. Chromatograms and the

@@ -225,7 +225,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_docs
 
     got = sample.select("text").mapInPandas(featurise, "votes array<int>, keys array<int>, values array<double>").toPandas()
     target = model.posterior(np.array(list(got["votes"]), int).reshape(len(got), len(NAMES)))
-    weights, bias = train([(np.asarray(k), np.asarray(v)) for k, v in zip(got["keys"], got["values"], strict=True)], target, dimensions)
+    weights, bias = train([(np.asarray(k, "int64"), np.asarray(v, float)) for k, v in zip(got["keys"], got["values"], strict=True)], target, dimensions)
     return Scorer(model, weights, bias)
 
 

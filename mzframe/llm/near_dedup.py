@@ -259,14 +259,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_
     hubs = materialize(hubs, "buckets")
     shared = materialize(placed.join(hubs, place), "shared")
 
-    texts = base.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").where("doc_id is not null")
+    # merge joins at every size: the ids grow with the documents, and a plan that broadcasts the few of
+    # a small table would not be that of a large one
+    met = shared.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
+    texts = base.where("doc_id is not null").join(met, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     texts = materialize(texts.withColumnRenamed("doc_id", "rep"), "texts")
 
     pairs = shared.where("rep <> hub").groupBy("hub", "rep").agg(F.max("n").alias("n"))
     salted = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / star_block)).cast("int").alias("salt")
     pairs = materialize(pairs.select("hub", "rep", salted), "pairs")
     wanted = pairs.select("hub", "salt", "rep", F.lit(1).alias("guest")).union(pairs.select("hub", "salt").distinct().select("hub", "salt", F.col("hub").alias("rep"), F.lit(0).alias("guest")))
-    star = wanted.join(texts, "rep").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "guest")
+    star = wanted.join(texts.hint("merge"), "rep").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "guest")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weigh, key, hub = Weigher(idf.value), None, []
@@ -291,7 +294,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_
     own = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / block)).cast("int")
     left = left.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1)))
     low, high = F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
-    left = left.select(*place, low, high, "own", "rep", "comp", "draws").join(texts.groupBy("rep").agg(F.min("text").alias("text")), "rep")
+    left = left.select(*place, low, high, "own", "rep", "comp", "draws").join(texts.hint("merge"), "rep")
     keys = [*place, "low", "high"]
     dealt = left.repartition(*keys).sortWithinPartitions(*keys)
 
@@ -318,4 +321,4 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", **options: object) ->
     """The rows of docs, one of each group: that with the smallest id. Rows without an id stay."""
     kept = near_duplicates(docs, doc_id=doc_id, **options).where("kept and doc_id is not null").select(F.col("doc_id").alias(doc_id)).distinct()
     some = docs.where(F.col(doc_id).isNotNull())
-    return some.join(kept, doc_id, "left_semi").select(*docs.columns).dropDuplicates([doc_id]).unionByName(docs.where(F.col(doc_id).isNull()))
+    return some.join(kept.hint("merge"), doc_id, "left_semi").select(*docs.columns).dropDuplicates([doc_id]).unionByName(docs.where(F.col(doc_id).isNull()))

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mzframe.llm.common import materialize
+
 #: Words that mark an unwanted site; rows whose tokens hold one train the block class.
 SEED_WORDS = (
     "adult", "bet", "bets", "betting", "bonus", "casino", "cheap", "cialis", "crack", "deals",
@@ -135,11 +137,27 @@ def count_words(texts: DataFrame, html: str = "html") -> DataFrame:
     return words.where("length(word) between 2 and 24").groupBy("word").agg(F.count("*").alias("n"))
 
 
+def most_frequent(counted: DataFrame, n: Column, most: int) -> DataFrame:
+    """The rows whose count reaches a bound, so chosen that they are as many as possible but at most `most`.
+
+    The bound is a border between 16th powers of two, from a histogram of at most about 1,000 rows,
+    so no task or driver sorts or holds more rows than the model keeps."""
+    step = F.floor(F.log2(n) * 16).alias("step")
+    histogram = sorted(((r["step"], r["count"]) for r in counted.groupBy(step).count().collect()), reverse=True)
+    bound, kept = None, 0
+    for s, k in histogram:
+        if kept + k > most:
+            break
+        bound, kept = s, kept + k
+    return counted.where(step >= bound) if bound is not None else counted.limit(0)
+
+
 def fit(pages: DataFrame, url: str = "url", html: str = "html", vocabulary: int = 50_000, features: int = 50_000) -> UrlModel:
     """Counts words over all pages for the segmenter, then tokens by seed label over all urls for the classifier.
 
-    vocabulary, features: the models' sizes, that is how many of the most frequent entries they keep."""
-    counted = count_words(pages, html).orderBy(F.desc("n"), "word").limit(vocabulary).collect()
+    vocabulary, features: the models' sizes, that is how many of the most frequent entries they keep at most."""
+    words = materialize(count_words(pages, html), "words")
+    counted = most_frequent(words, F.col("n"), vocabulary).collect()
     counts = Counter({r["word"]: r["n"] for r in counted})
     for w in SEED_WORDS:  # known words even where no page's text holds them
         counts[w] = max(counts[w], max(counts.values(), default=1) // 1000 + 1)
@@ -161,10 +179,11 @@ def fit(pages: DataFrame, url: str = "url", html: str = "html", vocabulary: int
 
     parts = pages.select(url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
     table = parts.mapInPandas(count, "token string, block int, n long").groupBy("token").agg(F.sum(F.when(F.col("block") == 1, F.col("n")).otherwise(0)).alias("yes"), F.sum(F.when(F.col("block") == 0, F.col("n")).otherwise(0)).alias("no"))
-    rows = table.orderBy(F.col("token") != "", F.desc(F.col("yes") + F.col("no")), "token").limit(features + 1).collect()
-    if not rows:
+    table = materialize(table, "tokens")
+    prior = table.where("token = ''").first()
+    if prior is None:
         return model
-    prior, rows = rows[0], rows[1:]
+    rows = most_frequent(table.where("token <> ''"), F.col("yes") + F.col("no"), features).collect()
     yes, no = (sum(r[k] for r in rows) + len(rows) + 1 for k in ("yes", "no"))
     model.prior = math.log((prior["yes"] + 1) / (prior["no"] + 1))
     model.weights = {r["token"]: math.log((r["yes"] + 1) / yes) - math.log((r["no"] + 1) / no) for r in rows}

@@ -69,7 +69,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     path = common.scratch_path(spark, "warc")
     warc.write_archives(pages, path)
-    captures = warc.transactions(warc.read_archives(spark, path, with_payload=False))
+    records = common.materialize(warc.read_archives(spark, path, with_payload=False), "records")
+    captures = warc.transactions(records)
     refers_to = F.col("metadata.refers_to_key").cast("long").alias("refers_to")
     return captures.select(F.col("metadata.capture_key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", refers_to, "target_uri")
 

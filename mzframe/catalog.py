@@ -253,6 +253,22 @@ def cv_label_join(spark, d):
     return params.with_labels(rows).groupBy("accession", "label").agg(F.count("*").alias("n"))
 
 
+def first_params(spark, d):
+    own = F.array(_cv("MS:1000511", F.substring("o_orderpriority", 1, 1)), _cv("MS:1000016", F.col("o_totalprice").cast("string"), "UO:0000031"), _cv("MS:1000511", F.lit("9")))
+    rows = _table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), own.cast(f"array<{S.CV}>").alias("params"))
+    start = params.first_param(F.col("params"), "MS:1000016")
+    return rows.select("key", params.ms_level(F.col("params")).alias("ms_level"), start["unit_accession"].alias("unit"), params.first_param(F.col("params"), "MS:1000744").isNull().alias("none"))
+
+
+def size_texts(spark, d):
+    size = F.octet_length("html") * F.element_at(F.array(F.lit(1), F.lit(300)), (F.col("page_id") % 2 + 1).cast("int"))
+    return _table(spark, d, "pages").select("page_id", analytics.format_bytes(size).alias("size"))
+
+
+def mode_sizes(spark, d):
+    return tokens.mode_sizes(line_spectra(spark, d)).select(KEY, (F.col("lossless") > 0).alias("lossless"), (F.col("lossy") > 0).alias("lossy"))
+
+
 def duplicate_params(spark, d):
     accession = F.concat(F.lit("MS:"), F.format_string("%07d", F.lit(1000000) + F.col("l_suppkey") % 7))
     rows = _table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.collect_list(F.struct(accession.alias("accession"))).alias("params"))
@@ -436,7 +452,7 @@ QUERIES = {f.__name__: f for f in (
     quantize_linear, quantize_slof_fp, quantize_slof_clamped, quantize_pic, round_trip_lossy, round_trip_lossless, round_trip_zstd,
     round_trip_lossy_zstd, round_trip_embeddings, encoding_plan_default, encoding_plan_lossless, encoding_plan_override, negative_fallback,
     spectrum_summary, precision_stats, linear_residual, residual_restore, ladder_prefix_sum, peptide_mass, isotope_envelope,
-    refgroup_expand, refgroup_unresolved, cv_label_join, duplicate_params, canonical_params, typed_values, flatten_params,
+    refgroup_expand, refgroup_unresolved, cv_label_join, first_params, size_texts, mode_sizes, duplicate_params, canonical_params, typed_values, flatten_params,
     validate_spectra, accession_encode, unit_encode, to_fragment, to_query, to_data_uri, extract_token, b64url_text, b64url_back,
     token_checksum, inspect_arrays, breakdown_bytes, size_ratio, malformed_codes, tolerance_check, json_round_trip, token_files,
     mzml_scan, stream_decode,
@@ -526,6 +542,9 @@ UNION ALL SELECT o_orderkey, 1, 'MS:1000511', substr(o_orderpriority, 1, 1)::DOU
 UNION ALL SELECT o_orderkey, 2, 'MS:1000130', NULL FROM orders WHERE o_orderpriority < '5'""",
     "refgroup_unresolved": "SELECT o_orderkey AS key, o_orderstatus AS ref FROM orders UNION ALL SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority >= '5'",
     "cv_label_join": f"SELECT accession, {_LABEL_CASE} AS label, count(*) AS n FROM (SELECT 'MS:' || lpad((1000500 + l_linenumber * 5 + l_suppkey % 30)::VARCHAR, 7, '0') AS accession FROM lineitem) GROUP BY ALL",
+    "first_params": "SELECT o_orderkey AS key, substr(o_orderpriority, 1, 1)::DOUBLE AS ms_level, 'UO:0000031' AS unit, true AS none FROM orders",
+    "size_texts": "SELECT page_id, CASE WHEN n < 1024 THEN n::VARCHAR || ' B' WHEN n < 1048576 THEN printf('%.1f', n / 1024) || ' KB' ELSE printf('%.2f', n / 1048576) || ' MB' END AS size FROM (SELECT page_id, strlen(html) * (CASE WHEN page_id % 2 = 0 THEN 1 ELSE 300 END) AS n FROM pages)",
+    "mode_sizes": "SELECT l_orderkey AS key, true AS lossless, true AS lossy FROM lineitem GROUP BY 1",
     "duplicate_params": "SELECT l_orderkey AS key, 'MS:' || (1000000 + l_suppkey % 7)::VARCHAR AS accession FROM lineitem GROUP BY ALL HAVING count(*) > 1",
     "canonical_params": """SELECT key, (row_number() OVER (PARTITION BY key ORDER BY t, n, a) - 1)::INTEGER AS pos, a AS accession FROM (
   SELECT o_orderkey AS key, a, CASE WHEN a LIKE 'MS:%' THEN 0 ELSE 1 END AS t, CASE WHEN a LIKE 'MS:%' THEN substr(a, 4)::BIGINT ELSE strlen(a) END AS n

@@ -94,3 +94,13 @@ def raw_bytes(n: Column, has_charge: Column, extra: Column) -> Column:
     """Bytes of the plain arrays: m/z and intensity as doubles, charge too if there is one, extra arrays by their types."""
     widths = F.transform(F.map_values(extra), lambda x: F.size(x["values"]) * F.when(x["dtype"] == "float64", 8).otherwise(4))
     return n * 16 + F.when(has_charge, n * 8).otherwise(0) + F.aggregate(widths, F.lit(0), lambda s, x: s + x)
+
+
+def bytes_per_peak(token_bytes: Column, n: Column) -> Column:
+    """Null for a spectrum without peaks."""
+    return F.when(n > 0, token_bytes / n)
+
+
+def format_bytes(n: Column) -> Column:
+    """Bytes below 1,024, else kilobytes of 1,024 with one digit, or megabytes with two."""
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.concat(F.format_string("%.1f", n / 1024), F.lit(" KB"))).otherwise(F.concat(F.format_string("%.2f", n / (1 << 20)), F.lit(" MB")))

@@ -56,6 +56,22 @@ def with_labels(rows: DataFrame, accession: str = "accession") -> DataFrame:
     return rows.withColumn("label", F.coalesce(F.try_element_at(names, F.col(accession)), F.col(accession)))
 
 
+def first_param(params: Column, accession: str) -> Column:
+    """The first parameter of an accession, or null."""
+    return F.try_element_at(F.filter(params, lambda p: p["accession"] == accession), F.lit(1))
+
+
+def find_param(spectra_column: Column, accession: str, of: str) -> Column:
+    """The first parameter of an accession in a list of parts (scans, windows), each with its params in the field `of`."""
+    empty = F.from_json(F.lit("[]"), f"array<{S.CV}>")
+    return first_param(F.flatten(F.transform(spectra_column, lambda x: F.coalesce(x[of], empty))), accession)
+
+
+def ms_level(params: Column) -> Column:
+    """The value of the ms level where it is a number."""
+    return number_of(first_param(params, "MS:1000511")["value"])
+
+
 def duplicate_accessions(params: Column) -> Column:
     """Accessions that stand more than once in one list."""
     every = F.transform(params, lambda p: p["accession"])

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mzframe import registry as R
@@ -156,3 +156,17 @@ def breakdown(tokens: DataFrame, key: str, token: str = "token", magic: str = MA
 
 def is_lossy(descriptors: Column) -> Column:
     return F.exists(descriptors, lambda d: d["comp"].isin(*R.LOSSY))
+
+
+def mode_sizes(spectra: DataFrame, key: str = "id", **options: object) -> DataFrame:
+    """key, lossy, lossless (characters of a token in either mode), percent (how much longer the lossless one is)."""
+    lossy = encode(spectra, **options).select(*(c for c in spectra.columns), F.length("token").alias("_lossy"))
+    both = encode(lossy, lossless=True)
+    return both.select(key, F.col("_lossy").alias("lossy"), F.length("token").alias("lossless"), ((F.length("token") / F.col("_lossy") - 1) * 100).alias("percent"))
+
+
+def register_functions(spark: SparkSession) -> None:
+    """For SQL: token_document(spectrum with plan), token_header(document), token_array(descriptor, length)."""
+    build, parse, inflate, _ = _udfs()
+    for name, f in (("token_document", build), ("token_header", parse), ("token_array", inflate)):
+        spark.udf.register(name, f)

@@ -543,7 +543,8 @@ UNION ALL SELECT o_orderkey, 2, 'MS:1000130', NULL FROM orders WHERE o_orderprio
     "refgroup_unresolved": "SELECT o_orderkey AS key, o_orderstatus AS ref FROM orders UNION ALL SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority >= '5'",
     "cv_label_join": f"SELECT accession, {_LABEL_CASE} AS label, count(*) AS n FROM (SELECT 'MS:' || lpad((1000500 + l_linenumber * 5 + l_suppkey % 30)::VARCHAR, 7, '0') AS accession FROM lineitem) GROUP BY ALL",
     "first_params": "SELECT o_orderkey AS key, substr(o_orderpriority, 1, 1)::DOUBLE AS ms_level, 'UO:0000031' AS unit, true AS none FROM orders",
-    "size_texts": "SELECT page_id, CASE WHEN n < 1024 THEN n::VARCHAR || ' B' WHEN n < 1048576 THEN printf('%.1f', n / 1024) || ' KB' ELSE printf('%.2f', n / 1048576) || ' MB' END AS size FROM (SELECT page_id, strlen(html) * (CASE WHEN page_id % 2 = 0 THEN 1 ELSE 300 END) AS n FROM pages)",
+    "size_texts": """SELECT page_id, CASE WHEN n < 1024 THEN n::VARCHAR || ' B' WHEN n < 1048576 THEN (k // 10)::VARCHAR || '.' || (k % 10)::VARCHAR || ' KB' ELSE (m // 100)::VARCHAR || '.' || lpad((m % 100)::VARCHAR, 2, '0') || ' MB' END AS size
+FROM (SELECT *, floor(n * 10 / 1024 + 0.5)::BIGINT AS k, floor(n * 100 / 1048576 + 0.5)::BIGINT AS m FROM (SELECT page_id, strlen(html) * (CASE WHEN page_id % 2 = 0 THEN 1 ELSE 300 END) AS n FROM pages))""",
     "mode_sizes": "SELECT l_orderkey AS key, true AS lossless, true AS lossy FROM lineitem GROUP BY 1",
     "duplicate_params": "SELECT l_orderkey AS key, 'MS:' || (1000000 + l_suppkey % 7)::VARCHAR AS accession FROM lineitem GROUP BY ALL HAVING count(*) > 1",
     "canonical_params": """SELECT key, (row_number() OVER (PARTITION BY key ORDER BY t, n, a) - 1)::INTEGER AS pos, a AS accession FROM (

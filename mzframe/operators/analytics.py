@@ -102,5 +102,10 @@ def bytes_per_peak(token_bytes: Column, n: Column) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
-    """Bytes below 1,024, else kilobytes of 1,024 with one digit, or megabytes with two."""
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.concat(F.format_string("%.1f", n / 1024), F.lit(" KB"))).otherwise(F.concat(F.format_string("%.2f", n / (1 << 20)), F.lit(" MB")))
+    """Bytes below 1,024, else kilobytes of 1,024 with one digit, or megabytes with two; halves are rounded up."""
+
+    def shown(unit: int, digits: int, name: str) -> Column:
+        steps = F.floor(n * 10**digits / F.lit(unit) + 0.5).cast("bigint")
+        return F.concat(F.floor(steps / 10**digits).cast("string"), F.lit("."), F.lpad((steps % 10**digits).cast("string"), digits, "0"), F.lit(f" {name}"))
+
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, shown(1 << 10, 1, "KB")).otherwise(shown(1 << 20, 2, "MB"))

@@ -1,6 +1,7 @@
 """License scans: MinHash over overlapping windows retrieves templates, exact containment verifies.
 
-A text is a sequence of shingles of five words (lower case, without punctuation at their ends).
+A text is a sequence of shingles of five words (lower case, without punctuation at their ends); for
+a template of fewer words, of as many words as it has.
 Each template has a window size: `span` is the power of two that is at least 1.25 times its number
 of shingles, and windows are two spans long at steps of one span, so that any run of up to one span
 lies whole in a window. Every window has one minimum for each of `bands` hash functions, and each
@@ -8,13 +9,14 @@ minimum is a band of its own: a template that a window contains to the threshold
 similarity to it of at least threshold / (1 + 2 * 2.5 - threshold), 0.15 at 0.8, so that it is
 retrieved with a probability of at least 1 - (1 - 0.15) ** bands, 0.9994 for 44 bands, and more
 for the usual whole copy. What is retrieved is verified: the share of the template's distinct
-shingles that the window holds must reach the threshold.
+shingles that the window holds must reach the threshold. A template of fewer than five words is one
+shingle; its windows are one shingle long, so that one band retrieves it always.
 
 Templates are a list that is a parameter, sent to executors with the code; texts are scanned as
 wholes, in parts that overlap by two windows, without any shuffle.
 
-Defined results: null and empty texts, and those of fewer words than a shingle, have no match;
-templates of fewer words than a shingle are refused. Matches of one template that overlap are one.
+Defined results: null and empty texts have no match, nor has a text of fewer words than a template's
+shingle with that template; templates without words are refused. Matches of one template that overlap are one.
 Repeated rows each get their result; an empty table gives an empty result; other columns are
 ignored.
 """
@@ -22,6 +24,7 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 
 WORDS = 5
 PART = 8_192
+ORDER = itemgetter(1, 2, 0)
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], "uint64")
 PUNCTUATION = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~“”‘’«»©®"
 
@@ -55,32 +59,46 @@ class Words:
         h = self.memo[word] = (self.hash(bare.encode("utf-8", "replace")) or 1) if bare else 0
         return h
 
-    def shingles(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The shingles in order, and the position among the text's words of each word that has a hash."""
+    def hashes(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of the words that have one, in order, and their positions among the text's words."""
         memo, of = self.memo, self.of
         x = np.array([memo[w] if w in memo else of(w) for w in (text or "").lower().split()], "uint64")
         at = np.flatnonzero(x)
-        x = x[at]
-        n = len(x) - WORDS + 1
-        if n <= 0:
-            return np.zeros(0, "uint64"), at
-        total = np.zeros(n, "uint64")
-        for k in range(WORDS):
-            total += x[k : k + n] * _MULTIPLIERS[k]
-        return _mix(total), at
+        return x[at], at
+
+    def shingles(self, text: str | None, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+        """The shingles in order, and the position among the text's words of each word that has a hash."""
+        x, at = self.hashes(text)
+        return shingled(x, words), at
+
+
+def shingled(x: np.ndarray, words: int) -> np.ndarray:
+    """The shingles of so many words, from the words' hashes."""
+    n = len(x) - words + 1
+    if n <= 0:
+        return np.zeros(0, "uint64")
+    total = np.zeros(n, "uint64")
+    for k in range(words):
+        total += x[k : k + n] * _MULTIPLIERS[k]
+    return _mix(total)
 
 
 class Scanner:
-    def __init__(self, templates: Mapping[str, str], threshold: float, bands: int):
-        self.words, self.threshold = Words(), threshold
+    """Scans for templates by shingles of one length. If that is less than WORDS, each template has to be one shingle."""
+
+    def __init__(self, templates: Mapping[str, str], threshold: float, bands: int, length: int = WORDS):
+        self.words, self.threshold, self.length = Words(), threshold, length
+        bands = bands if length == WORDS else 1
         rng = np.random.default_rng(17)
         self.factors = (rng.integers(0, 1 << 63, bands, dtype="uint64") * np.uint64(2) + np.uint64(1))[:, None]
         self.by_span: dict[int, list[tuple[str, np.ndarray, np.ndarray]]] = {}
         for name, text in templates.items():
-            s = np.unique(self.words.shingles(text)[0])
+            s = np.unique(self.words.shingles(text, length)[0])
             if not len(s):
-                raise ValueError(f"template {name} has fewer than {WORDS} words")
-            span = 1 << max(2, int(np.ceil(np.log2(1.25 * len(s)))))
+                raise ValueError(f"template {name} has fewer than {length} words")
+            if length < WORDS and len(s) > 1:
+                raise ValueError(f"template {name} has more than {length} words")
+            span = 1 << max(2, int(np.ceil(np.log2(1.25 * len(s))))) if length == WORDS else 1
             self.by_span.setdefault(span, []).append((name, s, (s[None, :] * self.factors).min(1)))
         self.spans = sorted(self.by_span)
 
@@ -95,12 +113,19 @@ class Scanner:
                 hashed = np.concatenate([hashed, np.full((len(hashed), pad), top)], axis=1)
             hashed = hashed.reshape(len(hashed), -1, k).min(2)
             size = span
+            if span == 1:
+                yield span, hashed
+                continue
             after = np.concatenate([hashed[:, 1:], np.full((len(hashed), 1), top)], axis=1)
             yield span, np.minimum(hashed, after)
 
     def scan(self, text: str | None) -> list[tuple[str, int, int, float]]:
         """(template, first word, end word, containment), in order; words are counted by white space."""
-        shingles, at = self.words.shingles(text)
+        return sorted(self.matches(*self.words.hashes(text)), key=ORDER)
+
+    def matches(self, hashes: np.ndarray, at: np.ndarray) -> list[tuple[str, int, int, float]]:
+        """The same for a text's words, not in order."""
+        shingles = shingled(hashes, self.length)
         found: dict[str, list[tuple[int, int, float]]] = {}
         longest = 2 * self.spans[-1] if self.spans else 1
         step = -(-PART // longest) * longest
@@ -110,12 +135,12 @@ class Scanner:
                 for name, s, signature in self.by_span[span]:
                     for w in np.flatnonzero((minima == signature[:, None]).any(0)):
                         a = w * span
-                        window = part[a : a + 2 * span]
+                        window = part[a : a + (2 * span if span > 1 else 1)]
                         held = np.isin(window, s)
                         share = len(np.unique(window[held])) / len(s)
                         if share >= self.threshold:
                             where = np.flatnonzero(held) + a + start
-                            found.setdefault(name, []).append((int(at[where[0]]), int(at[where[-1] + WORDS - 1]) + 1, share))
+                            found.setdefault(name, []).append((int(at[where[0]]), int(at[where[-1] + self.length - 1]) + 1, share))
         out = []
         for name, spans in found.items():
             merged: list[tuple[int, int, float]] = []
@@ -125,7 +150,25 @@ class Scanner:
                 else:
                     merged.append((a, b, share))
             out += [(name, *m) for m in merged]
-        return sorted(out, key=lambda m: (m[1], m[2], m[0]))
+        return out
+
+
+class Scanners:
+    """A scanner for each shingle length: five words, or all words of a template that has fewer."""
+
+    def __init__(self, templates: Mapping[str, str], threshold: float, bands: int):
+        self.words = Words()
+        lengths: dict[int, dict[str, str]] = {}
+        for name, text in templates.items():
+            if not (n := len(self.words.hashes(text)[0])):
+                raise ValueError(f"template {name} has no words")
+            lengths.setdefault(min(n, WORDS), {})[name] = text
+        self.scanners = [Scanner(t, threshold, bands, n) for n, t in sorted(lengths.items())]
+
+    def scan(self, text: str | None) -> list[tuple[str, int, int, float]]:
+        """As a scanner's."""
+        hashes, at = self.words.hashes(text)
+        return sorted((m for s in self.scanners for m in s.matches(hashes, at)), key=ORDER)
 
 
 def scan(docs: DataFrame, templates: Mapping[str, str], threshold: float = 0.8, bands: int = 44, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -134,7 +177,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str], threshold: float = 0.8,
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner = Scanner(templates, threshold, bands)
+        scanner = Scanners(templates, threshold, bands)
         for batch in filter(len, batches):
             found = [scanner.scan(t) for t in batch["text"]]
             yield batch[["doc_id"]].assign(

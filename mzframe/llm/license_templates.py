@@ -46,3 +46,18 @@ TEMPLATES = {
     "CC-BY-NC-4.0:text": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
     "reserved:notice": "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means",
 }
+#: Notices of fewer than five words: a licence's name or identifier by itself, and a reservation.
+SHORT_TEMPLATES = {
+    "reserved:line": "All rights reserved.",
+    "MIT:name": "MIT License",
+    "Apache-2.0:name": "Apache License, Version 2.0",
+    "GPL:name": "GNU General Public License",
+    "MPL:name": "Mozilla Public License",
+    **{
+        f"{name}:identifier": f"SPDX-License-Identifier: {name}"
+        for name in (
+            "MIT", "Apache-2.0", "ISC", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later",
+            "MPL-2.0", "Unlicense", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0",
+        )
+    },
+}

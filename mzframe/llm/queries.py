@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mzframe.llm import byte_bpe, common, license_scan, mtree, multi_index, near_dedup, pii, raking, url_filter, warc, weak_labels
-from mzframe.llm.license_templates import TEMPLATES
+from mzframe.llm.license_templates import SHORT_TEMPLATES, TEMPLATES
 
 #: Fixed by the queries' contract.
 URL_RULES = [
@@ -26,7 +26,7 @@ def tokenizer() -> tuple[str, str]:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), TEMPLATES, threshold=0.8)
+    return license_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), TEMPLATES | SHORT_TEMPLATES, threshold=0.8)
 
 
 def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,6 +153,18 @@ def test_scan_over_a_table(spark):
         license_scan.Scanner({"x": "too short"}, 0.8, 44)
 
 
+def test_scan_finds_notices_of_fewer_words_than_a_shingle(spark):
+    from mzframe.llm.license_templates import SHORT_TEMPLATES
+
+    texts = ["All rights reserved.", "x " * 9000 + "(c) All rights - reserved! and on", "# SPDX-License-Identifier: MIT", "the MIT License", "all rights are reserved", "all rights", "Released under the MIT License"]
+    got = {r["doc_id"]: [tuple(m)[:3] for m in r["matches"]] for r in license_scan.scan(docs(spark, texts), TEMPLATES | SHORT_TEMPLATES).collect()}
+    line = "reserved:line"
+    want = [[(line, 0, 3)], [(line, 9001, 9005)], [("MIT:identifier", 1, 3)], [("MIT:name", 1, 3)], [], [], [("MIT:notice", 0, 5), ("MIT:name", 3, 5)]]
+    assert [got[i] for i in range(7)] == want
+    with pytest.raises(ValueError):
+        license_scan.Scanners({"x": "--"}, 0.8, 44)
+
+
 # quality
 
 

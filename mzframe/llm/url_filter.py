@@ -2,8 +2,9 @@
 
 A unigram model of the words in all pages splits concatenated host names by a Viterbi search; a
 multinomial naive Bayes model over the words of host and path gives a verdict to every url that no
-rule decides. Both models are counted by Spark over all rows; what is sent to executors is their
-most frequent entries, of a number that is a parameter (the models' sizes).
+rule decides. Both models are tables that Spark counts over all rows, and stay whole: the substrings
+of each distinct host label are joined to the words before its search, the tokens of each page to
+the tokens' weights. Only totals reach the driver.
 
 Defined results: a null url, and one without ``://``, has an empty host and path; no rule fits an
 empty host, and the classifier then has no tokens, so that the prior decides. An empty table gives
@@ -16,8 +17,8 @@ import math
 import re
 import string
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator, Mapping
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,6 +39,10 @@ STRONG_WORDS = frozenset(("casino", "cialis", "escort", "gambling", "payday", "p
 PLAIN_LABELS = frozenset(("www", "m", "com", "net", "org", "www2", "blog"))
 
 
+#: Letters of the words that are counted.
+SHORTEST, LONGEST = 2, 24
+
+
 @dataclass(frozen=True)
 class Rule:
     verdict: str
@@ -79,50 +84,75 @@ def longest_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
     return name, verdict
 
 
+def cheapest_split(name: str, costs: Mapping[str, float], unknown: float) -> list[str]:
+    """Words of the cheapest split; a character that no word covers is a word at the cost of an unknown one."""
+    best: list[tuple[float, int]] = [(0.0, 0)]
+    for end in range(1, len(name) + 1):
+        options = [(best[end - 1][0] + unknown, end - 1)]
+        for start in range(max(0, end - LONGEST), end):
+            if (c := costs.get(name[start:end])) is not None:
+                options.append((best[start][0] + c, start))
+        best.append(min(options))
+    words, end = [], len(name)
+    while end:
+        words.append(name[best[end][1] : end])
+        end = best[end][1]
+    return words[::-1]
+
+
 @dataclass
 class UrlModel:
-    """costs: negative log probabilities of words; weights: log odds of block for each token."""
+    """words: (word, n), total: the sum of n and 1; tokens: (token, weight), the log odds of block."""
 
-    costs: dict[str, float]
-    unknown: float
-    longest: int
+    words: DataFrame
+    total: int
     prior: float = 0.0
-    weights: dict[str, float] = field(default_factory=dict)
+    tokens: DataFrame | None = None
     unseen: float = 0.0
-    memo: dict[str, list[str]] = field(default_factory=dict)
+
+    def split(self, labels: DataFrame) -> DataFrame:
+        """(part, words) for distinct runs of a-z in column part."""
+        total, unknown = self.total, math.log(self.total) + 10
+        size = F.length("part")
+        starts = labels.select("part", F.explode(F.sequence(F.lit(1), size)).alias("start")).where(F.col("start") < size)
+        ends = F.sequence(F.lit(SHORTEST), F.least(F.lit(LONGEST), size - F.col("start") + 1))
+        known = starts.select("part", "start", F.explode(ends).alias("n_letters")).select("part", F.col("part").substr(F.col("start"), F.col("n_letters")).alias("word")).distinct()
+        known = known.join(self.words, "word").groupBy("part").agg(F.collect_list("word").alias("known"), F.collect_list("n").alias("n"))
+
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out = []
+                for part, found, counts in zip(batch["part"], batch["known"], batch["n"], strict=True):
+                    costs = {} if found is None else {w: math.log(total / n) for w, n in zip(found, counts, strict=True)}
+                    out.append(cheapest_split(part, costs, unknown))
+                yield batch[["part"]].assign(words=out)
+
+        return labels.join(known, "part", "left").mapInPandas(search, "part string, words array<string>")
 
     def segment(self, name: str) -> list[str]:
-        """Words of the cheapest split; a character that no word covers is a word at the cost of an unknown one."""
-        best: list[tuple[float, int]] = [(0.0, 0)]
-        for end in range(1, len(name) + 1):
-            options = [(best[end - 1][0] + self.unknown, end - 1)]
-            for start in range(max(0, end - self.longest), end):
-                if (c := self.costs.get(name[start:end])) is not None:
-                    options.append((best[start][0] + c, start))
-            best.append(min(options))
-        words, end = [], len(name)
-        while end:
-            words.append(name[best[end][1] : end])
-            end = best[end][1]
-        return words[::-1]
-
-    def tokens(self, host: str, path: str) -> list[str]:
-        """h:word for the words of host labels, p:word for those of the path; digits become one token."""
-        if (found := self.memo.get(host)) is None:
-            found = []
-            for label in re.split(r"[^a-z0-9]+", host):
-                if label and label not in PLAIN_LABELS:
-                    for part in re.findall(r"[a-z]+|[0-9]+", label):
-                        found += ["h:" + w for w in self.segment(part)] if part.isalpha() else ["h:<n>"]
-            if len(self.memo) >= 50_000:
-                self.memo.clear()
-            self.memo[host] = found
-        parts = re.findall(r"[^\W\d_]+|\d+", path.lower())
-        return found + ["p:<n>" if p[0].isdigit() else "p:" + p for p in parts]
-
-    def score(self, tokens: list[str]) -> float:
-        """Log odds of block."""
-        return self.prior + sum(self.weights.get(t, self.unseen) for t in tokens)
+        """The words of one run of a-z."""
+        rows = self.split(self.words.sparkSession.createDataFrame([(name,)], "part string")).collect()
+        return list(rows[0]["words"])
+
+    def host_words(self, hosts: DataFrame) -> DataFrame:
+        """(host, host_words) for each distinct host: the words of its labels, in order; digits become one token."""
+        labels = F.filter(F.split("host", "[^a-z0-9]+"), lambda x: (x != "") & ~x.isin(*PLAIN_LABELS))
+        parts = F.flatten(F.transform(labels, lambda x: F.regexp_extract_all(x, F.lit("[a-z]+|[0-9]+"), F.lit(0))))
+        hosts = materialize(hosts.select("host").distinct().select("host", parts.alias("parts")), "hosts")
+        placed = hosts.select("host", F.posexplode("parts").alias("at", "part"))
+        letters = F.col("part").rlike("^[a-z]")
+        split = materialize(self.split(placed.where(letters).select("part").distinct()), "splits")
+        found = placed.where(letters).join(split, "part").select("host", "at", "words")
+        found = found.unionByName(placed.where(~letters).select("host", "at", F.array(F.lit("<n>")).alias("words")))
+        ordered = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "words"))), lambda x: x["words"]))
+        words = found.groupBy("host").agg(ordered.alias("host_words"))
+        return materialize(hosts.select("host").join(words, "host", "left").select("host", F.coalesce("host_words", F.array().cast("array<string>")).alias("host_words")), "host_words")
+
+
+def url_tokens(host_words: Iterable[str], path: str) -> list[str]:
+    """h:word for the words of host labels, p:word for those of the path; digits become one token."""
+    parts = re.findall(r"[^\W\d_]+|\d+", path.lower())
+    return ["h:" + w for w in host_words] + ["p:<n>" if p[0].isdigit() else "p:" + p for p in parts]
 
 
 def seed_label(tokens: list[str]) -> int:
@@ -134,41 +164,23 @@ def count_words(texts: DataFrame, html: str = "html") -> DataFrame:
     """(word, n): words of a-z in the text between tags of all rows, 2 to 24 letters long."""
     plain = F.lower(F.regexp_replace(F.coalesce(F.col(html), F.lit("")), r"<[^>]*>", " "))
     words = texts.select(F.explode(F.split(plain, r"[^a-z]+")).alias("word"))
-    return words.where("length(word) between 2 and 24").groupBy("word").agg(F.count("*").alias("n"))
-
+    return words.where(F.length("word").between(SHORTEST, LONGEST)).groupBy("word").agg(F.count("*").alias("n"))
 
-def most_frequent(counted: DataFrame, n: Column, most: int) -> DataFrame:
-    """The rows whose count reaches a bound, so chosen that they are as many as possible but at most `most`.
 
-    The bound is a border between 16th powers of two, from a histogram of at most about 1,000 rows,
-    so no task or driver sorts or holds more rows than the model keeps."""
-    step = F.floor(F.log2(n) * 16).alias("step")
-    histogram = sorted(((r["step"], r["count"]) for r in counted.groupBy(step).count().collect()), reverse=True)
-    bound, kept = None, 0
-    for s, k in histogram:
-        if kept + k > most:
-            break
-        bound, kept = s, kept + k
-    return counted.where(step >= bound) if bound is not None else counted.limit(0)
-
-
-def fit(pages: DataFrame, url: str = "url", html: str = "html", vocabulary: int = 50_000, features: int = 50_000) -> UrlModel:
-    """Counts words over all pages for the segmenter, then tokens by seed label over all urls for the classifier.
-
-    vocabulary, features: the models' sizes, that is how many of the most frequent entries they keep at most."""
+def fit(pages: DataFrame, url: str = "url", html: str = "html") -> UrlModel:
+    """Counts words over all pages for the segmenter, then tokens by seed label over all urls for the classifier."""
+    spark = pages.sparkSession
     words = materialize(count_words(pages, html), "words")
-    counted = most_frequent(words, F.col("n"), vocabulary).collect()
-    counts = Counter({r["word"]: r["n"] for r in counted})
-    for w in SEED_WORDS:  # known words even where no page's text holds them
-        counts[w] = max(counts[w], max(counts.values(), default=1) // 1000 + 1)
-    total = sum(counts.values()) + 1
-    model = UrlModel({w: math.log(total / n) for w, n in counts.items()}, math.log(total) + 10, max(map(len, counts)))
+    top = words.agg(F.max("n")).first()[0] or 1
+    seeds = spark.createDataFrame([(w, top // 1000 + 1) for w in SEED_WORDS], "word string, n long")  # known words even where no page's text holds them
+    words = materialize(words.where(~F.col("word").isin(*SEED_WORDS)).union(words.where(F.col("word").isin(*SEED_WORDS)).union(seeds).groupBy("word").agg(F.max("n").alias("n"))), "seeded")
+    model = UrlModel(words, words.agg(F.sum("n")).first()[0] + 1)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
         for batch in batches:
-            for host, path in zip(batch["host"], batch["path"], strict=True):
-                tokens = model.tokens(host, path)
+            for host_words, path in zip(batch["host_words"], batch["path"], strict=True):
+                tokens = url_tokens(host_words, path)
                 block = seed_label(tokens)
                 seen[("", block)] += 1
                 seen.update((t, block) for t in tokens)
@@ -178,15 +190,16 @@ def fit(pages: DataFrame, url: str = "url", html: str = "html", vocabulary: int
         yield pd.DataFrame([(*k, v) for k, v in seen.items()], columns=["token", "block", "n"])
 
     parts = pages.select(url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
+    parts = parts.join(model.host_words(parts), "host")
     table = parts.mapInPandas(count, "token string, block int, n long").groupBy("token").agg(F.sum(F.when(F.col("block") == 1, F.col("n")).otherwise(0)).alias("yes"), F.sum(F.when(F.col("block") == 0, F.col("n")).otherwise(0)).alias("no"))
     table = materialize(table, "tokens")
     prior = table.where("token = ''").first()
-    if prior is None:
-        return model
-    rows = most_frequent(table.where("token <> ''"), F.col("yes") + F.col("no"), features).collect()
-    yes, no = (sum(r[k] for r in rows) + len(rows) + 1 for k in ("yes", "no"))
-    model.prior = math.log((prior["yes"] + 1) / (prior["no"] + 1))
-    model.weights = {r["token"]: math.log((r["yes"] + 1) / yes) - math.log((r["no"] + 1) / no) for r in rows}
+    table = table.where("token <> ''")
+    sums = table.agg(F.count("*").alias("n"), F.sum("yes").alias("yes"), F.sum("no").alias("no")).first()
+    yes, no = ((sums[k] or 0) + sums["n"] + 1 for k in ("yes", "no"))
+    model.tokens = table.select("token", (F.log((F.col("yes") + 1) / yes) - F.log((F.col("no") + 1) / no)).alias("weight"))
+    if prior is not None:
+        model.prior = math.log((prior["yes"] + 1) / (prior["no"] + 1))
     return model
 
 
@@ -196,14 +209,20 @@ def judge(pages: DataFrame, rules: list[Rule], model: UrlModel, page_id: str = "
     rows = pages.select(F.col(page_id).alias("page_id"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
     rows = rows.select("*", name.alias("rule"), verdict.alias("ruled"))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            tokens = [model.tokens(h, p) for h, p in zip(batch["host"], batch["path"], strict=True)]
-            batch["score"] = [model.score(t) for t in tokens]
-            batch["words"] = [" ".join(w[2:] for w in t if w[0] == "h") for t in tokens]
-            yield batch
+    rows = rows.join(model.host_words(rows), "host").withColumn("row", F.monotonically_increasing_id())
+    rows = materialize(rows, "pages")
 
-    schema = rows.schema.simpleString()[len("struct<") : -1].replace(":", " ")
-    scored = rows.mapInPandas(score, f"{schema.replace(',', ', ')}, score double, words string")
+    def tokenize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            tokens = [url_tokens(w, p) for w, p in zip(batch["host_words"], batch["path"], strict=True)]
+            yield batch[["row"]].assign(tokens=tokens)
+
+    tokens = rows.select("row", "host_words", "path").mapInPandas(tokenize, "row long, tokens array<string>")
+    tokens = tokens.select("row", F.posexplode("tokens").alias("at", "token")).join(model.tokens, "token", "left")
+    # added in the tokens' order, so that a score does not depend on how rows were dealt
+    weights = F.sort_array(F.collect_list(F.struct("at", F.coalesce("weight", F.lit(model.unseen)).alias("weight"))))
+    scores = tokens.groupBy("row").agg(F.aggregate(weights, F.lit(0.0), lambda s, x: s + x["weight"]).alias("sum"))
+    score = F.lit(model.prior) + F.coalesce("sum", F.lit(0.0))
+    scored = rows.join(scores, "row", "left").select("*", score.alias("score"), F.array_join("host_words", " ").alias("words"))
     by_method = F.when(F.col("score") > 0, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_method).alias("verdict"), "words", "score")

@@ -127,6 +127,15 @@ def test_host_segmentation_and_bayes(spark):
     assert {r["page_id"]: r["verdict"] for r in url_filter.judge(unseen, [], model).collect()} == {1: "block", 2: "allow"}
 
 
+def test_models_keep_rare_words_and_tokens(spark):
+    common_ = [f"{a}{b}{c}q{d}" for a in "bcdfghjklmnprstvwx" for b in "aeiouy" for c in "bcdfghjklmnprstvwxz" for d in "aeioubcdfghjklmnprstvwxyz"][:50_001]
+    rows = [(i, f"http://gardentools.example.org/{w}/{w}", f"<p>{w} {w}</p>") for i, w in enumerate(common_ + common_[:10_000])]
+    rows.append((-1, "http://zebrafish.example.org/oncehere", "<p>zebra fish</p>"))
+    model = url_filter.fit(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4))
+    assert model.segment("zebrafish") == ["zebra", "fish"]
+    assert model.tokens.where("token in ('p:oncehere', 'h:zebra')").count() == 2
+
+
 def test_archives_round_trip(spark):
     rows = [(3, "http://a/1?x", "<p>é</p>"), (1, "http://a/2", "<p>é</p>"), (2, None, None), (4, "http://a/\r\nX: y", ""), (5, "http://b", "WARC/1.1\r\n\r\nend\r\n\r\n"), (6, "http://b", "x" * 300_000), (7, "u", "<p>é</p>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)

@@ -91,13 +91,14 @@ DIGIT_WORDS = {
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 HIDDEN = "­​‌‍⁠﻿"
 _AT, _DOT = r"at|arroba|arobase", r"dot|punto|punkt|point"
-#: A quick look for what the transducers rewrite.
-TRIGGER = re.compile(rf"[{HIDDEN}]|[\[({{<]\s?(?:{_AT}|@|{_DOT}|\.)\s?[\])}}>]|\b(?:{_WORD})[ ,.-]{{1,3}}(?:{_WORD}|[0-9])\b|\b(?:{_AT}|{_DOT})\b", re.I)
+#: A quick look for what the transducers rewrite. Of spelled digits it takes what SPELLED_RUN and edits() do:
+#: two in a run, with numbers, dots and dashes between them, and the run's separators.
+TRIGGER = re.compile(rf"[{HIDDEN}]|[\[({{<]\s?(?:{_AT}|@|{_DOT}|\.)\s?[\])}}>]|(?<!\w)(?:{_WORD})[ ,().-]{{1,3}}(?:(?:[0-9]+|{_DOT}|dash)[ ,().-]{{1,3}})*(?:{_WORD})(?!\w)|\b(?:{_AT}|{_DOT})\b", re.I)
 SEPARATED = re.compile(r"\d(?:[\s.-]?\d)+")
 BRACKET_AT = re.compile(rf"\s?[\[({{<]\s?(?:{_AT}|@)\s?[\])}}>]\s?", re.I)
 BRACKET_DOT = re.compile(rf"\s?[\[({{<]\s?(?:{_DOT}|\.)\s?[\])}}>]\s?", re.I)
-#: A spelled at counts only before a name with a spelled dot, or after a name that no sentence would hold.
-SPELLED_AT = re.compile(rf"(?<=[A-Za-z0-9])\s(?:{_AT})\s(?=[A-Za-z0-9-]+(?:\s(?:{_DOT})\s[A-Za-z0-9-]+|\.[A-Za-z0-9-]+\s(?:{_DOT})\s))|(?<=[0-9])\s(?:{_AT})\s(?=[A-Za-z0-9-]+\.[A-Za-z0-9-]+)", re.I)
+#: A spelled at counts only before a name with a spelled dot, or after a name that no sentence would hold: see spelled_at().
+SPELLED_AT = re.compile(rf"(?<=[A-Za-z0-9])\s(?:{_AT})\s(?=[A-Za-z0-9-]+(?:\s(?:{_DOT})\s[A-Za-z0-9-]+|\.[A-Za-z0-9-]+\s(?:{_DOT})\s))|(?P<plain>(?<=[A-Za-z0-9._%+-])\s(?:{_AT})\s(?=[A-Za-z0-9-]+\.[A-Za-z0-9-]+))", re.I)
 SPELLED_DOT = re.compile(rf"(?<=[A-Za-z0-9])\s(?:{_DOT})\s(?=[A-Za-z0-9])", re.I)
 SPELLED_RUN = re.compile(rf"(?<!\w)(?:plus\s)?(?:(?:{_WORD}|[0-9]+|{_DOT}|dash)(?:[ ,().-]{{1,3}}|(?!\w)))+", re.I)
 IN_RUN = re.compile(rf"(?P<digit>\b(?:{_WORD})\b)|(?P<dot>\s?\b(?:{_DOT})\b\s?)|(?P<dash>\s?\bdash\b\s?)|(?P<plus>\bplus\b\s?)|(?P<gap>[ ,-]+)", re.I)
@@ -121,12 +122,23 @@ def look_alikes() -> tuple[dict[int, str], np.ndarray]:
     return table, known
 
 
+def spelled_at(text: str, m: re.Match) -> bool:
+    """Before a plain name, the part before a spelled at has to hold a digit or a sign; a dot or dash at
+    its edges may be a sentence's."""
+    if m["plain"] is None:
+        return True
+    start = m.start()
+    while start and text[start - 1] in LOCAL:
+        start -= 1
+    return any(not c.isalpha() for c in text[start : m.start()].strip(".-"))
+
+
 def edits(text: str) -> list[tuple[int, int, str]]:
     """(start, end, replacement) of the rewriting transducers, in order and without overlaps."""
     found = [(m.start(), m.end(), "") for m in re.finditer(f"[{HIDDEN}]+", text)]
     found += [(*m.span(), "@") for m in BRACKET_AT.finditer(text)]
     found += [(*m.span(), ".") for m in BRACKET_DOT.finditer(text)]
-    found += [(*m.span(), "@") for m in SPELLED_AT.finditer(text)]
+    found += [(*m.span(), "@") for m in SPELLED_AT.finditer(text) if spelled_at(text, m)]
     spelled_dots = [(*m.span(), ".") for m in SPELLED_DOT.finditer(text)]
     for m in SPELLED_RUN.finditer(text):
         run = m[0]

@@ -105,6 +105,32 @@ def test_disguised_data_is_mapped_back_to_the_source(text, kind):
     assert (5, 5 + len(text)) in every[kind]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("jane.doe at example.com", "email"),
+        ("jane_doe at mail.example.com", "email"),
+        ("j4ne at example.com", "email"),
+        ("+1 five 55 two 12 nine 00", "phone"),
+        ("+1 five (55) two 12 nine 00", "phone"),
+    ],
+)
+def test_disguises_behind_the_gates_are_found(text, kind):
+    _, every = pii.search(f"é so {text}, und so")
+    assert (5, 5 + len(text)) in every[kind]
+    assert pii.redact(text, pii.search(text)[1]) == f"<{kind.upper()}>"
+
+
+def test_the_trigger_rejects_nothing_that_is_rewritten():
+    random_ = random.Random(12)
+    words = ["one", "zwei", "NUEVE", "7", "55", "dot", "dash", "plus", "at", "x.y", "a_b", "word", "oneself", "(", ")", "-", ",", ".", " ", " ", "  ", "\n", "[at]", "{ dot }", "\u200b", "@", "é"]
+    for _ in range(20_000):
+        text = "".join(random_.choice(words) + random_.choice(["", " "]) for _ in range(random_.randint(1, 12)))
+        assert pii.TRIGGER.search(text) or not pii.edits(text), text
+    for text in ("We stopped. At example.com they wait", "he was here. at example.com", "look at example.com"):
+        assert not any(pii.search(text)[1].values())
+
+
 def test_prose_is_left_alone_and_base_spans_stay():
     for text in ("Meet me at noon by the dot at the end", "one and two and three", "look at example.com", "a (at) b", None, ""):
         assert not any(pii.search(text)[1].values())

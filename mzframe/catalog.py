@@ -24,7 +24,6 @@ from mzframe.plans.encoding import plan_table
 from mzframe.sources import json_spectra, mzml, token_text
 from mzframe.streaming.tokens import decoded_stream
 
-KEY = F.col("id").cast("bigint").alias("key")
 ORDER = ["l_linenumber", "l_partkey", "l_suppkey"]
 
 
@@ -32,6 +31,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _key() -> Column:
+    return F.col("id").cast("bigint").alias("key")
+
+
 def _scratch(spark: SparkSession) -> str:
     """A new path in the folder that the cluster shares."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='mzframe-')}"
@@ -60,7 +63,7 @@ def line_spectra(spark: SparkSession, sf_dir: str, mz: Column | None = None, int
 
 
 def _peaks_of(spectra: DataFrame) -> DataFrame:
-    return peaks.peak_table(spectra).select(KEY, "pos", "mz", "intensity", "charge")
+    return peaks.peak_table(spectra).select(_key(), "pos", "mz", "intensity", "charge")
 
 
 def _rounded(rows: DataFrame, *names: str) -> DataFrame:
@@ -84,7 +87,7 @@ def top_n_ties(spark, d):
 
 
 def top_n_0(spark, d):
-    return peaks.top_n(line_spectra(spark, d), 0).select(KEY, "default_array_length", F.size("mz").alias("left"))
+    return peaks.top_n(line_spectra(spark, d), 0).select(_key(), "default_array_length", F.size("mz").alias("left"))
 
 
 def top_n_all(spark, d):
@@ -98,13 +101,13 @@ def top_n_peak_table(spark, d):
 def drop_user_params(spark, d):
     user = F.array(F.struct(F.lit("vendor").alias("name"), params.typed_value(F.lit("7")).alias("value"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("unit_accession")))
     spectra = line_spectra(spark, d).withColumn("user_params", user.cast(f"array<{S.USER}>"))
-    return peaks.drop_user_params(spectra).select(KEY, F.size("user_params").alias("n_user"), F.size("mz").alias("n_peaks"))
+    return peaks.drop_user_params(spectra).select(_key(), F.size("user_params").alias("n_user"), F.size("mz").alias("n_peaks"))
 
 
 def mobility_view(spark, d):
     extra = F.map_concat("extra_arrays", F.create_map(F.lit("MS:1003008"), F.element_at("extra_arrays", "tax")))
     spectra = line_spectra(spark, d).withColumn("extra_arrays", extra)
-    return spectra.select(KEY, F.explode(peaks.mobility_arrays(F.col("extra_arrays"))).alias("name", "x")).select("key", "name", F.size("x.values").alias("n"))
+    return spectra.select(_key(), F.explode(peaks.mobility_arrays(F.col("extra_arrays"))).alias("name", "x")).select("key", "name", F.size("x.values").alias("n"))
 
 
 def quantize_linear(spark, d):
@@ -114,7 +117,7 @@ def quantize_linear(spark, d):
 def _slof(spark, d, factor):
     spectra = line_spectra(spark, d, intensity=F.col("intensity") * factor)
     fp = Q.safe_slof_fp(F.array_max("intensity"))
-    rows = spectra.select(KEY, fp.alias("fp"), F.posexplode("intensity").alias("pos", "x"))
+    rows = spectra.select(_key(), fp.alias("fp"), F.posexplode("intensity").alias("pos", "x"))
     return rows.select("key", "pos", "fp", F.round(Q.slof_round_trip(F.col("x"), F.col("fp")) / F.col("x"), 6).alias("ratio"))
 
 
@@ -134,7 +137,7 @@ def _round_trip(spark, d, **options):
     """Through real tokens and back."""
     decoded = tokens.decode(_stored(tokens.encode(line_spectra(spark, d), **options).select("token")))
     zipped = F.arrays_zip(F.col("mz").alias("a"), F.col("intensity").alias("b"), F.col("charge").alias("c"), F.element_at("extra_arrays", "MS:1000517")["values"].alias("x"), F.element_at("extra_arrays", "tax")["values"].alias("t"))
-    rows = decoded.select(KEY, F.posexplode(zipped).alias("pos", "p"))
+    rows = decoded.select(_key(), F.posexplode(zipped).alias("pos", "p"))
     return _rounded(rows.select("key", "pos", F.col("p.a").alias("mz"), F.col("p.b").alias("intensity"), F.col("p.c").alias("charge"), F.col("p.x").alias("noise"), F.col("p.t").alias("tax")), "mz", "intensity", "noise")
 
 
@@ -164,7 +167,7 @@ def round_trip_embeddings(spark, d):
 
 def _plan(spark, d, spectra=None, **options):
     spectra = line_spectra(spark, d) if spectra is None else spectra
-    return plan_table(spectra, **options).select(KEY, "pos", "array_key", "array", "type", "comp", "fp")
+    return plan_table(spectra, **options).select(_key(), "pos", "array_key", "array", "type", "comp", "fp")
 
 
 def encoding_plan_default(spark, d):
@@ -190,7 +193,7 @@ def spectrum_summary(spark, d):
 def precision_stats(spark, d):
     spectra = line_spectra(spark, d)
     back = F.transform("mz", lambda x: Q.linear_round_trip(x, 100))
-    return _rounded(spectra.select(KEY, analytics.precision(F.col("mz"), back).alias("p")).select("key", "p.*"), "max_abs", "mean_abs", "max_ppm", "mean_ppm", "max_percent", "mean_percent")
+    return _rounded(spectra.select(_key(), analytics.precision(F.col("mz"), back).alias("p")).select("key", "p.*"), "max_abs", "mean_abs", "max_ppm", "mean_ppm", "max_percent", "mean_percent")
 
 
 def linear_residual(spark, d):
@@ -266,7 +269,7 @@ def size_texts(spark, d):
 
 
 def mode_sizes(spark, d):
-    return tokens.mode_sizes(line_spectra(spark, d)).select(KEY, (F.col("lossless") > 0).alias("lossless"), (F.col("lossy") > 0).alias("lossy"))
+    return tokens.mode_sizes(line_spectra(spark, d)).select(_key(), (F.col("lossless") > 0).alias("lossless"), (F.col("lossy") > 0).alias("lossy"))
 
 
 def duplicate_params(spark, d):
@@ -317,24 +320,25 @@ def unit_encode(spark, d):
     return rows.withColumn("back", A.unit_from_wire(F.col("wire")))
 
 
-_TOKEN = F.concat(F.lit(f"{U.MAGIC}."), F.md5("url"), F.lit(".00000000"))
+def _link_token() -> Column:
+    return F.concat(F.lit(f"{U.MAGIC}."), F.md5("url"), F.lit(".00000000"))
 
 
 def to_fragment(spark, d):
-    return _table(spark, d, "pages").select("page_id", U.to_fragment(_TOKEN, F.regexp_replace("url", "#.*$", "##")).alias("link"))
+    return _table(spark, d, "pages").select("page_id", U.to_fragment(_link_token(), F.regexp_replace("url", "#.*$", "##")).alias("link"))
 
 
 def to_query(spark, d):
-    return _table(spark, d, "pages").select("page_id", U.to_query(_TOKEN, F.col("url"), "page").alias("link"))
+    return _table(spark, d, "pages").select("page_id", U.to_query(_link_token(), F.col("url"), "page").alias("link"))
 
 
 def to_data_uri(spark, d):
-    return _table(spark, d, "pages").select("page_id", U.to_data_uri(_TOKEN).alias("link"))
+    return _table(spark, d, "pages").select("page_id", U.to_data_uri(_link_token()).alias("link"))
 
 
 def extract_token(spark, d):
     base = F.regexp_replace("url", "#.*$", "")
-    link = F.when(F.col("page_id") % 4 == 0, U.to_fragment(_TOKEN, base)).when(F.col("page_id") % 4 == 1, U.to_query(_TOKEN, base)).when(F.col("page_id") % 4 == 2, U.to_data_uri(_TOKEN)).otherwise(F.col("url"))
+    link = F.when(F.col("page_id") % 4 == 0, U.to_fragment(_link_token(), base)).when(F.col("page_id") % 4 == 1, U.to_query(_link_token(), base)).when(F.col("page_id") % 4 == 2, U.to_data_uri(_link_token())).otherwise(F.col("url"))
     return _table(spark, d, "pages").select("page_id", U.extract_token(link).alias("token"))
 
 
@@ -353,17 +357,17 @@ def token_checksum(spark, d):
 
 def inspect_arrays(spark, d):
     out = tokens.inspect(_stored(tokens.encode(line_spectra(spark, d)).select("id", "token")), "id")
-    return out.select(KEY, "pos", "array", "name", "type", "compression", "fixed_point")
+    return out.select(_key(), "pos", "array", "name", "type", "compression", "fixed_point")
 
 
 def breakdown_bytes(spark, d):
-    return tokens.breakdown(_stored(tokens.encode(line_spectra(spark, d)).select("id", "token")), "id").select(KEY, "pos", "part", (F.col("bytes") > 0).alias("some"))
+    return tokens.breakdown(_stored(tokens.encode(line_spectra(spark, d)).select("id", "token")), "id").select(_key(), "pos", "part", (F.col("bytes") > 0).alias("some"))
 
 
 def size_ratio(spark, d):
     encoded = tokens.encode(line_spectra(spark, d))
     raw = analytics.raw_bytes(F.col("default_array_length"), F.col("charge").isNotNull(), F.col("extra_arrays"))
-    return encoded.select(KEY, raw.cast("bigint").alias("raw_bytes"), (F.length("token") > 0).alias("encoded"))
+    return encoded.select(_key(), raw.cast("bigint").alias("raw_bytes"), (F.length("token") > 0).alias("encoded"))
 
 
 def malformed_codes(spark, d):
@@ -386,7 +390,7 @@ def malformed_codes(spark, d):
 def tolerance_check(spark, d):
     spectra = line_spectra(spark, d)
     near = validation.within(F.transform("mz", lambda x: Q.linear_round_trip(x, 100)), F.col("mz"), 1e-6, 1e-5)
-    return spectra.select(KEY, near.alias("near"))
+    return spectra.select(_key(), near.alias("near"))
 
 
 def json_round_trip(spark, d):
@@ -395,13 +399,13 @@ def json_round_trip(spark, d):
     json_spectra.write_json(line_spectra(spark, d).withColumn("params", meta.cast(f"array<{S.CV}>")), path)
     back = json_spectra.read_json(spark, path)
     kinds = F.array_join(F.transform("params", lambda p: p["value"]["kind"]), " ")
-    return back.select(KEY, "default_array_length", kinds.alias("kinds"), F.round(F.array_max("mz"), 4).alias("high_mz"), F.size(F.element_at("extra_arrays", "tax")["values"]).alias("n_tax"))
+    return back.select(_key(), "default_array_length", kinds.alias("kinds"), F.round(F.array_max("mz"), 4).alias("high_mz"), F.size(F.element_at("extra_arrays", "tax")["values"]).alias("n_tax"))
 
 
 def token_files(spark, d):
     path = _scratch(spark)
     token_text.write_tokens(tokens.encode(line_spectra(spark, d)), path)
-    return tokens.decode(token_text.read_tokens(spark, path)).select(KEY, "default_array_length", "format_version")
+    return tokens.decode(token_text.read_tokens(spark, path)).select(_key(), "default_array_length", "format_version")
 
 
 def mzml_scan(spark, d):
@@ -426,7 +430,7 @@ def mzml_scan(spark, d):
     back = mzml.read_mzml(spark, [path, groups])
     accessions = F.array_join(F.transform("params", lambda p: p["accession"]), " ")
     start = F.try_element_at(F.try_element_at("scans", F.lit(1))["params"], F.lit(1))
-    return back.select(KEY, "default_array_length", accessions.alias("accessions"), params.number_of(start["value"]).alias("start"), start["unit_accession"].alias("unit"), F.round(F.array_max("mz"), 4).alias("high_mz"), F.size("intensity").alias("n_intensity"))
+    return back.select(_key(), "default_array_length", accessions.alias("accessions"), params.number_of(start["value"]).alias("start"), start["unit_accession"].alias("unit"), F.round(F.array_max("mz"), 4).alias("high_mz"), F.size("intensity").alias("n_intensity"))
 
 
 def _little_endian():
@@ -441,7 +445,7 @@ def stream_decode(spark, d):
     """Tokens as files, decoded by a stream that ends when it has read them all, into a table of files."""
     source, sink, state = _scratch(spark), _scratch(spark), _scratch(spark)
     token_text.write_tokens(tokens.encode(line_spectra(spark, d)), source)
-    rows = decoded_stream(spark, source).select(KEY, "default_array_length", "error")
+    rows = decoded_stream(spark, source).select(_key(), "default_array_length", "error")
     query = rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema("key bigint, default_array_length int, error string").parquet(sink)
@@ -496,7 +500,7 @@ def _e(key: str, array: int, comp: int | str, fp: str = "NULL") -> str:
 _TAX = _e("tax", 1000786, 1000574)
 _DEFAULT_PLAN = _plan_sql(_e("mz", 1000514, 1002746, "100000"), _e("intensity", 1000515, 1002748, _FP.format(x="intensity")), _e("charge", 1000516, 1002747), _e("MS:1000517", 1000517, 1002748, _FP.format(x="noise")), _TAX)
 _NEGATIVE = "CASE WHEN min(intensity) < 0 THEN {a} ELSE {b} END"
-_MASSES = "map {" + ", ".join(f"'{k}': {v}" for k, v in analytics.RESIDUES.items()) + "}"
+_MASSES = "map {" + ", ".join(f"'{k}': {v}::DOUBLE" for k, v in analytics.RESIDUES.items()) + "}"
 _PEPTIDES = "SELECT p_partkey AS key, substr(translate(md5(p_partkey::VARCHAR), '0123456789abcdef', 'GASPVTCLNDQKEMHF'), 1, 12) AS sequence FROM part"
 _TOKEN_SQL = f"'{U.MAGIC}.' || md5(url) || '.00000000'"
 _LABEL_CASE = "CASE accession " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in R.LABELS.items()) + " ELSE accession END"

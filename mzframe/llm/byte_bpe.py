@@ -1,38 +1,51 @@
 """Byte-level BPE encoding and decoding of whole texts.
 
-Texts are cut into overlapping chunks that are pre-tokenised in parallel. The pattern looks ahead
+Every text is cut into overlapping chunks that are pre-tokenised apart. The pattern looks ahead
 only, so from any position that is a boundary in two chunks on, both continue alike: neighbours
 are stitched at the first boundary that both have in their overlap. The pieces between boundaries
-are encoded beside their chunk, and stitching cuts the ids there. A text of one chunk needs no
-shuffle; only chunks of longer texts are dealt out. Decoding concatenates the ids' raw bytes.
+are encoded beside their chunk, and stitching cuts the ids there. A text of one chunk is the case
+in which there is nothing to stitch. Decoding concatenates the ids' raw bytes.
 
-Where an overlap has no common boundary (one piece covers it all), the text from the last sure
-boundary on is pre-tokenised again together with the next chunk, so that the result is always that
-of the whole text.
+Where an overlap has no common boundary, the text from the last sure boundary on stays open. A
+chunk without a boundary of its own only lengthens it; at the first one that has some, the open text
+is pre-tokenised together with that chunk. So a long run without spaces is looked at once as a
+whole, when it closes, and the result is always that of the whole text.
+
+Texts are read once. Those of up to `dealt` characters are cut, coded and stitched in the task that
+reads them. Longer ones are cut there into chunks of `dealt` characters, which are written,
+dealt out, coded in parallel and brought together again by text; so no task codes more than that at
+once, and only their ids come together.
 
 Defined results: a null text is empty and has no ids. Repeated rows and ids stay rows of their
-own. An empty table gives an empty result. Other columns of the input are ignored.
+own, and ids may be null. An empty table gives an empty result. Other columns of the input are
+ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
-from collections.abc import Callable, Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate, chain, groupby
+from operator import itemgetter
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from mzframe.llm.common import materialize
 
 #: White space as Unicode defines it, spelled out since regex libraries differ on control characters.
 SPACES = r"\t-\r \x85\xa0  -     　"
-#: Longest literal of the pattern: a match may depend on so many characters behind its start.
+#: Longest literal of the pattern and what follows it: a boundary so near a chunk's end may depend on what comes after.
 LOOK = 4
 MEMO = 200_000
-LONG_PIECE = 2_000
 
 
 def load_ranks(spark: SparkSession, path: str) -> bytes:
@@ -49,161 +62,158 @@ class Coder:
         import tiktoken
 
         pairs = (line.split() for line in rank_file.splitlines() if line.strip())
-        self.ranks = {base64.b64decode(a): int(b) for a, b in pairs}
-        self.bytes = {i: b for b, i in self.ranks.items()}
-        plain = pattern
-        pattern = pattern.replace(r"[^\s", rf"[^{SPACES}").replace(r"\S", f"[^{SPACES}]").replace(r"\s", f"[{SPACES}]")
-        self.find = regex.compile(pattern)
+        ranks = {base64.b64decode(a): int(b) for a, b in pairs}
+        self.bytes = {i: b for b, i in ranks.items()}
+        own = pattern.replace(r"[^\s", rf"[^{SPACES}").replace(r"\S", f"[^{SPACES}]").replace(r"\s", f"[{SPACES}]")
+        self.find = regex.compile(own).findall
         self.memo: dict[str, bytes] = {}
-        self.library = tiktoken.Encoding("ranks", pat_str=plain, mergeable_ranks=self.ranks, special_tokens={})
+        self.merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def piece(self, piece: str) -> bytes:
         """Ids of one piece as little-endian 32-bit integers."""
-        raw = piece.encode()
-        ids = self.library._core_bpe.encode_single_piece(raw) if len(raw) <= LONG_PIECE else self.merge(raw)
-        out = np.array(ids, "<u4").tobytes()
+        out = np.array(self.merge(piece.encode()), "<u4").tobytes()
         if len(piece) <= 40:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
             self.memo[piece] = out
         return out
 
-    def merge(self, raw: bytes) -> list[int]:
-        """For long pieces. Merges the adjacent pair of the lowest rank, leftmost first, until none has a rank; a heap keeps long pieces cheap."""
-        n = len(raw)
-        end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := self.ranks.get(raw[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        gone = bytearray(n)
-        while heap:
-            _, i, stop = heapq.heappop(heap)
-            j = after[i] if not gone[i] else n
-            if j >= n or end[j] != stop:
-                continue
-            end[i], after[i], gone[j] = stop, after[j], 1
-            if after[i] < n:
-                before[after[i]] = i
-                if (r := self.ranks.get(raw[i : end[after[i]]])) is not None:
-                    heapq.heappush(heap, (r, i, end[after[i]]))
-            if (h := before[i]) >= 0 and (r := self.ranks.get(raw[h:stop])) is not None:
-                heapq.heappush(heap, (r, h, stop))
-        return [self.ranks[raw[i : end[i]]] for i in range(n) if not gone[i]]
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a text that is one chunk. The library finds and merges the same pieces in one pass; it is
-        quadratic in a piece's length, so texts with a long run without spaces go piece by piece."""
-        if len(text) > LONG_PIECE and max(map(len, text.split()), default=0) > LONG_PIECE or len(text) > LONG_PIECE and not text.strip():
-            memo, piece = self.memo, self.piece
-            return b"".join([memo.get(p) or piece(p) for p in self.find.findall(text)])
-        return np.array(self.library.encode_ordinary(text), "<u4").tobytes()
-
-    def encode_pieces(self, text: str) -> tuple[np.ndarray, np.ndarray, bytes]:
-        """Where each piece starts, in characters and in ids, with the end of both; the ids."""
-        found = self.find.findall(text)
-        coded = [self.memo.get(p) or self.piece(p) for p in found]
-        chars = np.cumsum([0, *map(len, found)])
-        return chars, np.cumsum([0, *(len(x) // 4 for x in coded)]), b"".join(coded)
-
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def stitch(coder: Coder, parts: Iterator[dict], overlap: int) -> Iterator[bytes]:
-    """The ids of a text, piecewise, from its chunks in order.
+class Part(NamedTuple):
+    """A coded chunk. bounds: where its pieces start, in characters of the text, and the end; at: the same in
+    bytes of ids; sure: the index of the last bound that no text behind the chunk can move."""
+
+    start: int
+    end: int
+    sure: int
+    bounds: list[int]
+    at: list[int]
+    ids: bytes
+
+
+def chunk_part(coder: Coder, text: str, start: int, last: bool) -> Part:
+    found, memo, piece = coder.find(text), coder.memo, coder.piece
+    coded = [memo.get(p) or piece(p) for p in found]
+    bounds = list(accumulate(map(len, found), initial=start))
+    end = start + len(text)
+    sure = len(found) if last else max(0, min(bisect_right(bounds, end - LOOK), len(found)) - 1)
+    return Part(start, end, sure, bounds, list(accumulate(map(len, coded), initial=0)), b"".join(coded))
+
+
+def trimmed(part: Part, overlap: int) -> Part:
+    """With the bounds that stitching may ask for."""
+    keep = [k for k, b in enumerate(part.bounds) if b <= part.start + overlap or b >= part.end - overlap or k == part.sure]
+    return part._replace(sure=keep.index(part.sure), bounds=[part.bounds[k] for k in keep], at=[part.at[k] for k in keep])
+
+
+def meeting(held: Part, done: int, part: Part) -> tuple[int, int] | None:
+    """The indexes of the first bound that both are sure of; done: that of held's first bound still to come."""
+    first = max(done, bisect_left(held.bounds, part.start))
+    ours = dict(zip(held.bounds[first : held.sure + 1], range(first, held.sure + 1), strict=True))
+    for k, b in enumerate(part.bounds[: part.sure + 1]):
+        if b in ours:
+            return ours[b], k
+        if b > held.end:
+            break
+    return None
 
-    A part has start and end (characters in the text), ids, sure (the last sure boundary), and
-    chars, tokens: the boundaries in the first and last `overlap` characters and the sure one."""
-    held, done = next(parts), 0  # done: ids of `held` that are given out
-    for part in parts:
-        ours = {c: t for c, t in zip(held["chars"], held["tokens"], strict=True) if part["start"] <= c <= held["sure"]}
-        common = next((c for c in part["chars"] if c in ours and c <= part["sure"]), None)
-        if common is not None and ours[common] >= done:
-            yield held["ids"][4 * done : 4 * ours[common]]
-            done = dict(zip(part["chars"], part["tokens"], strict=True))[common]
+
+def stitch(coder: Coder, parts: Iterable[tuple[Part, bool]]) -> Iterator[bytes]:
+    """The ids of a text, piecewise, from its chunks in order; each comes with whether it is the last."""
+    held: Part | None = None
+    done, start, end, open_text = 0, 0, 0, []
+    for part, last in parts:
+        if held is None and not open_text:
             held = part
             continue
-        at = dict(zip(held["chars"], held["tokens"], strict=True))
-        cut, token = max(((c, t) for c, t in at.items() if t >= done and c <= held["sure"]), default=(None, None))
-        if cut is None:
-            raise AssertionError("a chunk has no sure boundary from which it is given out")
-        yield held["ids"][4 * done : 4 * token]
-        text = coder.decode(held["ids"][4 * token :]).decode() + coder.decode(part["ids"]).decode()[held["end"] - part["start"] :]
-        held, done = chunk_part(coder, text, cut, part["last"], overlap), 0
-    yield held["ids"][4 * done :]
-
-
-def chunk_part(coder: Coder, text: str, start: int, last: bool, overlap: int) -> dict:
-    chars, tokens, ids = coder.encode_pieces(text)
-    sure = chars[-1] if last else max(chars[chars <= max(len(text) - LOOK, 0)][-1], 0)
-    if not last and sure == chars[-1]:
-        sure = chars[-2] if len(chars) > 1 else 0
-    keep = (chars <= overlap) | (chars >= len(text) - overlap) | (chars == sure)
-    return {"start": start, "end": start + len(text), "last": last, "sure": int(sure) + start, "chars": (chars[keep] + start).tolist(), "tokens": tokens[keep].tolist(), "ids": ids}
-
-
-def encode(docs: DataFrame, rank_file: bytes, pattern: str, emit: Callable[[Coder, Iterator[bytes]], tuple], schema: str, doc_id: str = "doc_id", text: str = "text", chunk: int = 65_536, overlap: int = 1_024) -> DataFrame:
+        if held is not None:
+            if met := meeting(held, done, part):
+                yield held.ids[held.at[done] : held.at[met[0]]]
+                held, done = part, met[1]
+                continue
+            cut = held.at[held.sure]
+            yield held.ids[held.at[done] : cut]
+            start, end, open_text, held = held.bounds[held.sure], held.end, [coder.decode(held.ids[cut:]).decode()], None
+        open_text.append(coder.decode(part.ids).decode()[end - part.start :])
+        end = part.end
+        if part.sure or last:
+            held, done, open_text = chunk_part(coder, "".join(open_text), start, last), 0, []
+    if held is not None:
+        yield held.ids[held.at[done] :]
+
+
+def chunks(text: str, chunk: int, overlap: int) -> Iterator[tuple[int, str, bool]]:
+    """(start, text, whether it is the last) of overlapping chunks."""
+    stop = max(1, len(text) - overlap)
+    for s in range(0, stop, chunk):
+        last = s + chunk >= stop
+        yield s, text[s:] if last else text[s : s + chunk + overlap], last
+
+
+def encode(docs: DataFrame, rank_file: bytes, pattern: str, emit: Callable[[Coder, Iterator[bytes]], tuple], schema: str, doc_id: str = "doc_id", text: str = "text", chunk: int = 1_024, overlap: int = 64, dealt: int = 65_536) -> DataFrame:
     """doc_id and what emit makes of each text's ids, which it gets piecewise, as columns of schema.
 
-    chunk, overlap: characters. emit runs on executors; `digests` and `token_ids` are two."""
+    chunk, overlap, dealt: characters. emit runs on executors; `digests` and `token_ids` are two."""
     shared = docs.sparkSession.sparkContext.broadcast(rank_file)
     kind = docs.schema[doc_id].dataType.simpleString()
-    names = ["doc_id", *(x.split()[0] for x in schema.split(", "))]
-    out = f"doc_id {kind}, {schema}"
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out, cut = f"doc_id {kind}, {schema}", "row long, k int, start long, last boolean, chunk string"
+    names = [f.name for f in StructType.fromDDL(schema)]
+    coded = f"row long, k int, doc_id {kind}, start long, end long, last boolean, sure int, bounds array<long>, at array<long>, ids binary"
+    arrow, arrow_begun, arrow_coded = (to_arrow_schema(StructType.fromDDL(x)) for x in (out, f"{out}, {cut}", coded))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+    def batched(made: Iterator[dict], kind: pa.Schema, most: int = 500) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for row in made:
+            held.append(row)
+            if len(held) >= most:
+                yield pa.RecordBatch.from_pylist(held, schema=kind)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=kind)
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Finished rows of texts that are not dealt out, and the others' chunks."""
         coder = Coder(shared.value, pattern)
-        for batch in batches:
-            for part in range(0, batch.num_rows, 500):
-                b = batch.slice(part, 500)
-                made = [emit(coder, iter((coder.encode(t.as_py()),))) for t in b["text"]]
-                yield pa.RecordBatch.from_arrays([b["doc_id"], *map(pa.array, zip(*made, strict=True))], names=names)
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row, key, whole in zip(batch["row"], batch["doc_id"], batch["text"], strict=True):
-                starts = range(0, len(whole) - overlap, chunk)
-                for k, s in enumerate(starts):
-                    yield pd.DataFrame({"row": [row], "doc_id": pd.Series([key], dtype=batch["doc_id"].dtype), "k": [k], "start": [s], "last": [k == len(starts) - 1], "text": [whole[s : s + chunk + overlap] if k < len(starts) - 1 else whole[s:]]})
 
-    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def made() -> Iterator[dict]:
+            for batch in batches:
+                for row, key, whole in zip(batch["row"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"], strict=True):
+                    t = whole.as_py()
+                    if len(t) > dealt + overlap:
+                        for k, (s, c, last) in enumerate(chunks(t, dealt, overlap)):
+                            yield {"doc_id": key, "row": row, "k": k, "start": s, "last": last, "chunk": c}
+                        continue
+                    parts = ((chunk_part(coder, c, s, last), last) for s, c, last in chunks(t, chunk, overlap))
+                    yield {"doc_id": key, **dict(zip(names, emit(coder, stitch(coder, parts)), strict=True))}
+
+        yield from batched(made(), arrow_begun)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(shared.value, pattern)
-        for batch in batches:
-            for r in batch.itertuples():
-                p = chunk_part(coder, r.text, r.start, r.last, overlap)
-                yield pd.DataFrame({"row": [r.row], "doc_id": pd.Series([r.doc_id], dtype=batch["doc_id"].dtype), "k": [r.k], **{n: [p[n]] for n in ("start", "end", "last", "sure", "chars", "tokens", "ids")}})
+        made = (r | trimmed(chunk_part(coder, r.pop("chunk"), r["start"], r["last"]), overlap)._asdict() for batch in batches for r in batch.to_pylist())
+        yield from batched(made, arrow_coded, 20)
 
-    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(shared.value, pattern)
 
-        def parts() -> Iterator[dict]:
-            for batch in batches:
-                yield from batch.to_dict("records")
-
-        stream = parts()
-        ahead = next(stream, None)
-
-        def of_row(row: int) -> Iterator[dict]:
-            nonlocal ahead
-            while ahead is not None and ahead["row"] == row:
-                part, ahead = ahead, next(stream, None)
-                yield part
-
-        while ahead is not None:
-            row, key = ahead["row"], ahead["doc_id"]
-            of = of_row(row)
-            made = emit(coder, stitch(coder, of, overlap))
-            for _ in of:
-                raise AssertionError("emit left a part of a text")
-            yield pd.DataFrame({"doc_id": [key], **{n: [v] for n, v in zip(names[1:], made, strict=True)}}).astype({"doc_id": "Int64" if kind in ("bigint", "int") else object})
-
-    limit = chunk + overlap
-    few = rows.where(F.length("text") <= limit).mapInArrow(short, out)
-    long = rows.where(F.length("text") > limit).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    chunks = long.mapInPandas(cut, f"row long, doc_id {kind}, k int, start long, last boolean, text string")
-    coded = chunks.repartition("row", "k").mapInPandas(code, f"row long, doc_id {kind}, k int, start long, end long, last boolean, sure long, chars array<long>, tokens array<long>, ids binary")
-    many = coded.repartition("row").sortWithinPartitions("row", "k").mapInPandas(join, out)
-    return few.unionByName(many)
+        def made() -> Iterator[dict]:
+            of_text = (r for batch in batches for r in batch.to_pylist())
+            for _, group in groupby(of_text, itemgetter("row")):
+                first = next(group)
+                parts = ((Part(*(r[f] for f in Part._fields)), r["last"]) for r in chain([first], group))
+                yield {"doc_id": first["doc_id"], **dict(zip(names, emit(coder, stitch(coder, parts)), strict=True))}
+
+        yield from batched(made(), arrow, 20)
+
+    begun = materialize(rows.mapInArrow(begin, f"{out}, {cut}"), "begun")
+    whole = begun.where("chunk is null").select("doc_id", *names)
+    long = begun.where("chunk is not null").select("row", "k", "doc_id", "start", "last", "chunk")
+    parts = long.repartition("row", "k").mapInArrow(code, coded)
+    return whole.unionByName(parts.repartition("row").sortWithinPartitions("row", "k").mapInArrow(join, out))
 
 
 def token_ids(coder: Coder, ids: Iterator[bytes]) -> tuple:

@@ -36,30 +36,50 @@ def tiktoken_encoding(coder):
 # byte-level BPE
 
 
+def stitched(coder, text, chunk, overlap):
+    parts = [(byte_bpe.chunk_part(coder, c, at, last), last) for at, c, last in byte_bpe.chunks(text, chunk, overlap)]
+    cut = [(byte_bpe.trimmed(p, overlap), last) for p, last in parts]
+    whole, kept = (b"".join(byte_bpe.stitch(coder, iter(x))) for x in (parts, cut))
+    assert whole == kept
+    return np.frombuffer(whole, "<u4").tolist()
+
+
 def test_stitched_chunks_equal_the_library(coder, tiktoken_encoding):
     c, random_ = coder[0], random.Random(1)
-    for overlap in (3, 8, 50):
-        for size in (40, 300):
-            for _ in range(60):
-                s = "".join(random_.choice("ab é  \n\t'sre12中!?​\x1c") for _ in range(size))
-                starts = range(0, len(s) - overlap, 20)
-                if len(starts) < 2:
-                    continue
-                parts = [byte_bpe.chunk_part(c, s[x : x + 20 + overlap] if k < len(starts) - 1 else s[x:], x, k == len(starts) - 1, overlap) for k, x in enumerate(starts)]
-                got = np.frombuffer(b"".join(byte_bpe.stitch(c, iter(parts), overlap)), "<u4").tolist()
-                assert got == tiktoken_encoding.encode_ordinary(s)
+    for letters in ("ab é  \n\t'sre12中!?​\x1c", "aaaaaaaaaaab ", "   \n\n\n\n\n   a", "''''''''''srell ve", "!!!!!!!!.,a\U0001f600"):
+        for overlap in (3, 8, 50):
+            for size in (0, 1, 40, 300):
+                for _ in range(20):
+                    s = "".join(random_.choice(letters) for _ in range(size))
+                    assert stitched(c, s, 20, overlap) == tiktoken_encoding.encode_ordinary(s)
+
+
+def test_usual_texts_have_several_chunks_and_equal_the_library(coder, tiktoken_encoding):
+    import duckdb
+
+    texts = [t or "" for (t,) in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    assert sum(len(list(byte_bpe.chunks(t, 1_024, 64))) > 1 for t in texts) > len(texts) / 2
+    for t in texts:
+        assert stitched(coder[0], t, 1_024, 64) == tiktoken_encoding.encode_ordinary(t)
 
 
-def test_merging_long_pieces_equals_the_library(coder, tiktoken_encoding):
-    for piece in ("a" * 500, "abcde" * 120, "ñandú" * 90):
-        assert coder[0].merge(piece.encode()) == tiktoken_encoding.encode_ordinary(piece)
+def test_a_run_of_ten_million_letters_is_coded_once(coder):
+    """Linear in the run: every chunk is looked at once, and the run once more when it closes."""
+    c, seen = coder[0], []
+    counted = byte_bpe.Coder.__new__(byte_bpe.Coder)
+    counted.memo, counted.bytes, counted.piece = {}, c.bytes, lambda p: seen.append(len(p)) or c.piece(p)
+    counted.find, counted.decode = c.find, c.decode
+    text = "start " + "abcdefghij" * 1_000_000 + " end"
+    parts = ((byte_bpe.chunk_part(counted, t, at, last), last) for at, t, last in byte_bpe.chunks(text, 65_536, 64))
+    ids = b"".join(byte_bpe.stitch(counted, parts))
+    assert c.decode(ids).decode() == text and sum(seen) < 2.1 * len(text)
 
 
 def test_digests_of_whole_texts(spark, coder, tiktoken_encoding):
     texts = ["", None, "hello world", "hello world", "It's 12 naïve  tests\n\n!", " ", "x" * 5000, "word and word, " * 300, "\U0001f600" * 700]
     df = docs(spark, texts)
     ranks = byte_bpe.load_ranks(spark, coder[1])
-    got = {r["doc_id"]: r for r in byte_bpe.encode(df, ranks, coder[2], byte_bpe.digests, byte_bpe.DIGESTS, chunk=512, overlap=64).collect()}
+    got = {r["doc_id"]: r for r in byte_bpe.encode(df, ranks, coder[2], byte_bpe.digests, byte_bpe.DIGESTS, chunk=512, overlap=64, dealt=1500).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
         ids = tiktoken_encoding.encode_ordinary(t or "")

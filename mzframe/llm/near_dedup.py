@@ -9,14 +9,16 @@ propose is verified by the exact weighted Jaccard similarity of the whole texts.
 
 Texts with the same words are one class from the start. In a bucket every class is first verified
 against the smallest one; classes that this leaves in different components are then compared in
-blocks, where a pair is skipped once its members are connected. So copies are not expanded to
-pairs, a block's output is at most one link per member, and no link between components that a band
-proposes is lost.
+blocks. There every pair is verified unless its members are connected, an earlier band brings them
+together too, or the sums of their weights are so unequal that they cannot reach the threshold. So
+copies are not expanded to pairs, a block's output is at most one link per member, and no link
+between components that a band proposes is lost; what is lost is only what no band proposes.
 
 Defined results: a null text has no words; all texts without words are copies of each other; a
-text of fewer than five words is one shingle. Rows that share an id are one document. A row whose id
-is null is kept and has no component. An empty table gives an empty result; other columns stay out
-of the way.
+text of fewer than five words is one shingle. Rows that share an id are one document: it is linked
+to whatever any of its texts is linked to, and `deduplicated` keeps its smallest text. A row whose
+id is null is kept and has no component. An empty table gives an empty result; other columns stay
+out of the way. A very long text is one more row; its shingles are drawn from in parts.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +40,8 @@ SKETCH = 1 << 18
 SKETCH_BLOCKS = 16
 #: A bucket of the sketch that holds its even share weighs 1, one that all shingles hit this much.
 COMMON = 0.75
+#: Texts whose draws a task remembers.
+RECENT = 2_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], "uint64")
 
 
@@ -193,67 +198,89 @@ class Union:
         self.up[max(self.root(a), self.root(b))] = min(self.root(a), self.root(b))
 
 
-def compare_blocks(group: pd.DataFrame, weigh: Weigher, threshold: float, bands: int, least: int) -> list[tuple[int, int]]:
-    """Links between the components of one block's classes, or of two blocks' of one bucket.
+class Shapes:
+    """The shingles of a block's texts side by side, so that one text is compared with many at once."""
 
-    Pairs are tried by falling agreement of their draws; those below `least` common draws, those
-    that an earlier band brings together too, and those already connected are left out."""
+    def __init__(self, texts: list[tuple[np.ndarray, np.ndarray]]):
+        sizes = [len(x) for x, _ in texts]
+        self.ends = np.cumsum(sizes)
+        self.starts = self.ends - sizes
+        self.totals = np.array([w.sum() for _, w in texts])
+        self.weights = np.concatenate([w for _, w in texts])
+        distinct, at = np.unique(np.concatenate([x for x, _ in texts]), return_inverse=True)
+        self.at, self.own = at, np.zeros(len(distinct))
+
+    def similar(self, i: int, others: np.ndarray, threshold: float) -> np.ndarray:
+        """Which of the others reach the threshold against text i."""
+        mine = slice(self.starts[i], self.ends[i])
+        self.own[self.at[mine]] = self.weights[mine]
+        common = np.array([np.minimum(self.own[self.at[a:b]], self.weights[a:b]).sum() for a, b in zip(self.starts[others], self.ends[others], strict=True)])
+        self.own[self.at[mine]] = 0
+        both = self.totals[i] + self.totals[others]
+        return common >= threshold * (both - common) - 1e-12 * both
+
+
+def compare_blocks(group: pd.DataFrame, weigh: Weigher, threshold: float, bands: int) -> list[tuple[int, int]]:
+    """Links between the components of one block's classes, or of two blocks' of one bucket."""
     group = group.reset_index(drop=True)
     draws = np.frombuffer(b"".join(group["draws"]), "<u8").reshape(len(group), -1)
-    comp, node, side = group["comp"].tolist(), group["rep"].tolist(), group["own"].to_numpy()
-    band = int(group["band"].iloc[0])
-    rows = draws.shape[1] // bands
-    union = Union()
-    for a, b in zip(node, comp, strict=True):
-        union.link(a, b)
-    shaped, out = {}, []
+    node, side = group["rep"].tolist(), group["own"].to_numpy()
+    _, comp = np.unique(group["comp"].to_numpy(), return_inverse=True)
+    band, rows = int(group["band"].iloc[0]), draws.shape[1] // bands
     two = group["low"].iloc[0] != group["high"].iloc[0]
-    tried: list[tuple[int, int, int]] = []
+    shapes, out, places = Shapes([weigh.of_text(t) for t in group["text"]]), [], np.arange(len(group))
     for i in range(len(group)):
-        later = np.flatnonzero((np.arange(len(group)) > i) & (group["comp"].to_numpy() != comp[i]) & ((side != side[i]) if two else True))
-        if len(later):
-            same = draws[later] == draws[i]
-            agree = same.sum(1)
-            earlier = same[:, : band * rows].reshape(len(later), band, rows).all(2).any(1) if band else np.zeros(len(later), bool)
-            tried += [(-int(agree[k]), i, int(later[k])) for k in np.flatnonzero((agree >= least) & ~earlier)]
-    for _, i, j in sorted(tried):
-        if union.root(node[i]) == union.root(node[j]):
+        low, high = threshold * shapes.totals[i] * (1 - 1e-9), shapes.totals[i] / threshold * (1 + 1e-9)
+        later = np.flatnonzero((places > i) & (comp != comp[i]) & (shapes.totals >= low) & (shapes.totals <= high) & ((side != side[i]) if two else True))
+        if band and len(later):
+            later = later[~(draws[later] == draws[i])[:, : band * rows].reshape(len(later), band, rows).all(2).any(1)]
+        if not len(later):
             continue
-        for k in (i, j):
-            if k not in shaped:
-                shaped[k] = weigh.of_text(group["text"].iloc[k])
-        if similarity(shaped[i], shaped[j]) >= threshold:
-            union.link(node[i], node[j])
-            out.append((node[i], node[j]))
+        for j in later[shapes.similar(i, later, threshold)]:
+            if comp[j] != comp[i]:
+                comp[comp == comp[j]] = comp[i]
+                out.append((node[i], node[j]))
     return out
 
 
+def same_id_links(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b) between the classes of an id that has several texts; as a rule there are none."""
+    several = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min("k1").alias("low1"), F.max("k1").alias("high1"), F.min("k2").alias("low2"), F.max("k2").alias("high2")).where("low1 <> high1 or low2 <> high2")
+    rows = signed.select("doc_id", "k1", "k2").join(several.select("doc_id"), "doc_id", "left_semi").distinct()
+    return rows.join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text", bands: int = 8, rows: int = 3, star_block: int = 256, block: int = 512) -> DataFrame:
     """doc_id, component_id (the smallest id of its group), n_copies (rows with the same words), kept.
 
     bands * rows draws are taken; a pair of similarity s meets in a band with probability
     1 - (1 - s**rows)**bands, that is 0.997 at 0.8."""
     spark = docs.sparkSession
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
     idf = spark.sparkContext.broadcast(idf_weights(count_sketch(base)))
-    samples, least = bands * rows, max(rows, int(bands * rows * (threshold - 0.25)))
+    samples = bands * rows
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weigh = Weigher(idf.value)
-        for batch in filter(len, batches):
-            keys, draws = [], []
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weigh, recent = Weigher(idf.value), {}
+        for batch in batches:
+            made = []
             for t in batch["text"]:
-                words = weigh.shingler.words(t)
-                keys.append(np.frombuffer(hashlib.blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=16).digest(), "<i8"))
-                draws.append(sample(*weigh.of(words), samples))
-            k, d = np.array(keys), np.array(draws)
-            buckets = [_mix((x.reshape(bands, rows) * _MULTIPLIERS[:rows]).sum(1, dtype="uint64")).view("int64").tolist() for x in d]
-            yield batch[["doc_id"]].assign(k1=k[:, 0], k2=k[:, 1], buckets=buckets, draws=[x.astype("<u8").tobytes() for x in d])
-
-    signed = materialize(base.mapInPandas(sign, "doc_id long, k1 long, k2 long, buckets array<long>, draws binary"), "draws")
-    classes = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.min("buckets").alias("buckets"), F.min("draws").alias("draws"))
-    classes = materialize(classes, "classes")
-    placed = classes.where("rep is not null").select("rep", "draws", F.posexplode("buckets").alias("band", "bucket"))
+                words = weigh.shingler.words(t.as_py())
+                key = hashlib.blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=16).digest()
+                if key not in recent:  # copies are drawn from once
+                    if len(recent) >= RECENT:
+                        recent.clear()
+                    recent[key] = sample(*weigh.of(words), samples)
+                made.append((np.frombuffer(key, "<i8"), recent[key]))
+            k = np.array([m[0] for m in made], "int64").reshape(-1, 2)
+            buckets = [_mix((d.reshape(bands, rows) * _MULTIPLIERS[:rows]).sum(1, dtype="uint64")).view("int64") for _, d in made]
+            columns = [batch["doc_id"], batch["mark"], pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(buckets, pa.list_(pa.int64())), pa.array([d.astype("<u8").tobytes() for _, d in made], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "k1", "k2", "buckets", "draws"])
+
+    signed = materialize(base.mapInArrow(sign, "doc_id long, mark long, k1 long, k2 long, buckets array<long>, draws binary"), "draws")
+    classes = signed.groupBy("k1", "k2").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))).alias("first"), F.count("*").alias("n_copies"), F.min("buckets").alias("buckets"), F.min("draws").alias("draws"))
+    classes = materialize(classes.select("k1", "k2", F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("mark"), "n_copies", "buckets", "draws"), "classes")
+    placed = classes.where("rep is not null").select("rep", "mark", "draws", F.posexplode("buckets").alias("band", "bucket"))
     place = ["band", "bucket"]
     hubs = placed.groupBy(place).agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
     hubs = materialize(hubs, "buckets")
@@ -261,8 +288,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_
 
     # merge joins at every size: the ids grow with the documents, and a plan that broadcasts the few of
     # a small table would not be that of a large one
-    met = shared.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
-    texts = base.where("doc_id is not null").join(met, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    met = shared.select(F.col("rep").alias("doc_id"), "mark").distinct().hint("merge")
+    texts = base.where("doc_id is not null").join(met, ["doc_id", "mark"], "left_semi").groupBy("doc_id", "mark").agg(F.min("text").alias("text"))
     texts = materialize(texts.withColumnRenamed("doc_id", "rep"), "texts")
 
     pairs = shared.where("rep <> hub").groupBy("hub", "rep").agg(F.max("n").alias("n"))
@@ -285,7 +312,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_
                     out.append((h, rep))
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    links = materialize(star.select("hub", "salt", "rep", "guest", "text").mapInPandas(verify, "a long, b long"), "links")
+    links = star.select("hub", "salt", "rep", "guest", "text").mapInPandas(verify, "a long, b long")
+    links = materialize(links.union(same_id_links(signed, classes)), "links")
     first = materialize(connected_components(links), "components").withColumnRenamed("node", "rep")
     left = shared.join(first, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
     left = materialize(left, "left")
@@ -294,14 +322,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_
     own = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / block)).cast("int")
     left = left.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1)))
     low, high = F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
-    left = left.select(*place, low, high, "own", "rep", "comp", "draws").join(texts.hint("merge"), "rep")
+    left = left.select(*place, low, high, "own", "rep", "mark", "comp", "draws").join(texts.hint("merge"), ["rep", "mark"])
     keys = [*place, "low", "high"]
     dealt = left.repartition(*keys).sortWithinPartitions(*keys)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weigh = Weigher(idf.value)
         for group in _groups(batches, keys):
-            if found := compare_blocks(group, weigh, threshold, bands, least):
+            if found := compare_blocks(group, weigh, threshold, bands):
                 yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     more = materialize(dealt.mapInPandas(compare, "a long, b long"), "more")
@@ -317,8 +345,9 @@ def _kept(component: Column) -> Column:
     return F.coalesce(F.col("doc_id") == component, F.lit(True))
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", **options: object) -> DataFrame:
-    """The rows of docs, one of each group: that with the smallest id. Rows without an id stay."""
-    kept = near_duplicates(docs, doc_id=doc_id, **options).where("kept and doc_id is not null").select(F.col("doc_id").alias(doc_id)).distinct()
-    some = docs.where(F.col(doc_id).isNotNull())
-    return some.join(kept.hint("merge"), doc_id, "left_semi").select(*docs.columns).dropDuplicates([doc_id]).unionByName(docs.where(F.col(doc_id).isNull()))
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: object) -> DataFrame:
+    """The rows of docs, one of each group: that with the smallest id, and of its rows one with the smallest text. Rows without an id stay."""
+    kept = near_duplicates(docs, doc_id=doc_id, text=text, **options).where("kept and doc_id is not null").select(F.col("doc_id").alias(doc_id)).distinct()
+    some = docs.where(F.col(doc_id).isNotNull()).join(kept.hint("merge"), doc_id, "left_semi")
+    one = some.groupBy(F.col(doc_id).alias("id")).agg(F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text), F.lit(""))).alias("row")).select("row.*")
+    return one.unionByName(docs.where(F.col(doc_id).isNull()))

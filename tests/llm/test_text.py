@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -285,6 +287,65 @@ def test_groups_equal_brute_force(spark):
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
 
 
+def plain_near_duplicates(rows, counts):
+    """{id: smallest id of its group} by exact weighted Jaccard over all pairs with a common shingle, without the operator's
+    sampling, weights or similarity; counts: of documents by bucket of a shingle's hash."""
+    hashed = near_dedup.Shingler()
+    held = max(sum(counts), 1)
+    share = [max(c, 1) / held for c in counts]
+    weight = [0.75 + 0.25 * min(1.0, max(0.0, -math.log(x) / math.log(len(counts)))) for x in share]
+    docs_, holders, up = [], {}, {i: i for i, _ in rows}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    def link(i, j):
+        i, j = sorted((root(i), root(j)))
+        up[j] = i
+
+    for k, (i, t) in enumerate(rows):
+        words = (t or "").lower().split()
+        grams = Counter(" ".join(words[a : a + 5]) for a in range(max(1, len(words) - 4))) if words else Counter()
+        bag = {g: n * weight[int(hashed.shingles(g.split())[0][0]) % len(counts)] for g, n in grams.items()}
+        near = Counter()
+        for g, w in bag.items():
+            for j, v in holders.get(g, ()):
+                near[j] += min(w, v)
+        total = sum(bag.values())
+        for j, common in near.items():
+            if common >= 0.8 * (total + docs_[j][1] - common) - 1e-9:
+                link(i, docs_[j][0])
+        if not bag:
+            for j, n in docs_:
+                if n == 0:
+                    link(i, j)
+        for g, w in bag.items():
+            holders.setdefault(g, []).append((k, w))
+        docs_.append((i, total))
+    return {i: root(i) for i, _ in rows}
+
+
+def test_a_whole_table_of_documents_equals_brute_force(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+    want = plain_near_duplicates(rows, near_dedup.count_sketch(df).tolist())
+    got = {r["doc_id"]: r["component_id"] for r in queries.op9_weighted_minhash(spark, "/root/testdata/sf0.01").collect()}
+    copies = [i for i in want if sum(v == want[i] for v in want.values()) > 1]
+    assert len(copies) > 100 and got == want
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    long = ["a b c d e f g h i j k l m n", "o p q r s t u v w x y z 1 2", "3 4 5 6 7 8 9 0 a1 b1 c1 d1 e1"]
+    big = (1 << 53) + 1
+    df = docs(spark, [long[0], long[1], long[1], long[2], long[0], long[2] + " f1 " * 40], ids=[big, big, big + 1, big + 2, None, None])
+    got = near_dedup.near_duplicates(df).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(big, big), (big + 1, big), (big + 2, big + 2), (None, None)} and len(got) == 6
+    kept = near_dedup.deduplicated(df).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(0, long[0]), (0, long[2] + " f1 " * 40), (big, long[0]), (big + 2, long[2])])
+
+
 def test_near_duplicates_of_odd_tables(spark):
     df = docs(spark, ["a b c d e f g", "a b c d e f g", "x y z q r s t"], ids=[5, 5, None])
     got = near_dedup.near_duplicates(df).collect()

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from functools import cache
 
 import numpy as np
 
@@ -39,23 +40,24 @@ def half_bytes(codes: np.ndarray) -> bytes:
 
 
 def from_half_bytes(raw: bytes, most: int) -> np.ndarray:
-    """Signed 32-bit codes; a last half byte of zero is padding."""
+    """Signed 32-bit codes; a last half byte of zero is padding. Only the walk from head to head goes code by code."""
     packed = np.frombuffer(raw, "uint8")
-    flat = np.stack([packed >> 4, packed & 15], axis=1).reshape(-1).tolist()
-    out, at, end = [], 0, len(flat)
+    flat = np.stack([packed >> 4, packed & 15], axis=1).reshape(-1)
+    end = len(flat) - (len(flat) > 0 and flat[-1] == 0)
+    size = 9 - np.where(flat <= 8, flat, flat - 8).astype("int64")
+    after = (np.arange(len(flat)) + size).tolist()
+    heads, at = [], 0
     while at < end:
-        head = flat[at]
-        if at == end - 1 and head == 0:
-            break
-        at += 1
-        lead, code = (head, 0) if head <= 8 else (head - 8, (0xFFFFFFFF << 4 * (16 - head)) & 0xFFFFFFFF)
-        if at + 8 - lead > end or len(out) >= most:
-            raise CodecError("half-byte data is malformed")
-        for k in range(8 - lead):
-            code |= flat[at + k] << 4 * k
-        at += 8 - lead
-        out.append(code - (1 << 32) if code >= 1 << 31 else code)
-    return np.array(out, "int64")
+        heads.append(at)
+        at = after[at]
+    if at > len(flat) or len(heads) > most:
+        raise CodecError("half-byte data is malformed")
+    k = np.array(heads, "int64")
+    held, places = size[k] - 1, np.arange(8)
+    nibbles = np.append(flat, np.zeros(9, "uint8")).astype("int64")[k[:, None] + 1 + places]
+    filled = np.where(places < held[:, None], nibbles, np.where(flat[k] > 8, 15, 0)[:, None])
+    codes = (filled << 4 * places).sum(1)
+    return np.where(codes >= 1 << 31, codes - (1 << 32), codes)
 
 
 def encode_linear(x: np.ndarray, fp: int) -> bytes:
@@ -95,8 +97,6 @@ def _shuffle(raw: bytes, width: int, back: bool) -> bytes:
 
 
 def encode(values: list, comp: int, kind: int, fp: int | None) -> bytes:
-    import zstandard
-
     x = np.asarray(values, float)
     if comp in R.LOSSY and len(x) and x.min() < 0:
         raise CodecError("negative values have no lossy form")
@@ -114,13 +114,20 @@ def encode(values: list, comp: int, kind: int, fp: int | None) -> bytes:
         return zlib.compress(raw)
     if comp == R.SHUFFLED_ZSTD:
         raw = _shuffle(raw, np.dtype(NUMPY[kind]).itemsize, False)
-    return zstandard.ZstdCompressor(3, write_content_size=True).compress(raw)
+    return _zstd()[0].compress(raw)
 
 
-def _inflate(data: bytes, comp: int, most: int) -> bytes:
-    """At most `most` bytes, whatever the data claims."""
+@cache
+def _zstd() -> tuple:
+    """A compressor and a decompressor, made once in each worker."""
     import zstandard
 
+    return zstandard.ZstdCompressor(3, write_content_size=True), zstandard.ZstdDecompressor(), zstandard.ZstdError
+
+
+def _inflate(data: bytes, comp: int, most: int) -> bytes:
+    """At most `most` bytes, whatever the data claims."""
+    _, unpack, fault = _zstd()
     try:
         if comp in (R.ZLIB, R.LINEAR_ZLIB, R.SLOF_ZLIB, R.PIC_ZLIB):
             z = zlib.decompressobj()
@@ -130,9 +137,9 @@ def _inflate(data: bytes, comp: int, most: int) -> bytes:
             if not z.eof:
                 raise CodecError("compressed data ends early")
             return raw
-        reader = zstandard.ZstdDecompressor().stream_reader(data)
+        reader = unpack.stream_reader(data)
         raw = reader.read(most + 1)
-    except (zlib.error, zstandard.ZstdError) as e:
+    except (zlib.error, fault) as e:
         raise CodecError(f"compressed data is malformed: {e}") from e
     if len(raw) > most:
         raise CodecError("array is larger than its declared length allows")

@@ -1,16 +1,20 @@
 """Spectra to tokens and back.
 
 Validation, order, plan, text form and checksum are built-in expressions. One Arrow UDF makes a
-document's bytes; decoding has one for the metadata and one for each requested array, so that a
-query of metadata alone, or of one array, never inflates the others."""
+document's bytes; decoding has one for the metadata and one for each array, and a query runs those
+of the columns that it asks for, so that one of metadata alone, or of one array, never inflates the
+others."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from mzframe import registry as R
 from mzframe import schema as S
@@ -25,61 +29,50 @@ HEADER = ", ".join(f"{k}: {v}" for k, v in {"default_array_length": "int", **S.M
 
 @cache
 def _udfs() -> tuple:
-    """Made once, when a session is there."""
-    from mzframe.kernels import arrays, cbor, document
-
-    faults = (document.DocumentError, cbor.CborError, arrays.CodecError)
-
-    @F.udf("struct<document: binary, error: string>", useArrow=True)
-    def build(row):  # noqa: ANN001, ANN202
-        if row is None:
-            return None
-        try:
-            return {"document": document.build(row), "error": None}
-        except faults as e:
-            return {"document": None, "error": str(e)}
-
-    @F.udf(f"struct<header: struct<{HEADER}>, error: string>", useArrow=True)
-    def parse(raw):  # noqa: ANN001, ANN202
-        if raw is None:
-            return None
-        try:
-            return {"header": document.parse(bytes(raw)), "error": None}
-        except faults as e:
-            return {"header": None, "error": str(e)}
-
-    @F.udf("struct<values: array<double>, error: string>", useArrow=True)
-    def inflate(d, n):  # noqa: ANN001, ANN202
-        if d is None:
-            return None
-        try:
-            return {"values": arrays.decode(bytes(d["data"]), d["comp"], d["type"], d["fp"], n).tolist(), "error": None}
-        except faults as e:
-            return {"values": None, "error": str(e)}
-
-    @F.udf("struct<values: array<array<double>>, error: string>", useArrow=True)
-    def inflate_all(ds, n):  # noqa: ANN001, ANN202
-        try:
-            return {"values": [arrays.decode(bytes(d["data"]), d["comp"], d["type"], d["fp"], n).tolist() for d in ds or ()], "error": None}
-        except faults as e:
-            return {"values": None, "error": str(e)}
-
-    # so marked, no filter or projection above a UDF is moved below it or makes Spark run it twice
-    return tuple(f.asNondeterministic() for f in (build, parse, inflate, inflate_all))
+    """build(spectrum with plan), parse(document), inflate(descriptor, length), inflate_lists(descriptors, length).
+
+    Made once, when a session is there."""
+    from mzframe.kernels import batches
+
+    def made(f: Callable, kind: str) -> Callable:
+        arrow = to_arrow_type(StructType.fromDDL(kind))
+
+        def one(a: pa.Array) -> pa.Array:
+            return f(a, arrow)
+
+        def two(a: pa.Array, b: pa.Array) -> pa.Array:
+            return f(a, b, arrow)
+
+        # so marked, no filter or projection above a UDF is moved below it or makes Spark run it twice
+        return F.arrow_udf(one if f in (batches.build, batches.parse) else two, kind).asNondeterministic()
+
+    return (
+        made(batches.build, "document binary, error string"),
+        made(batches.parse, f"header struct<{HEADER}>, error string"),
+        made(batches.inflate, "values array<double>, error string"),
+        made(batches.inflate_lists, "values array<array<double>>, error string"),
+    )
+
+
+def _failing(value: Column, error: Column) -> Column:
+    """The value, or a failure of the job where there is an error."""
+    return F.when(error.isNotNull(), F.raise_error(error)).otherwise(value)
 
 
 def encode(spectra: DataFrame, lossless: bool = False, array_encodings: Mapping[str, object] | None = None, allow_unsafe_lossy_custom: bool = False, without_user_params: bool = False, max_len: int | None = None, magic: str = MAGIC, mode: str = "FAILFAST") -> DataFrame:
     """spectra with `token`, `long` (more characters than URLs bear well) and `error`.
 
-    FAILFAST stops at the first error; PERMISSIVE leaves token null and says why in error."""
+    FAILFAST stops at the first error, whichever of the three is asked for; PERMISSIVE leaves token null
+    and says why in error."""
     if mode not in ("FAILFAST", "PERMISSIVE"):
         raise ValueError(f"unknown mode {mode!r}")
     rows = complete(spectra)
+    rows = rows.withColumn("_faults", errors())  # before the sort, which would hide that arrays differ in length
     rows = canonical_sort(drop_user_params(rows) if without_user_params else rows)
     rows = rows.withColumn("_plan", encoding_plan(lossless, array_encodings, allow_unsafe_lossy_custom))
     unknown = [k for k in map(str, array_encodings or {}) if k not in R.CORE and k not in R.CORE.values()]
     missing = F.array_except(F.array(*map(F.lit, unknown)), F.map_keys("extra_arrays")) if unknown else F.array().cast("array<string>")
-    faults = F.concat(errors(), F.when(F.size(missing) > 0, F.array(F.concat(F.lit("encodings name unknown arrays: "), F.array_join(missing, ", ")))).otherwise(F.array().cast("array<string>")), F.array_compact(F.transform("_plan", lambda e: e["error"])))
+    faults = F.concat("_faults", F.when(F.size(missing) > 0, F.array(F.concat(F.lit("encodings name unknown arrays: "), F.array_join(missing, ", ")))).otherwise(F.array().cast("array<string>")), F.array_compact(F.transform("_plan", lambda e: e["error"])))
     fault = F.try_element_at(faults, F.lit(1))
     plan = F.transform("_plan", lambda e: e.dropFields("error"))
     # bad rows enter the UDF as null: Spark may evaluate a UDF before a filter beside it
@@ -89,9 +82,9 @@ def encode(spectra: DataFrame, lossless: bool = False, array_encodings: Mapping[
     error = F.coalesce(fault, F.col("_built.error"), F.when(F.octet_length("_built.document") > R.MAX_PAYLOAD_BYTES, "payload is too large"))
     if max_len is not None:
         error = F.coalesce(error, F.when(F.length(token) > max_len, F.concat(F.lit("token is longer than "), F.lit(str(max_len)))))
-    out = built.withColumn("error", error).withColumn("token", F.when(F.col("error").isNull(), token)).drop("_built", "_plan")
+    out = built.withColumn("error", error).withColumn("token", F.when(F.col("error").isNull(), token)).drop("_built", "_plan", "_faults")
     if mode == "FAILFAST":
-        out = out.withColumn("token", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("string")).otherwise(F.col("token")))
+        out = out.withColumns({"token": _failing(F.col("token"), F.col("error")), "error": _failing(F.lit(None).cast("string"), F.col("error"))})
     return out.withColumn("long", F.length("token") > R.WARN_LENGTH)
 
 
@@ -107,32 +100,42 @@ def read_header(tokens: DataFrame, token: str = "token", magic: str = MAGIC) ->
 def decode(tokens: DataFrame, token: str = "token", magic: str = MAGIC, mode: str = "FAILFAST") -> DataFrame:
     """tokens with the columns of a spectrum, `checksum`, `format_version` and `error`.
 
-    The columns replace others of their names. PERMISSIVE gives null columns and an error for a bad token."""
-    keep = [c for c in tokens.columns if c not in (*S.COLUMNS, "checksum", "format_version", "error", "header")]
-    rows = read_header(tokens.select(*keep), token, magic)
-    h = F.col("header")
-    _, _, inflate, inflate_all = _udfs()
-    of = lambda tail: F.try_element_at(F.filter(h["descriptors"], lambda d: d["array"] == tail), F.lit(1))
+    They replace other columns of their names. Each column needs only its own part of a token: metadata
+    its document, an array its own bytes; a query of metadata alone inflates nothing. PERMISSIVE gives
+    null for what is bad, and `error` the first fault of the whole token, for which it looks at all.
+    FAILFAST stops at a fault in what is asked for, as Spark's own readers do when they prune columns."""
+    if mode not in ("FAILFAST", "PERMISSIVE"):
+        raise ValueError(f"unknown mode {mode!r}")
+    made = {*S.COLUMNS, "checksum", "format_version", "error", "header"}
+    keep = [c for c in tokens.columns if c not in made]
+    source = tokens.select(*keep, *([F.col(token).alias("_token")] if token in made else []))
+    text = F.col("_token" if token in made else token)
+    rows = read_header(source, "_token" if token in made else token, magic)
+    h, n = F.col("header"), F.col("header.default_array_length")
+    _, _, inflate, inflate_lists = _udfs()
     core = {"mz": R.ARRAY_MZ, "intensity": R.ARRAY_INTENSITY, "charge": R.ARRAY_CHARGE}
-    for name, tail in core.items():
-        rows = rows.withColumn(f"_{name}", inflate(of(tail), h["default_array_length"]))
-    others = F.filter(h["descriptors"], lambda d: ~d["array"].isin(*core.values()))
-    rows = rows.withColumn("_others", others).withColumn("_extra", inflate_all(F.col("_others"), h["default_array_length"]))
+    of = lambda tail: F.try_element_at(F.filter(h["descriptors"], lambda d: d["array"] == tail), F.lit(1))
+    rows = rows.withColumns({**{f"_{name}": of(tail) for name, tail in core.items()}, "_others": F.filter(h["descriptors"], lambda d: ~d["array"].isin(*core.values()))})
+    # in one projection, so that one pass through Python serves all arrays that are asked for
+    rows = rows.withColumns({**{f"_{name}": inflate(F.col(f"_{name}"), n) for name in core}, "_extra": inflate_lists(F.col("_others"), n)})
     named = lambda d: F.coalesce(d["name"], F.concat(F.lit("MS:"), F.format_string("%07d", d["array"])))
     dtype = lambda d: F.when(d["type"] == R.FLOAT32, "float32").when(d["type"] == R.INT32, "int32").otherwise("float64")
     entries = F.zip_with("_others", "_extra.values", lambda d, v: F.struct(named(d), F.struct(dtype(d).alias("dtype"), v.alias("values"))))
-    extra = F.when(F.col("_extra.values").isNotNull(), F.map_from_entries(entries))
     core_names = F.create_map(*(F.lit(x) for k, v in core.items() for x in (v, k)))
     units = F.map_from_entries(F.transform(F.filter(h["descriptors"], lambda d: d["unit"].isNotNull()), lambda d: F.struct(F.coalesce(F.try_element_at(core_names, d["array"]), named(d)), d["unit"])))
-    negative = F.when(F.array_min("_mz.values") < 0, "m/z is negative")
-    error = F.coalesce("error", "_mz.error", "_intensity.error", "_charge.error", "_extra.error", negative)
-    made = {n: F.col(f"_{n}.values") for n in core} | {"extra_arrays": extra.cast(S.ARRAYS["extra_arrays"]), "array_units": units.cast(S.ARRAYS["array_units"])}
-    made |= {c: h[c] for c in S.METADATA} | {"default_array_length": h["default_array_length"]}
-    fine = error.isNull()
-    out = rows.select(*keep, *(F.when(fine, made[c]).alias(c) for c in S.COLUMNS), F.when(fine, F.substring_index(token, ".", -1)).alias("checksum"), F.when(fine, F.lit(R.FORMAT_VERSION)).alias("format_version"), error.alias("error"))
-    if mode == "FAILFAST":
-        out = out.withColumn("default_array_length", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("int")).otherwise(F.col("default_array_length")))
-    return out
+    whole = F.col("error")
+    faults = {"mz": F.coalesce("_mz.error", F.when(F.array_min("_mz.values") < 0, "m/z is negative")), "intensity": F.col("_intensity.error"), "charge": F.col("_charge.error"), "extra_arrays": F.col("_extra.error")}
+    values = {c: h[c] for c in S.METADATA} | {f: F.col(f"_{f}.values") for f in core}
+    values |= {"default_array_length": n, "array_units": units, "extra_arrays": F.when(F.col("_extra.values").isNotNull(), F.map_from_entries(entries))}
+    values |= {"checksum": F.substring_index(text, ".", -1), "format_version": F.lit(R.FORMAT_VERSION)}
+    every = F.coalesce(whole, *faults.values())
+
+    def shown(name: str) -> Column:
+        fault, value = F.coalesce(whole, faults[name]) if name in faults else whole, values[name].cast(S.COLUMNS.get(name, "int" if name == "format_version" else "string"))
+        return (_failing(value, fault) if mode == "FAILFAST" else F.when(fault.isNull(), value)).alias(name)
+
+    error = _failing(F.lit(None).cast("string"), every) if mode == "FAILFAST" else every
+    return rows.select(*keep, *map(shown, (*S.COLUMNS, "checksum", "format_version")), error.alias("error"))
 
 
 def inspect(tokens: DataFrame, key: str, token: str = "token", magic: str = MAGIC) -> DataFrame:

@@ -166,3 +166,43 @@ def test_typed_values(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(params.typed_value(F.col("t")).alias("v"))
     got = [(r["v"]["kind"], r["v"]["i"] if r["v"]["i"] is not None else r["v"]["d"]) for r in df.collect()]
     assert got == [("int", 2), ("int", 2), ("int", 1000), ("int", 7), ("int", 5), ("str", None), ("null", None), ("str", None), ("str", None), ("float", 2.5)]
+
+
+
+def test_failfast_stops_whatever_is_asked_for(spark, tmp_path):
+    good = tokens.encode(spectra(spark, ("a", [1.0, 2.0], [3.0, 4.0], None))).first()["token"]
+    bad = spark.createDataFrame([(good[:-1] + ("0" if good[-1] != "0" else "1"),)], "token string")
+    for name in ("id", "mz", "intensity", "extra_arrays", "params", "default_array_length", "checksum", "format_version", "error"):
+        with pytest.raises(Exception, match="checksum"):
+            tokens.decode(bad).select(name).collect()
+    wrong = spectra(spark, ("a", [1.0], [1.0, 2.0], None))
+    for names in (("token",), ("id", "error"), ("long",)):
+        with pytest.raises(Exception, match="array length"):
+            tokens.encode(wrong).select(*names).collect()
+
+
+def test_queries_run_the_udfs_of_their_columns_only(spark):
+    df = spark.createDataFrame([("x",)], "token string")
+    plan = lambda *names, mode="FAILFAST": tokens.decode(df, mode=mode).select(*names)._jdf.queryExecution().optimizedPlan().toString()
+    runs = lambda text: text.count("ArrowEvalPython [")
+    for mode in ("FAILFAST", "PERMISSIVE"):
+        assert runs(plan("id", "params", mode=mode)) == 1
+        one, all_ = plan("mz", mode=mode), plan("mz", "intensity", "charge", "extra_arrays", "error", mode=mode)
+        assert runs(one) == 2 and runs(all_) == 2
+        assert one.count("two(") < all_.count("two(")
+
+
+def test_a_bad_array_leaves_the_others(spark):
+    from mzframe.functions import tokens as T
+    from mzframe.kernels import arrays, cbor
+
+    part = lambda array, data: {0: 1000523, 1: array, 2: 1000574, 5: data}
+    fine = arrays.encode([1.0, 2.0], 1000574, 1000523, None)
+    for bad, name in ((fine[:-3], "intensity"), (arrays.encode([1.0], 1000574, 1000523, None), "intensity")):
+        document = cbor.dumps({0: 2, 1: "a", 6: [part(1000514, fine), part(1000515, bad)]})
+        df = spark.createDataFrame([(bytearray(document),)], "d binary").select(T.to_token(F.col("d")).alias("token"))
+        row = tokens.decode(df, mode="PERMISSIVE").first()
+        assert row["id"] == "a" and row["mz"] == [1.0, 2.0] and row[name] is None and row["error"]
+        assert tokens.decode(df).select("mz").first()["mz"] == [1.0, 2.0]
+        with pytest.raises(Exception, match="compressed data ends early|values instead"):
+            tokens.decode(df).select(name).collect()

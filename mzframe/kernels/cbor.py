@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import struct
+from functools import lru_cache
 
 from mzframe import registry as R
 
@@ -12,6 +13,7 @@ class CborError(ValueError):
     pass
 
 
+@lru_cache(8192)
 def _head(major: int, n: int) -> bytes:
     if n < 24:
         return bytes([major << 5 | n])
@@ -54,6 +56,8 @@ def dumps(x: object) -> bytes:
         case list() | tuple():
             return _head(4, len(x)) + b"".join(map(dumps, x))
         case dict():
+            if all(type(k) is int and 0 <= k < 24 for k in x):  # keys of one byte, in the order of their numbers
+                return _head(5, len(x)) + b"".join([_head(0, k) + dumps(x[k]) for k in sorted(x)])
             pairs = sorted(((dumps(k), dumps(v)) for k, v in x.items()), key=lambda p: (len(p[0]), p[0]))
             return _head(5, len(x)) + b"".join(k + v for k, v in pairs)
     raise CborError(f"no CBOR form for {type(x).__name__}")

@@ -45,6 +45,9 @@ MOBILITY_ARRAYS = (1002477, 1002816, 1002893, 1003006, 1003007, 1003008, 1003153
 LINEAR_ARRAYS = (*MOBILITY_ARRAYS, 1000595, 1000617, 1002743, 1003143, 1003157, 1003158)
 SLOF_ARRAYS = (1000517, 1000820, 1000821, 1002529, 1002530, 1002742, 1002744, 1002745, 4000210)
 PIC_ARRAYS = (1003870,)
+#: Arrays of no transform: mean charge, measured element, temperature.
+OTHER_ARRAYS = (1002478, 1002716, 1000822)
+ARRAYS = (ARRAY_MZ, ARRAY_INTENSITY, ARRAY_CHARGE, ARRAY_NON_STANDARD, *LINEAR_ARRAYS, *SLOF_ARRAYS, *PIC_ARRAYS, *OTHER_ARRAYS)
 
 # Names of accessions.
 LABELS = {

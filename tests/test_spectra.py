@@ -161,6 +161,44 @@ def test_mzml(spark, tmp_path):
         mzml.read_mzml(spark, str(tmp_path / "a.mzML"), strict=True).collect()
 
 
+NESTED = """<?xml version="1.0"?>
+<mzML xmlns="http://psi.hupo.org/ms/mzml"><referenceableParamGroupList count="2">
+<referenceableParamGroup id="g"><cvParam accession="MS:1000130" value="{value}"/></referenceableParamGroup>
+<referenceableParamGroup id="a"><cvParam accession="MS:1000523" value=""/><cvParam accession="MS:1000574" value=""/><cvParam accession="MS:1000514" value="" unitAccession="MS:1000040"/></referenceableParamGroup></referenceableParamGroupList>
+<run><spectrumList count="1"><spectrum index="0" id="{id}" defaultArrayLength="2"><referenceableParamGroupRef ref="g"/>
+<scanList count="1"><scan><referenceableParamGroupRef ref="g"/><scanWindowList count="1"><scanWindow><cvParam accession="MS:1000501" value="1"/><referenceableParamGroupRef ref="g"/></scanWindow></scanWindowList></scan></scanList>
+<precursorList count="1"><precursor><isolationWindow><referenceableParamGroupRef ref="g"/></isolationWindow><selectedIonList count="1"><selectedIon><referenceableParamGroupRef ref="g"/></selectedIon></selectedIonList><activation><referenceableParamGroupRef ref="{last}"/></activation></precursor></precursorList>
+<productList count="1"><product><isolationWindow><referenceableParamGroupRef ref="g"/></isolationWindow></product></productList>
+<binaryDataArrayList count="1"><binaryDataArray encodedLength="24"><referenceableParamGroupRef ref="a"/><binary>{binary}</binary></binaryDataArray></binaryDataArrayList></spectrum></spectrumList></run></mzML>
+"""
+
+
+def test_groups_are_resolved_at_every_level_within_their_file(spark, tmp_path):
+    import base64
+    import struct
+    import zlib
+
+    binary = base64.b64encode(zlib.compress(struct.pack("<2d", 1.0, 2.0))).decode()
+    for name, value, last in (("x", 7, "g"), ("y", 8, "gone")):
+        (tmp_path / f"{name}.mzML").write_text(NESTED.format(id=name, value=value, last=last, binary=binary))
+    read = lambda *names, **options: {r["id"]: r.asDict(recursive=True) for r in mzml.read_mzml(spark, [str(tmp_path / f"{n}.mzML") for n in names], **options).collect()}
+    rows = read("x", "y")
+    for name, value in (("x", 7), ("y", 8)):
+        r = rows[name]
+        scan, (precursor,), (product,) = r["scans"][0], r["precursors"], r["products"]
+        lists = [r["params"], scan["params"], scan["windows"][0]["params"], precursor["isolation_window"]["params"], precursor["selected_ions"][0]["params"], product["isolation_window"]["params"]]
+        assert [x[-1]["value"]["i"] for x in lists] == [value] * 6 and len(lists[2]) == 2
+        assert r["mz"] == [1.0, 2.0] and r["array_units"] == {"mz": "MS:1000040"}
+        assert [p["value"]["i"] for p in precursor["activation"]["params"]] == ([7] if name == "x" else [])
+    assert read("x", strict=True)["x"]["mz"] == [1.0, 2.0]
+    with pytest.raises(Exception, match="unresolved parameter group: gone"):
+        read("y", strict=True)
+    shared = mzml.read_param_groups(spark, str(tmp_path / "x.mzML")).drop("file")
+    assert read("y", groups=shared)["y"]["params"][0]["value"]["i"] == 7
+    plan = mzml.read_mzml(spark, str(tmp_path), groups=shared)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython ") == 1
+
+
 def test_typed_values(spark):
     texts = ["2", "2.0", "1e3", "007", " 5 ", "x", "", "NaN", "5d", "2.5"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(params.typed_value(F.col("t")).alias("v"))

@@ -7,7 +7,7 @@ rate is calibrated so that the expected tokens meet the budget. Sampling is deci
 the id, so it is repeatable, and repeated ids share their fate.
 
 Built from DataFrame functions only. Each half sweep is a grouped sum, combined before the shuffle,
-and a join to the cells; the cells' lineage is cut after each sweep. No row of a document is
+and a join to the cells; the cells' lineage is cut after each of them. No row of a document is
 shuffled unless the cells outgrow a broadcast.
 
 Defined results: a null or blank source, language or topic is the category ``unknown``; a null text
@@ -34,13 +34,13 @@ def token_count(text: Column) -> Column:
 
 def form_topic(text: Column) -> Column:
     """The topic where a table has none: that of the text's form, from counts of characters."""
-    left = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
+    count = lambda chars: F.regexp_count(text, F.lit(chars))
     size = F.length(text)
     return (
         F.when(F.coalesce(size, F.lit(0)) == 0, "empty")
-        .when(left("|{}<>=;") * 30 > size, "table")
-        .when(left("#$%&*@^~") * 20 > size, "symbols")
-        .when(left("ABCDEFGHIJKLMNOPQRSTUVWXYZ") * 4 > size, "capitals")
+        .when(count(r"[|{}<>=;]") * 30 > size, "table")
+        .when(count(r"[#$%&*@^~]") * 20 > size, "symbols")
+        .when(count(r"[A-Z]") * 4 > size, "capitals")
         .when(size < 1000, "note")
         .when(size < 5000, "article")
         .otherwise("book")
@@ -58,15 +58,18 @@ def _targets(cells: DataFrame, dimension: str, target: float | Mapping[str, floa
     if isinstance(target, Mapping):
         stated = F.coalesce(*(F.when(F.col(dimension) == k, F.lit(float(v))) for k, v in sorted(target.items())), F.lit(None).cast("double")) if target else F.lit(None).cast("double")
         sums = sums.withColumn("stated", stated)
-        rest = sums.agg(F.sum(F.when(F.col("stated").isNull(), F.col("own"))).alias("others"), F.coalesce(F.sum("stated"), F.lit(0.0)).alias("given"))
-        raw = sums.join(F.broadcast(rest)).select(dimension, F.coalesce("stated", F.greatest(F.lit(0.0), 1 - F.col("given")) * F.col("own") / F.col("others")).alias("raw"))
+        others, given = sums.agg(F.sum(F.when(F.col("stated").isNull(), F.col("own"))), F.coalesce(F.sum("stated"), F.lit(0.0))).first()
+        raw = sums.select(dimension, F.coalesce("stated", F.col("own") * (max(0.0, 1 - given) / (others or 1.0))).alias("raw"))
     else:
         raw = sums.select(dimension, F.pow("own", F.lit(float(target))).alias("raw"))
-    return raw.join(F.broadcast(raw.agg(F.sum("raw").alias("all")))).select(dimension, (F.col("raw") / F.col("all")).alias(f"goal_{dimension}"))
+    total = raw.agg(F.sum("raw")).first()[0] or 1.0
+    return raw.select(dimension, (F.col("raw") / F.lit(total)).alias(f"goal_{dimension}"))
 
 
 def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], sweeps: int) -> DataFrame:
-    """cells with `share`: raked, in sum 1. The sums by the last dimension meet their goals; the others to within what the sweeps reach."""
+    """cells with `share`: raked, in sum 1. The sums by the last dimension meet their goals; the others to within what the sweeps reach.
+
+    Every half sweep has the same small plan: a grouped sum joined to the cells, then a checkpoint."""
     cells = cells.where("tokens > 0")
     for d in targets:
         cells = cells.join(_targets(cells.select(d, "tokens"), d, targets[d]), d)
@@ -74,8 +77,7 @@ def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], s
     for _ in range(sweeps):
         for d in targets:
             sums = cells.groupBy(d).agg(F.sum("share").alias("sum"))
-            cells = cells.join(sums, d).withColumn("share", F.col("share") * F.col(f"goal_{d}") / F.col("sum")).drop("sum")
-        cells = checkpoint(cells)
+            cells = checkpoint(cells.join(sums, d).withColumn("share", F.col("share") * F.col(f"goal_{d}") / F.col("sum")).select(*cells.columns))
     return cells.drop(*(f"goal_{d}" for d in targets))
 
 

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Only where the session sets none (tests, a single machine) a temporary folder is made."""
+    Where the session sets none, a cluster is an error; one machine by itself (tests) gets a temporary folder."""
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not configured:
-        configured = sc.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='mzframe-')}"
+        if sc.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = f"file://{tempfile.mkdtemp(prefix='mzframe-')}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(configured)
     return configured

@@ -5,11 +5,10 @@ the quantity times 1,000, the charge the line number; discount and tax are extra
 
 from __future__ import annotations
 
-import struct
 import tempfile
 import uuid
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +21,7 @@ from mzframe.functions import urls as U
 from mzframe.operators import analytics, params, peaks, tokens, validation
 from mzframe.plans.encoding import plan_table
 from mzframe.sources import json_spectra, mzml, token_text
-from mzframe.streaming.tokens import decoded_stream
+from mzframe.streaming.tokens import decoded_stream, error_counts
 
 ORDER = ["l_linenumber", "l_partkey", "l_suppkey"]
 
@@ -36,8 +35,12 @@ def _key() -> Column:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster shares."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='mzframe-')}"
+    """A new path in the folder that the cluster shares; one machine by itself may do with a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='mzframe-')}"
     return f"{base.rstrip('/')}/mzframe-{uuid.uuid4().hex}"
 
 
@@ -87,7 +90,8 @@ def top_n_ties(spark, d):
 
 
 def top_n_0(spark, d):
-    return peaks.top_n(line_spectra(spark, d), 0).select(_key(), "default_array_length", F.size("mz").alias("left"))
+    before = line_spectra(spark, d).withColumn("n_before", F.size("mz"))
+    return peaks.top_n(before, 0).select(_key(), "n_before", "default_array_length", (F.size("mz") + F.size("intensity") + F.size("charge") + F.size(F.element_at("extra_arrays", "tax")["values"])).alias("left"))
 
 
 def top_n_all(spark, d):
@@ -99,15 +103,17 @@ def top_n_peak_table(spark, d):
 
 
 def drop_user_params(spark, d):
-    user = F.array(F.struct(F.lit("vendor").alias("name"), params.typed_value(F.lit("7")).alias("value"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("unit_accession")))
-    spectra = line_spectra(spark, d).withColumn("user_params", user.cast(f"array<{S.USER}>"))
-    return peaks.drop_user_params(spectra).select(_key(), F.size("user_params").alias("n_user"), F.size("mz").alias("n_peaks"))
+    spectra = meta_spectra(spark, d)
+    users = lambda c: F.aggregate(F.col("scans"), F.size(c), lambda n, s: n + F.size(s["user_params"]))
+    spectra = spectra.withColumn("n_before", users("user_params"))
+    return peaks.drop_user_params(spectra).select(_key(), "n_before", users("user_params").alias("n_user"), F.size("params").alias("n_params"))
 
 
 def mobility_view(spark, d):
     extra = F.map_concat("extra_arrays", F.create_map(F.lit("MS:1003008"), F.element_at("extra_arrays", "tax")))
     spectra = line_spectra(spark, d).withColumn("extra_arrays", extra)
-    return spectra.select(_key(), F.explode(peaks.mobility_arrays(F.col("extra_arrays"))).alias("name", "x")).select("key", "name", F.size("x.values").alias("n"))
+    arrays = spectra.select(_key(), F.explode(peaks.mobility_arrays(F.col("extra_arrays"))).alias("name", "x"))
+    return arrays.select("key", "name", F.posexplode("x.values").alias("pos", "value"))
 
 
 def quantize_linear(spark, d):
@@ -231,6 +237,113 @@ def _cv(accession: str | Column, value: Column, unit: str | None = None) -> Colu
     return F.struct(accession.alias("accession"), params.typed_value(value).alias("value"), F.lit(unit).cast("string").alias("unit_accession"))
 
 
+def _user(name: str, value: Column, unit: str | None = None) -> Column:
+    return F.struct(F.lit(name).alias("name"), params.typed_value(value).alias("value"), F.lit("xsd:string").alias("type"), F.lit(unit).cast("string").alias("unit_accession"))
+
+
+def meta_spectra(spark, d):
+    """Orders as spectra of one peak with every kind of metadata; parts that some of them lack depend on the customer."""
+    text = lambda c: F.col(c).cast("string")
+    some = lambda k, c: F.when(F.col("o_custkey") % k == 0, F.array(c)).otherwise(F.array())
+    window = lambda *p: F.struct(F.array(*p).alias("params"))
+    price, customer = text("o_totalprice"), text("o_custkey")
+    scan = F.struct(F.array(_cv("MS:1000016", price, "UO:0000031")).alias("params"), F.array(window(_cv("MS:1000501", customer))).alias("windows"), some(5, _user("status", F.col("o_orderstatus"))).alias("user_params"))
+    precursor = F.struct(window(_cv("MS:1000827", price, "MS:1000040")).alias("isolation_window"), F.array(window(_cv("MS:1000744", price))).alias("selected_ions"), window(_cv("MS:1000133", F.lit(""))).alias("activation"))
+    made = {
+        "id": text("o_orderkey"), "mz": F.array(F.col("o_totalprice")), "intensity": F.array(F.lit(1.0)), "array_units": F.create_map(F.lit("mz"), F.lit("MS:1000040")),
+        "params": F.array(_cv("MS:1000511", F.substring("o_orderpriority", 1, 1)), _cv("MS:1000127", F.lit("")), _cv("NCIT:C25330", F.col("o_orderstatus"))),
+        "scans": F.array(scan), "scan_combination": _cv("MS:1000795", F.lit("")), "precursors": some(2, precursor),
+        "products": some(3, F.struct(window(_cv("MS:1000828", customer)).alias("isolation_window"))), "interp": F.concat("o_orderpriority", F.lit("/2")), "user_params": F.array(_user("customer", customer, "UO:0000010")),
+    }
+    return peaks.complete(_table(spark, d, "orders").select(*(c.alias(n) for n, c in made.items())))
+
+
+def metadata_round_trip(spark, d):
+    """All metadata through real tokens and back, a row for each value."""
+    back = tokens.decode(_stored(tokens.encode(meta_spectra(spark, d)).select("token")))
+    row = lambda part, name, v, unit: F.struct(F.lit(part).alias("part"), name.alias("name"), F.round(params.number_of(v), 4).alias("number"), v["s"].alias("text"), unit.alias("unit"))
+    of = lambda part, ps: F.transform(ps, lambda p: row(part, p["accession"], p["value"], p["unit_accession"]))
+    users = lambda part, us: F.transform(us, lambda u: row(part, u["name"], u["value"], u["unit_accession"]))
+    each = lambda c, f: F.flatten(F.transform(c, f))
+    plain = lambda part, name, text: F.array(row(part, F.lit(name), F.struct(F.lit("str").alias("kind"), F.lit(None).cast("bigint").alias("i"), F.lit(None).cast("double").alias("d"), text.alias("s")), F.lit(None).cast("string")))
+    rows = F.concat(
+        of("spectrum", F.col("params")), each("scans", lambda s: of("scan", s["params"])), each("scans", lambda s: each(s["windows"], lambda w: of("window", w["params"]))), each("scans", lambda s: users("scan user", s["user_params"])),
+        each("precursors", lambda p: of("isolation", p["isolation_window"]["params"])), each("precursors", lambda p: each(p["selected_ions"], lambda i: of("ion", i["params"]))), each("precursors", lambda p: of("activation", p["activation"]["params"])),
+        each("products", lambda p: of("product", p["isolation_window"]["params"])), users("user", F.col("user_params")),
+        plain("combination", "accession", F.col("scan_combination.accession")), plain("interpretation", "interp", F.col("interp")), plain("array", "unit", F.element_at("array_units", "mz")),
+    )
+    return back.select(_key(), F.explode(rows).alias("r")).select("key", "r.*")
+
+
+def _texts(spark, d, most):
+    """Orders as spectra of an id and a long interpretation, without arrays."""
+    rows = _table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.repeat(F.lit("A"), (F.col("o_orderkey") % most).cast("int")).alias("interp"))
+    return peaks.complete(rows)
+
+
+def long_tokens(spark, d):
+    """Tokens up to a length, and those that URLs bear badly."""
+    out = tokens.encode(_texts(spark, d, 9_000), max_len=10_000, mode="PERMISSIVE")
+    return out.select(_key(), F.length("token").alias("n"), "long", "error")
+
+
+def codec_registry(spark, d):
+    rows = _table(spark, d, "lineitem").select(F.element_at(F.array(*map(F.lit, R.CODECS)), (F.col("l_partkey") % len(R.CODECS) + 1).cast("int")).alias("name"))
+    return rows.join(R.codecs(spark), "name").groupBy("name", "compression", "lossy", "transform").agg(F.count("*").alias("n"))
+
+
+def validate_keys(spark, d):
+    """Faults of the keys of extra arrays and of units."""
+    names = F.array(*map(F.lit, ("MS:1000514", "MS:1000786", "charge", "NCIT:C25330", "MS:1003008", "own")))
+    units = F.array(*map(F.lit, ("mz", "nothing", "MS:1000515")))
+    one = F.struct(F.lit("float64").alias("dtype"), F.array(F.lit(1.0)).alias("values"))
+    k = F.col("o_orderkey")
+    rows = _table(spark, d, "orders").select(
+        k.cast("string").alias("id"), F.array(F.lit(1.0)).alias("mz"), F.array(F.lit(1.0)).alias("intensity"), F.create_map(F.element_at(names, (k % 6 + 1).cast("int")), one).alias("extra_arrays"),
+        F.create_map(F.element_at(units, (k % 3 + 1).cast("int")), F.when(k % 5 == 0, "second").otherwise("UO:0000010")).alias("array_units"),
+    )
+    return validation.validate(peaks.complete(rows)).select(_key(), F.posexplode("errors").alias("pos", "error"))
+
+
+def malformed_documents(spark, d):
+    """Documents with one array of two values: declared longer or shorter, under another fixed point, cut, or with bytes behind it."""
+    from mzframe.kernels import arrays, cbor
+
+    def document(n: int, data: bytes, comp: int = R.LINEAR_ZLIB, fp: int | None = 100) -> str:
+        entry = {R.DESC_TYPE: R.FLOAT64, R.DESC_ARRAY: R.ARRAY_MZ, R.DESC_COMP: comp, R.DESC_DATA: data} | ({R.DESC_FP: fp} if fp else {})
+        return cbor.dumps({0: n, 6: [entry]}).hex()
+
+    two, many = (arrays.encode([1.0] * n, R.LINEAR_ZLIB, R.FLOAT64, 100) for n in (2, 5_000))
+    plain = arrays.encode([1.0] * 5_000, R.ZLIB, R.FLOAT64, None)
+    cases = [document(2, two), document(3, two), document(1, two), document(2, two, fp=101), document(2, two[:-3]), document(2, many), document(2, plain, R.ZLIB, None), document(2, two) + "00", document(2, two)[:-2]]
+    k = F.col("o_orderkey")
+    made = F.element_at(F.array(*map(F.lit, cases)), (k % len(cases) + 1).cast("int"))
+    rows = _table(spark, d, "orders").select(k.alias("key"), T.to_token(F.unhex(made)).alias("token"))
+    return tokens.decode(rows, mode="PERMISSIVE").select("key", "error", F.array_join("mz", " ").alias("mz"))
+
+
+def token_sql(spark, d):
+    """The registered SQL functions: peaks of tokens by a table function, their headers by a scalar one."""
+    tokens.register_functions(spark)
+    stored = _stored(tokens.encode(line_spectra(spark, d), lossless=True).select("id", "token"))
+    return spark.sql("SELECT CAST(t.id AS BIGINT) AS key, p.pos, ROUND(p.mz, 6) AS mz, ROUND(p.intensity, 6) AS intensity, p.charge FROM {t} t, LATERAL explode_token(t.token) p", t=stored)
+
+
+def stream_error_counts(spark, d):
+    """Good and bad tokens by window of event time: a stream over files of tokens, whose state is kept by window."""
+    source, sink, state = _scratch(spark), _scratch(spark), _scratch(spark)
+    orders = _table(spark, d, "orders")
+    made = tokens.encode(_texts(spark, d, 10)).select("id", "token").join(orders.select(F.col("o_orderkey").cast("string").alias("id"), "o_orderdate", "o_custkey"), "id")
+    bad = F.when(F.col("o_custkey") % 5 == 0, F.concat(F.lit("x"), "token")).otherwise(F.col("token"))
+    made.select(bad.alias("token"), F.col("o_orderdate").cast("timestamp").alias("at")).write.parquet(source)
+    stream = spark.readStream.schema("token string, at timestamp").parquet(source)
+    counts = error_counts(tokens.decode(stream, mode="PERMISSIVE").select("at", "error"), "at", "30 days", "1 day")
+    query = counts.writeStream.outputMode("complete").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(sink)).start()
+    query.awaitTermination()
+    rows = spark.read.schema("window struct<start: timestamp, end: timestamp>, tokens bigint, bad bigint").parquet(sink)
+    return rows.select(F.unix_timestamp("window.start").alias("start"), "tokens", "bad")
+
+
 def _owners(spark, d):
     own = F.array(_cv("MS:1000016", F.col("o_totalprice").cast("string"), "UO:0000031"))
     return _table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.array("o_orderpriority", "o_orderstatus").alias("refs"), own.cast(f"array<{S.CV}>").alias("params"))
@@ -258,9 +371,20 @@ def cv_label_join(spark, d):
 
 def first_params(spark, d):
     own = F.array(_cv("MS:1000511", F.substring("o_orderpriority", 1, 1)), _cv("MS:1000016", F.col("o_totalprice").cast("string"), "UO:0000031"), _cv("MS:1000511", F.lit("9")))
+    own = F.concat(own, F.when(F.col("o_custkey") % 2 == 0, F.array(_cv("MS:1000744", F.col("o_custkey").cast("string")))).otherwise(F.array().cast(f"array<{S.CV}>")))
     rows = _table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), own.cast(f"array<{S.CV}>").alias("params"))
     start = params.first_param(F.col("params"), "MS:1000016")
-    return rows.select("key", params.ms_level(F.col("params")).alias("ms_level"), start["unit_accession"].alias("unit"), params.first_param(F.col("params"), "MS:1000744").isNull().alias("none"))
+    ion = params.number_of(params.first_param(F.col("params"), "MS:1000744")["value"])
+    return rows.select("key", params.ms_level(F.col("params")).alias("ms_level"), start["unit_accession"].alias("unit"), F.round(params.number_of(start["value"]), 4).alias("start"), ion.alias("ion"))
+
+
+def find_params(spark, d):
+    """The first value in lists of scans and of windows below them."""
+    rows = meta_spectra(spark, d)
+    start = params.find_param(F.col("scans"), "MS:1000016", "params")
+    limit = params.find_param(F.flatten(F.transform("scans", lambda s: s["windows"])), "MS:1000501", "params")
+    ion = params.find_param(F.flatten(F.transform("precursors", lambda p: p["selected_ions"])), "MS:1000744", "params")
+    return rows.select(_key(), *(F.round(params.number_of(c["value"]), 4).alias(n) for n, c in (("start", start), ("low", limit), ("ion", ion))))
 
 
 def size_texts(spark, d):
@@ -269,7 +393,9 @@ def size_texts(spark, d):
 
 
 def mode_sizes(spark, d):
-    return tokens.mode_sizes(line_spectra(spark, d)).select(_key(), (F.col("lossless") > 0).alias("lossless"), (F.col("lossy") > 0).alias("lossy"))
+    """Of spectra without arrays, whose tokens have a known length in both modes."""
+    sizes = tokens.mode_sizes(_texts(spark, d, 9_000))
+    return sizes.select(_key(), "lossy", "lossless", "percent")
 
 
 def duplicate_params(spark, d):
@@ -361,13 +487,17 @@ def inspect_arrays(spark, d):
 
 
 def breakdown_bytes(spark, d):
-    return tokens.breakdown(_stored(tokens.encode(line_spectra(spark, d)).select("id", "token")), "id").select(_key(), "pos", "part", (F.col("bytes") > 0).alias("some"))
+    """Of spectra with empty arrays, whose documents have a known size; zlib makes eight bytes of nothing."""
+    empty = F.array().cast("array<double>")
+    spectra = _texts(spark, d, 300).withColumns({"mz": empty, "intensity": empty})
+    return tokens.breakdown(_stored(tokens.encode(spectra, lossless=True).select("id", "token")), "id").select(_key(), "pos", "part", "bytes")
 
 
 def size_ratio(spark, d):
-    encoded = tokens.encode(line_spectra(spark, d))
+    """Plain bytes of the arrays, and bytes a peak of texts as long as ten characters and the charges' sum."""
     raw = analytics.raw_bytes(F.col("default_array_length"), F.col("charge").isNotNull(), F.col("extra_arrays"))
-    return encoded.select(_key(), raw.cast("bigint").alias("raw_bytes"), (F.length("token") > 0).alias("encoded"))
+    size = F.lit(10) + F.aggregate("charge", F.lit(0.0), lambda s, x: s + x)
+    return line_spectra(spark, d).select(_key(), raw.cast("bigint").alias("raw_bytes"), F.round(analytics.bytes_per_peak(size, F.col("default_array_length")), 6).alias("per_peak"))
 
 
 def malformed_codes(spark, d):
@@ -402,41 +532,58 @@ def json_round_trip(spark, d):
     return back.select(_key(), "default_array_length", kinds.alias("kinds"), F.round(F.array_max("mz"), 4).alias("high_mz"), F.size(F.element_at("extra_arrays", "tax")["values"]).alias("n_tax"))
 
 
+def _peak_sums(decoded):
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    return decoded.select(_key(), "default_array_length", F.round(F.array_min("mz"), 6).alias("low"), F.round(F.array_max("intensity"), 6).alias("high"), total("charge").alias("charges"), "error")
+
+
 def token_files(spark, d):
     path = _scratch(spark)
-    token_text.write_tokens(tokens.encode(line_spectra(spark, d)), path)
-    return tokens.decode(token_text.read_tokens(spark, path)).select(_key(), "default_array_length", "format_version")
+    token_text.write_tokens(tokens.encode(line_spectra(spark, d), lossless=True), path)
+    return _peak_sums(tokens.decode(token_text.read_tokens(spark, path)))
 
 
 def mzml_scan(spark, d):
-    """Writes the spectra as elements of mzML files with Spark's XML sink, and reads these with the mzML source."""
+    """Writes the spectra as elements of mzML files with Spark's XML sink, and reads these with the mzML source.
+
+    Parameters of the spectrum, the scan, the isolation window and the arrays stand in groups; the groups
+    of an order's priority differ in their value."""
     path, groups = _scratch(spark), _scratch(spark)
-    text = lambda v: F.lit(v).cast("string")
+    text = lambda v: v if isinstance(v, Column) else F.lit(v).cast("string")
     cv = lambda accession, value="", unit=None: F.struct(text(accession).alias("_accession"), text(value).alias("_value"), text(unit).alias("_unitAccession"))
+    ref = lambda *names: F.array(*(F.struct(text(n).alias("_ref")) for n in names))
     pack = _little_endian()
-    array = lambda c, accession: F.struct(F.array(cv("MS:1000523"), cv("MS:1000576"), cv(accession)).alias("cvParam"), F.translate(F.base64(pack(c)), "\r\n", "").alias("binary"))
-    spectra = line_spectra(spark, d)
-    elements = spectra.select(
+    array = lambda c, accession: F.struct(F.array(cv(accession)).alias("cvParam"), ref("doubles").alias("referenceableParamGroupRef"), F.translate(F.base64(pack(c)), "\r\n", "").alias("binary"))
+    named = F.concat(F.lit("g"), (F.col("id").cast("bigint") % 5).cast("string"))
+    elements = line_spectra(spark, d).select(
         F.col("id").alias("_id"),
         F.col("default_array_length").alias("_defaultArrayLength"),
-        F.array(F.struct(F.lit("g").alias("_ref"))).alias("referenceableParamGroupRef"),
+        ref(named, "missing").alias("referenceableParamGroupRef"),
         F.array(cv("MS:1000511", "1")).alias("cvParam"),
-        F.struct(F.array(cv("MS:1000795")).alias("cvParam"), F.array(F.struct(F.array(cv("MS:1000016", "5.5", "UO:0000031")).alias("cvParam"))).alias("scan")).alias("scanList"),
+        F.struct(F.array(cv("MS:1000795")).alias("cvParam"), F.array(F.struct(F.array(cv("MS:1000016", "5.5", "UO:0000031")).alias("cvParam"), ref(named).alias("referenceableParamGroupRef"))).alias("scan")).alias("scanList"),
+        F.struct(F.array(F.struct(F.struct(ref(named).alias("referenceableParamGroupRef")).alias("isolationWindow"))).alias("precursor")).alias("precursorList"),
         F.struct(F.array(array(F.col("mz"), "MS:1000514"), array(F.col("intensity"), "MS:1000515")).alias("binaryDataArray")).alias("binaryDataArrayList"),
     )
     elements.write.format("xml").options(rootTag="mzML", rowTag="spectrum").save(path)
-    group = spectra.limit(1).select(F.lit("g").alias("_id"), F.array(cv("MS:1000130")).alias("cvParam"))
-    group.write.format("xml").options(rootTag="mzML", rowTag="referenceableParamGroup").save(groups)
-    back = mzml.read_mzml(spark, [path, groups])
-    accessions = F.array_join(F.transform("params", lambda p: p["accession"]), " ")
-    start = F.try_element_at(F.try_element_at("scans", F.lit(1))["params"], F.lit(1))
-    return back.select(_key(), "default_array_length", accessions.alias("accessions"), params.number_of(start["value"]).alias("start"), start["unit_accession"].alias("unit"), F.round(F.array_max("mz"), 4).alias("high_mz"), F.size("intensity").alias("n_intensity"))
+    orders = _table(spark, d, "orders").select((F.col("o_orderkey") % 5).alias("n")).distinct()
+    some = orders.select(F.concat(F.lit("g"), F.col("n").cast("string")).alias("_id"), F.array(cv("MS:1000130", (F.col("n") * 10).cast("string"))).alias("cvParam"))
+    doubles = orders.where("n = 0").select(F.lit("doubles").alias("_id"), F.array(cv("MS:1000523"), cv("MS:1000576")).alias("cvParam"))
+    some.union(doubles).write.format("xml").options(rootTag="mzML", rowTag="referenceableParamGroup").save(groups)
+    back = mzml.read_mzml(spark, path, groups=mzml.read_param_groups(spark, groups).drop("file"))
+    value = lambda ps, accession: params.number_of(params.first_param(ps, accession)["value"])
+    scan, window = F.try_element_at("scans", F.lit(1))["params"], F.try_element_at("precursors", F.lit(1))["isolation_window"]["params"]
+    found = {"own": value(F.col("params"), "MS:1000130"), "of_scan": value(scan, "MS:1000130"), "of_window": value(window, "MS:1000130"), "start": value(scan, "MS:1000016"), "unit": params.first_param(scan, "MS:1000016")["unit_accession"]}
+    return back.select(_key(), "default_array_length", *(c.alias(n) for n, c in found.items()), F.round(F.array_max("mz"), 4).alias("high_mz"), F.round(F.array_min("intensity"), 4).alias("low_intensity"))
 
 
 def _little_endian():
-    @F.pandas_udf("binary")
-    def pack(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: struct.pack(f"<{len(v)}d", *v))
+    """The bytes of doubles, read from an Arrow batch's flat buffer."""
+
+    @F.arrow_udf("binary")
+    def pack(column: pa.Array) -> pa.Array:
+        offsets = column.offsets.to_numpy().astype("int64")
+        flat = column.values.to_numpy().astype("<f8").tobytes()
+        return pa.array([flat[8 * a : 8 * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())
 
     return pack
 
@@ -444,11 +591,11 @@ def _little_endian():
 def stream_decode(spark, d):
     """Tokens as files, decoded by a stream that ends when it has read them all, into a table of files."""
     source, sink, state = _scratch(spark), _scratch(spark), _scratch(spark)
-    token_text.write_tokens(tokens.encode(line_spectra(spark, d)), source)
-    rows = decoded_stream(spark, source).select(_key(), "default_array_length", "error")
+    token_text.write_tokens(tokens.encode(line_spectra(spark, d), lossless=True), source)
+    rows = _peak_sums(decoded_stream(spark, source))
     query = rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema("key bigint, default_array_length int, error string").parquet(sink)
+    return spark.read.schema(rows.schema).parquet(sink)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -459,12 +606,13 @@ QUERIES = {f.__name__: f for f in (
     refgroup_expand, refgroup_unresolved, cv_label_join, first_params, size_texts, mode_sizes, duplicate_params, canonical_params, typed_values, flatten_params,
     validate_spectra, accession_encode, unit_encode, to_fragment, to_query, to_data_uri, extract_token, b64url_text, b64url_back,
     token_checksum, inspect_arrays, breakdown_bytes, size_ratio, malformed_codes, tolerance_check, json_round_trip, token_files,
-    mzml_scan, stream_decode,
+    mzml_scan, stream_decode, metadata_round_trip, find_params, long_tokens, codec_registry, validate_keys, malformed_documents, token_sql,
+    stream_error_counts,
 )}
 
 _P = """WITH p AS (
   SELECT l_orderkey AS key, l_linenumber, l_partkey, l_suppkey, {mz} AS mz, {intensity} AS intensity, l_linenumber::DOUBLE AS charge, l_discount AS noise, l_tax AS tax,
-    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, {mz}, {intensity}, l_discount, l_tax) - 1 AS i
   FROM lineitem
 ), s AS (SELECT *, (row_number() OVER (PARTITION BY key ORDER BY mz, i) - 1)::INTEGER AS pos, count(*) OVER (PARTITION BY key) AS n FROM p)
 """
@@ -508,16 +656,28 @@ _ACCESSION_SQL = "(CASE p_partkey % 3 WHEN 0 THEN 'MS' WHEN 1 THEN 'UO' ELSE 'NC
 _B64 = "rtrim(translate(base64(encode(text)), '+/', '-_'), '=')"
 _PAIRS = """list_filter(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '\\?(.*)$', 1), '&'), lambda p: p <> '' AND split_part(p, '=', 1) <> 'page')"""
 
+_PEAK_SUMS = _sql("SELECT key, count(*)::INTEGER AS default_array_length, round(min(mz), 6) AS low, round(max(intensity), 6) AS high, sum(charge) AS charges, NULL::VARCHAR AS error FROM s GROUP BY key")
+
+
+def _documents(most: int) -> str:
+    """(key, bytes): the documents of an id and an interpretation in CBOR: a map's head, then its keys 0, 1, 6 and 7 with their values, each text headed by one to three bytes."""
+    head = "CASE WHEN {n} < 24 THEN 1 WHEN {n} < 256 THEN 2 ELSE 3 END"
+    size, text = "length(o_orderkey::VARCHAR)", f"o_orderkey % {most}"
+    return f"SELECT o_orderkey AS key, 1 + 2 + (1 + {head.format(n=size)} + {size}) + 2 + (1 + {head.format(n=text)} + {text}) AS bytes FROM orders"
+
+
+#: A token is the identifier, the payload in base64 without padding and eight digits, with points between.
+_TOKEN_LENGTH = f"({len(U.MAGIC)} + 1 + (bytes * 4 + 2) // 3 + 1 + 8)::INTEGER"
 ORACLE_SQL = {
     "canonical_sort": _sql("SELECT key, pos, mz, intensity, charge FROM s"),
     "canonical_sort_ties": _sql("SELECT key, pos, mz, intensity, charge FROM s", mz="floor(l_partkey % 3)::DOUBLE"),
     "top_n_3": _sql(_top(3)),
     "top_n_ties": _sql(_top(2), intensity="floor(l_quantity * 1000 / 20000)"),
-    "top_n_0": "SELECT l_orderkey AS key, 0 AS default_array_length, 0 AS \"left\" FROM lineitem GROUP BY l_orderkey",
+    "top_n_0": "SELECT l_orderkey AS key, count(*)::INTEGER AS n_before, 0 AS default_array_length, 0 AS \"left\" FROM lineitem GROUP BY l_orderkey",
     "top_n_all": _sql("SELECT key, i::INTEGER AS pos, mz, intensity, charge FROM s"),
     "top_n_peak_table": _sql("SELECT key, rank, mz, intensity FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY intensity DESC, mz, i)::INTEGER AS rank FROM s) WHERE rank <= 2"),
-    "drop_user_params": "SELECT l_orderkey AS key, 0 AS n_user, count(*)::INTEGER AS n_peaks FROM lineitem GROUP BY 1",
-    "mobility_view": "SELECT l_orderkey AS key, 'MS:1003008' AS name, count(*)::INTEGER AS n FROM lineitem GROUP BY 1",
+    "drop_user_params": "SELECT o_orderkey AS key, CASE WHEN o_custkey % 5 = 0 THEN 2 ELSE 1 END AS n_before, 0 AS n_user, 3 AS n_params FROM orders",
+    "mobility_view": _sql("SELECT key, 'MS:1003008' AS name, i::INTEGER AS pos, tax AS value FROM s"),
     "quantize_linear": _sql("SELECT key, l_linenumber, l_partkey, l_suppkey, round(floor(mz * 100000 + 0.5) / 100000, 6) AS mz FROM s"),
     "quantize_slof_fp": _sql(_SLOF),
     "quantize_slof_clamped": _sql(_SLOF, intensity="l_quantity * 1000 * 1e5"),
@@ -546,10 +706,33 @@ UNION ALL SELECT o_orderkey, 1, 'MS:1000511', substr(o_orderpriority, 1, 1)::DOU
 UNION ALL SELECT o_orderkey, 2, 'MS:1000130', NULL FROM orders WHERE o_orderpriority < '5'""",
     "refgroup_unresolved": "SELECT o_orderkey AS key, o_orderstatus AS ref FROM orders UNION ALL SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority >= '5'",
     "cv_label_join": f"SELECT accession, {_LABEL_CASE} AS label, count(*) AS n FROM (SELECT 'MS:' || lpad((1000500 + l_linenumber * 5 + l_suppkey % 30)::VARCHAR, 7, '0') AS accession FROM lineitem) GROUP BY ALL",
-    "first_params": "SELECT o_orderkey AS key, substr(o_orderpriority, 1, 1)::DOUBLE AS ms_level, 'UO:0000031' AS unit, true AS none FROM orders",
+    "first_params": "SELECT o_orderkey AS key, substr(o_orderpriority, 1, 1)::DOUBLE AS ms_level, 'UO:0000031' AS unit, round(o_totalprice, 4) AS start, CASE WHEN o_custkey % 2 = 0 THEN o_custkey::DOUBLE END AS ion FROM orders",
+    "find_params": "SELECT o_orderkey AS key, round(o_totalprice, 4) AS start, o_custkey::DOUBLE AS low, CASE WHEN o_custkey % 2 = 0 THEN round(o_totalprice, 4) END AS ion FROM orders",
+    "metadata_round_trip": """WITH o AS (SELECT o_orderkey AS key, o_custkey AS c, round(o_totalprice, 4) AS price, o_orderstatus AS status, o_orderpriority AS priority FROM orders)
+SELECT key, 'spectrum' AS part, 'MS:1000511' AS name, substr(priority, 1, 1)::DOUBLE AS number, NULL AS text, NULL AS unit FROM o
+UNION ALL SELECT key, 'spectrum', 'MS:1000127', NULL, NULL, NULL FROM o UNION ALL SELECT key, 'spectrum', 'NCIT:C25330', NULL, status, NULL FROM o
+UNION ALL SELECT key, 'scan', 'MS:1000016', price, NULL, 'UO:0000031' FROM o UNION ALL SELECT key, 'window', 'MS:1000501', c::DOUBLE, NULL, NULL FROM o
+UNION ALL SELECT key, 'scan user', 'status', NULL, status, NULL FROM o WHERE c % 5 = 0
+UNION ALL SELECT key, 'isolation', 'MS:1000827', price, NULL, 'MS:1000040' FROM o WHERE c % 2 = 0 UNION ALL SELECT key, 'ion', 'MS:1000744', price, NULL, NULL FROM o WHERE c % 2 = 0
+UNION ALL SELECT key, 'activation', 'MS:1000133', NULL, NULL, NULL FROM o WHERE c % 2 = 0 UNION ALL SELECT key, 'product', 'MS:1000828', c::DOUBLE, NULL, NULL FROM o WHERE c % 3 = 0
+UNION ALL SELECT key, 'user', 'customer', c::DOUBLE, NULL, 'UO:0000010' FROM o UNION ALL SELECT key, 'combination', 'accession', NULL, 'MS:1000795', NULL FROM o
+UNION ALL SELECT key, 'interpretation', 'interp', NULL, priority || '/2', NULL FROM o UNION ALL SELECT key, 'array', 'unit', NULL, 'MS:1000040', NULL FROM o""",
+    "long_tokens": f"""SELECT key, CASE WHEN n <= 10000 THEN n END AS n, CASE WHEN n <= 10000 THEN n > {R.WARN_LENGTH} END AS long, CASE WHEN n > 10000 THEN 'token is longer than 10000' END AS error
+FROM (SELECT key, {_TOKEN_LENGTH} AS n FROM ({_documents(9_000)}))""",
+    "codec_registry": """SELECT c.name, c.compression, c.lossy, c.transform, count(*) AS n FROM lineitem JOIN (VALUES (0, 'zlib', 1000574, false, 'raw'), (1, 'zstd', 1003780, false, 'raw'), (2, 'byte-shuffled-zstd', 1003781, false, 'raw'),
+  (3, 'numlin-zlib', 1002746, true, 'linear'), (4, 'numlin-zstd', 1003783, true, 'linear'), (5, 'numslof-zlib', 1002748, true, 'slof'), (6, 'numslof-zstd', 1003785, true, 'slof'), (7, 'numpic-zlib', 1002747, true, 'pic'), (8, 'numpic-zstd', 1003784, true, 'pic')) c(i, name, compression, lossy, transform)
+ON l_partkey % 9 = c.i GROUP BY ALL""",
+    "validate_keys": """WITH o AS (SELECT o_orderkey AS key, CASE o_orderkey % 6 WHEN 0 THEN 'core array accession MS:1000514 has a field of its own' WHEN 1 THEN 'non-standard arrays are keyed by their name' WHEN 2 THEN 'array name charge is reserved'
+  WHEN 3 THEN 'array accession NCIT:C25330 is not a seven-digit MS one' END AS a, CASE WHEN o_orderkey % 3 = 1 THEN 'a unit names no array' END AS b, CASE WHEN o_orderkey % 5 = 0 THEN 'a unit is no accession' END AS c FROM orders)
+SELECT key, (row_number() OVER (PARTITION BY key ORDER BY i) - 1)::INTEGER AS pos, error FROM (SELECT key, 0 AS i, a AS error FROM o UNION ALL SELECT key, 1, b FROM o UNION ALL SELECT key, 2, c FROM o) WHERE error IS NOT NULL""",
+    "malformed_documents": """SELECT o_orderkey AS key, CASE o_orderkey % 9 WHEN 1 THEN 'array has 2 values instead of 3' WHEN 2 THEN 'array has 2 values instead of 1' WHEN 3 THEN 'declared and embedded fixed point differ' WHEN 4 THEN 'compressed data ends early'
+  WHEN 5 THEN 'array is larger than its declared length allows' WHEN 6 THEN 'array is larger than its declared length allows' WHEN 7 THEN 'trailing bytes after the document' WHEN 8 THEN 'truncated document' END AS error,
+  CASE WHEN o_orderkey % 9 = 0 THEN '1.0 1.0' END AS mz FROM orders""",
+    "token_sql": _sql("SELECT key, pos, round(mz, 6) AS mz, round(intensity, 6) AS intensity, charge FROM s"),
+    "stream_error_counts": """SELECT (epoch(o_orderdate)::BIGINT // 2592000) * 2592000 AS start, count(*) AS tokens, count(*) FILTER (o_custkey % 5 = 0) AS bad FROM orders GROUP BY 1""",
     "size_texts": """SELECT page_id, CASE WHEN n < 1024 THEN n::VARCHAR || ' B' WHEN n < 1048576 THEN (k // 10)::VARCHAR || '.' || (k % 10)::VARCHAR || ' KB' ELSE (m // 100)::VARCHAR || '.' || lpad((m % 100)::VARCHAR, 2, '0') || ' MB' END AS size
 FROM (SELECT *, floor(n * 10 / 1024 + 0.5)::BIGINT AS k, floor(n * 100 / 1048576 + 0.5)::BIGINT AS m FROM (SELECT page_id, strlen(html) * (CASE WHEN page_id % 2 = 0 THEN 1 ELSE 300 END) AS n FROM pages))""",
-    "mode_sizes": "SELECT l_orderkey AS key, true AS lossless, true AS lossy FROM lineitem GROUP BY 1",
+    "mode_sizes": f"SELECT key, n AS lossy, n AS lossless, 0.0::DOUBLE AS percent FROM (SELECT key, {_TOKEN_LENGTH} AS n FROM ({_documents(9_000)}))",
     "duplicate_params": "SELECT l_orderkey AS key, 'MS:' || (1000000 + l_suppkey % 7)::VARCHAR AS accession FROM lineitem GROUP BY ALL HAVING count(*) > 1",
     "canonical_params": """SELECT key, (row_number() OVER (PARTITION BY key ORDER BY t, n, a) - 1)::INTEGER AS pos, a AS accession FROM (
   SELECT o_orderkey AS key, a, CASE WHEN a LIKE 'MS:%' THEN 0 ELSE 1 END AS t, CASE WHEN a LIKE 'MS:%' THEN substr(a, 4)::BIGINT ELSE strlen(a) END AS n
@@ -575,12 +758,12 @@ FROM (SELECT p_partkey, {_ACCESSION_SQL} AS a FROM part)""",
     "b64url_text": f"SELECT doc_id, md5({_B64}) AS digest FROM documents",
     "b64url_back": "SELECT doc_id, md5(text) AS digest FROM documents",
     "inspect_arrays": _sql(f"SELECT key, pos, CASE WHEN array_key = 'tax' THEN 'MS:1000786' ELSE 'MS:' || \"array\"::VARCHAR END AS \"array\", CASE WHEN array_key = 'tax' THEN 'tax' END AS name, 'MS:1000523' AS type, 'MS:' || comp::VARCHAR AS compression, fp AS fixed_point FROM ({_DEFAULT_PLAN})"),
-    "breakdown_bytes": "SELECT DISTINCT l_orderkey AS key, pos::INTEGER AS pos, ['header', 'm/z', 'intensity', 'charge', 'signal-to-noise', 'tax'][pos + 1] AS part, true AS some FROM lineitem, range(6) t(pos)",
-    "size_ratio": "SELECT l_orderkey AS key, (count(*) * 40)::BIGINT AS raw_bytes, true AS encoded FROM lineitem GROUP BY 1",
+    "breakdown_bytes": f"""SELECT key, pos::INTEGER AS pos, ['header', 'm/z', 'intensity'][pos + 1] AS part, CASE WHEN pos = 0 THEN bytes + 2 * (1 + 3 * (1 + 5) + 1 + 1) ELSE 8 END::INTEGER AS bytes FROM ({_documents(300)}), range(3) t(pos)""",
+    "size_ratio": _sql("SELECT key, (count(*) * 40)::BIGINT AS raw_bytes, round((10 + sum(charge)) / count(*), 6) AS per_peak FROM s GROUP BY key"),
     "malformed_codes": "SELECT key, CASE key % 7 WHEN 0 THEN 'wrong magic or version' WHEN 1 THEN 'wrong number of parts' WHEN 2 THEN 'malformed checksum' WHEN 3 THEN 'checksum mismatch' WHEN 4 THEN 'token is not ASCII' WHEN 5 THEN 'document' ELSE 'fine' END AS fault FROM (SELECT DISTINCT l_orderkey AS key FROM lineitem)",
     "tolerance_check": _sql("SELECT key, bool_and(abs(floor(mz * 100 + 0.5) / 100 - mz) <= 1e-6 + 1e-5 * mz) AS near FROM s GROUP BY key"),
     "json_round_trip": _sql("SELECT key, count(*)::INTEGER AS default_array_length, 'int float null' AS kinds, round(max(mz), 4) AS high_mz, count(*)::INTEGER AS n_tax FROM s GROUP BY key"),
-    "token_files": "SELECT l_orderkey AS key, count(*)::INTEGER AS default_array_length, 1 AS format_version FROM lineitem GROUP BY 1",
-    "mzml_scan": _sql("SELECT key, count(*)::INTEGER AS default_array_length, 'MS:1000511 MS:1000130' AS accessions, 5.5::DOUBLE AS start, 'UO:0000031' AS unit, round(max(mz), 4) AS high_mz, count(*)::INTEGER AS n_intensity FROM s GROUP BY key"),
-    "stream_decode": "SELECT l_orderkey AS key, count(*)::INTEGER AS default_array_length, NULL::VARCHAR AS error FROM lineitem GROUP BY 1",
+    "token_files": _PEAK_SUMS,
+    "mzml_scan": _sql("SELECT key, count(*)::INTEGER AS default_array_length, (key % 5 * 10)::DOUBLE AS own, (key % 5 * 10)::DOUBLE AS of_scan, (key % 5 * 10)::DOUBLE AS of_window, 5.5::DOUBLE AS start, 'UO:0000031' AS unit, round(max(mz), 4) AS high_mz, round(min(intensity), 4) AS low_intensity FROM s GROUP BY key"),
+    "stream_decode": _PEAK_SUMS,
 }

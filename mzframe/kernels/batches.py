@@ -3,11 +3,14 @@ at a time only where bytes are compressed or parsed."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import base64
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
+from mzframe import registry as R
 from mzframe.kernels import arrays, cbor, document
 
 FAULTS = (document.DocumentError, cbor.CborError, arrays.CodecError)
@@ -83,3 +86,20 @@ def inflate_lists(descriptors: pa.Array, lengths: pa.Array, kind: pa.StructType)
     null = pa.array([e is not None or not ok for e, ok in zip(errors, descriptors.is_valid().to_pylist(), strict=True)], pa.bool_())
     values = pa.ListArray.from_arrays(pa.array(offsets), found.field("values"), kind.field("values").type, mask=null)
     return pa.StructArray.from_arrays([values, pa.array(errors, pa.string())], fields=list(kind))
+
+
+def token_peaks(token: str | None, magic: str) -> Iterator[tuple]:
+    """(pos, mz, intensity, charge) of one token, for the table function, which gets tokens one by one."""
+    if token is None:
+        return
+    body, _, stored = token.rpartition(".")
+    if not body.startswith(f"{magic}.") or f"{zlib.crc32(body.encode()):08x}" != stored:
+        raise document.DocumentError("wrong magic, version or checksum")
+    payload = body[len(magic) + 1 :]
+    header = document.parse(base64.b64decode(payload + "=" * (-len(payload) % 4), altchars="-_", validate=True))
+    n, found = header["default_array_length"], {d["array"]: d for d in header["descriptors"]}
+    columns = []
+    for tail in (R.ARRAY_MZ, R.ARRAY_INTENSITY, R.ARRAY_CHARGE):
+        d = found.get(tail)
+        columns.append([None] * n if d is None else arrays.decode(d["data"], d["comp"], d["type"], d["fp"], n).tolist())
+    yield from zip(range(n), *columns, strict=True)

@@ -168,8 +168,19 @@ def mode_sizes(spectra: DataFrame, key: str = "id", **options: object) -> DataFr
     return both.select(key, F.col("_lossy").alias("lossy"), F.length("token").alias("lossless"), ((F.length("token") / F.col("_lossy") - 1) * 100).alias("percent"))
 
 
+class TokenPeaks:
+    """The table function explode_token: a row for each peak of a token. A bad token is an error."""
+
+    def eval(self, token: str | None):  # noqa: ANN201
+        from mzframe.kernels import batches
+
+        yield from batches.token_peaks(token, MAGIC)
+
+
 def register_functions(spark: SparkSession) -> None:
-    """For SQL: token_document(spectrum with plan), token_header(document), token_array(descriptor, length)."""
+    """For SQL: the scalar functions token_document(spectrum with plan), token_header(document) and
+    token_array(descriptor, length), and the table function explode_token(token): pos, mz, intensity, charge."""
     build, parse, inflate, _ = _udfs()
     for name, f in (("token_document", build), ("token_header", parse), ("token_array", inflate)):
         spark.udf.register(name, f)
+    spark.udtf.register("explode_token", F.udtf(TokenPeaks, returnType="pos int, mz double, intensity double, charge double", useArrow=True))

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from mzframe import catalog
 
 DATA = "/root/testdata/sf0.001"
 
@@ -38,10 +39,12 @@ def compare(spark, tables, name):
     names = sorted(df.columns)
     want = tables.sql(entry.oracle_sql()[name])
     assert sorted(want.columns) == names
+    kinds = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    assert {f.name: kinds[f.dataType.simpleString()] for f in df.schema} == dict(zip(want.columns, map(str, want.types), strict=True))
     assert rows_of(df.columns, names, df.collect()) == rows_of(want.columns, names, want.fetchall())
 
 
-NAMES = ("canonical_sort", "top_n_3", "top_n_ties", "quantize_slof_clamped", "encoding_plan_override", "negative_fallback", "linear_residual", "ladder_prefix_sum", "refgroup_expand", "canonical_params", "validate_spectra", "to_query", "extract_token", "round_trip_lossy", "malformed_codes", "mzml_scan", "stream_decode")
+NAMES = sorted(n for n in catalog.ORACLE_SQL)
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -51,6 +54,14 @@ def test_query_gives_the_rows_of_its_sql(spark, tables, name):
     compare(spark, tables, name)
 
 
+def test_checksums_equal_the_library(spark):
+    import zlib
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r["doc_id"]: r["checksum"] for r in catalog.token_checksum(spark, DATA).collect()}
+    assert got == {i: None if t is None else f"{zlib.crc32(t.encode()):08x}" for i, t in texts.items()} and len(got) >= 200
+
+
 def test_entry_and_registry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     if os.path.isdir(DATA):

@@ -5,7 +5,7 @@ a template of fewer words, of as many words as it has.
 Each template has a window size: `span` is the power of two that is at least 1.25 times its number
 of shingles, and windows are two spans long at steps of one span, so that any run of up to one span
 lies whole in a window. Every window has one minimum for each of `bands` hash functions, and each
-minimum is a band of its own: a template that a window contains to the threshold has a Jaccard
+minimum is a band of its own, looked up in a table from (band, minimum) to templates: a template that a window contains to the threshold has a Jaccard
 similarity to it of at least threshold / (1 + 2 * 2.5 - threshold), 0.15 at 0.8, so that it is
 retrieved with a probability of at least 1 - (1 - 0.15) ** bands, 0.9994 for 44 bands, and more
 for the usual whole copy. What is retrieved is verified: the share of the template's distinct
@@ -17,8 +17,8 @@ wholes, in parts that overlap by two windows, without any shuffle.
 
 Defined results: null and empty texts have no match, nor has a text of fewer words than a template's
 shingle with that template; templates without words are refused. Matches of one template that overlap are one.
-Repeated rows each get their result; an empty table gives an empty result; other columns are
-ignored.
+Repeated rows each get their result, and ids may be null; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +27,11 @@ from collections.abc import Iterator, Mapping
 from operator import itemgetter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 WORDS = 5
 PART = 8_192
@@ -83,6 +85,29 @@ def shingled(x: np.ndarray, words: int) -> np.ndarray:
     return _mix(total)
 
 
+class BandTable:
+    """From a band's minimum to the templates that have it, whatever their number."""
+
+    def __init__(self, signatures: list[np.ndarray]):
+        keys = np.concatenate([x.reshape(-1) for x in signatures])
+        owners = np.repeat(np.arange(len(signatures)), len(signatures[0]))
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owners = keys[order], owners[order]
+        bits = max(12, len(keys).bit_length() + 6)
+        self.mask = np.uint64((1 << bits) - 1)
+        self.some = np.zeros(1 << bits, bool)  # most minima are no template's; their low bits tell
+        self.some[keys & self.mask] = True
+
+    def lookup(self, minima: np.ndarray) -> list[tuple[int, int]]:
+        """(window, template) of the columns that share a band with a template, each once, in order."""
+        _, windows = at = np.nonzero(self.some[minima & self.mask])
+        if not len(windows):
+            return []
+        asked = minima[at]
+        low, high = np.searchsorted(self.keys, asked), np.searchsorted(self.keys, asked, "right")
+        return sorted({(w, k) for w, a, b in zip(windows.tolist(), low.tolist(), high.tolist(), strict=True) for k in self.owners[a:b].tolist()})
+
+
 class Scanner:
     """Scans for templates by shingles of one length. If that is less than WORDS, each template has to be one shingle."""
 
@@ -91,6 +116,7 @@ class Scanner:
         bands = bands if length == WORDS else 1
         rng = np.random.default_rng(17)
         self.factors = (rng.integers(0, 1 << 63, bands, dtype="uint64") * np.uint64(2) + np.uint64(1))[:, None]
+        self.salts = rng.integers(0, 1 << 63, bands, dtype="uint64")[:, None]
         self.by_span: dict[int, list[tuple[str, np.ndarray, np.ndarray]]] = {}
         for name, text in templates.items():
             s = np.unique(self.words.shingles(text, length)[0])
@@ -101,6 +127,7 @@ class Scanner:
             span = 1 << max(2, int(np.ceil(np.log2(1.25 * len(s))))) if length == WORDS else 1
             self.by_span.setdefault(span, []).append((name, s, (s[None, :] * self.factors).min(1)))
         self.spans = sorted(self.by_span)
+        self.tables = {span: BandTable([m[:, None] + self.salts for _, _, m in held]) for span, held in self.by_span.items()}
 
     def windows(self, shingles: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """For each span, the minima of all windows: one row per hash function, one column per step."""
@@ -132,15 +159,15 @@ class Scanner:
         for start in range(0, len(shingles), step):
             part = shingles[start : start + step + longest]
             for span, minima in self.windows(part):
-                for name, s, signature in self.by_span[span]:
-                    for w in np.flatnonzero((minima == signature[:, None]).any(0)):
-                        a = w * span
-                        window = part[a : a + (2 * span if span > 1 else 1)]
-                        held = np.isin(window, s)
-                        share = len(np.unique(window[held])) / len(s)
-                        if share >= self.threshold:
-                            where = np.flatnonzero(held) + a + start
-                            found.setdefault(name, []).append((int(at[where[0]]), int(at[where[-1] + self.length - 1]) + 1, share))
+                for w, k in self.tables[span].lookup(minima + self.salts):
+                    name, s, _ = self.by_span[span][k]
+                    a = w * span
+                    window = part[a : a + (2 * span if span > 1 else 1)]
+                    held = np.isin(window, s)
+                    share = len(np.unique(window[held])) / len(s)
+                    if share >= self.threshold:
+                        where = np.flatnonzero(held) + a + start
+                        found.setdefault(name, []).append((int(at[where[0]]), int(at[where[-1] + self.length - 1]) + 1, share))
         out = []
         for name, spans in found.items():
             merged: list[tuple[int, int, float]] = []
@@ -175,16 +202,14 @@ def scan(docs: DataFrame, templates: Mapping[str, str], threshold: float = 0.8,
     """doc_id, n_matches, licenses (distinct names before the colon, sorted and joined by blanks),
     matches (array of template, first_word, end_word, containment)."""
     kind = docs.schema[doc_id].dataType.simpleString()
+    schema = f"doc_id {kind}, n_matches long, licenses string, matches array<struct<template: string, first_word: int, end_word: int, containment: double>>"
+    fields = list(to_arrow_schema(StructType.fromDDL(schema)))[1:]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanners(templates, threshold, bands)
-        for batch in filter(len, batches):
-            found = [scanner.scan(t) for t in batch["text"]]
-            yield batch[["doc_id"]].assign(
-                n_matches=[len(f) for f in found],
-                licenses=[" ".join(sorted({m[0].partition(":")[0] for m in f})) for f in found],
-                matches=[[{"template": n, "first_word": a, "end_word": b, "containment": c} for n, a, b, c in f] for f in found],
-            )
+        for batch in batches:
+            found = [scanner.scan(t.as_py()) for t in batch["text"]]
+            columns = ([len(f) for f in found], [" ".join(sorted({m[0].partition(":")[0] for m in f})) for f in found], [[{"template": n, "first_word": a, "end_word": b, "containment": c} for n, a, b, c in f] for f in found])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, f.type) for c, f in zip(columns, fields, strict=True))], names=["doc_id", *(f.name for f in fields)])
 
-    schema = f"doc_id {kind}, n_matches long, licenses string, matches array<struct<template: string, first_word: int, end_word: int, containment: double>>"
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, schema)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)

@@ -10,8 +10,9 @@ of labellers, whatever the input, so the driver may hold them. The scorer's samp
 `sample_docs` documents, each of at most `dimensions` values.
 
 Defined results: a null or empty text gets the votes of an empty one (bad by length) and is scored
-by the bias alone. Ties at the threshold are kept. Repeated rows each get their result; an empty
-table gives an empty result; other columns are left alone.
+by the bias alone. A very long text is counted as a whole. Ties at the threshold are kept. Repeated
+rows each get their result, and ids may be null; an empty table gives an empty result; other columns
+are left alone.
 """
 
 from __future__ import annotations
@@ -20,13 +21,14 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import islice
 from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -194,7 +196,7 @@ class Scorer:
     weights: np.ndarray
     bias: float
 
-    def texts(self, features: Features, texts: pd.Series) -> tuple[list[tuple[int, ...]], np.ndarray]:
+    def texts(self, features: Features, texts: Iterable[str | None]) -> tuple[list[tuple[int, ...]], np.ndarray]:
         """Votes and the probability of good for each text."""
         votes, logits = [], []
         for t in texts:
@@ -233,14 +235,15 @@ def classify(docs: DataFrame, scorer: Scorer, doc_id: str = "doc_id", text: str
     """doc_id, votes (in the order of NAMES), posterior, score, kept: score is the linear scorer's probability of good."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(len(scorer.weights))
         for batch in filter(len, batches):
-            votes, p = scorer.texts(features, batch["text"])
-            posterior = scorer.model.posterior(np.array(votes, int).reshape(len(batch), len(NAMES)))
-            yield batch[["doc_id"]].assign(votes=[list(v) for v in votes], posterior=posterior, score=p, kept=p >= threshold)
+            votes, p = scorer.texts(features, batch["text"].to_pylist())
+            posterior = scorer.model.posterior(np.array(votes, int).reshape(len(votes), len(NAMES)))
+            columns = [batch["doc_id"], pa.array(votes, pa.list_(pa.int32())), pa.array(posterior), pa.array(p), pa.array(p >= threshold)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "votes", "posterior", "score", "kept"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(score, f"doc_id {kind}, votes array<int>, posterior double, score double, kept boolean")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(score, f"doc_id {kind}, votes array<int>, posterior double, score double, kept boolean")
 
 
 def accepted(docs: DataFrame, scorer: Scorer, text: str = "text", threshold: float = 0.5) -> DataFrame:

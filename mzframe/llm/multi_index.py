@@ -1,20 +1,25 @@
 """Embedding near-duplicates through an inverted multi-index.
 
 Two codebooks, one for each half of the vectors, are fitted apart; the pairs of their centroids are
-the cells of a product grid. Every vector is listed in its own cell, and every vector visits cells
-in the order of the summed squared distances to the centroids of both halves, as a multi-sequence
-traversal of the two sorted lists does, until the excess over its own cell's sum passes a bound
-calibrated for a target recall. What it meets there is verified by cosine.
+the cells of a product grid, which is finer the more vectors there are. Every vector is listed in its
+own cell, and every vector visits cells in the order of the summed squared distances to the centroids
+of both halves, as a multi-sequence traversal of the two sorted lists does, until the excess over its
+own cell's sum passes a bound calibrated for a target recall. What it meets there is verified by cosine.
 
-Bounds: the codebooks and the calibration use a sample of at most `sample_rows` vectors; every
-vector is indexed. Equal vectors are one entry with a count. A cell's entries and its visitors are
-dealt out in blocks, and a block gives one row per entry that has links (its count of links, and
-the smallest entry that it is linked to within the block), never one per pair.
+Cells are dealt out by pages: the cells of one left centroid whose right centroids lie near each
+other, as many as hold about `block` entries. A vector is sent once to each page that has a cell it
+visits. A page of more entries, or with many visitors, is dealt in blocks. A block gives one row per
+entry that has links (its count of links, and the smallest entry that it is linked to within the
+block), never one per pair.
+
+Bounds: the codebooks and the calibration use a sample of at most `sample_rows` vectors, and a half
+has at most MOST_CODEWORDS centroids; every vector is indexed. Equal vectors are one entry with a count.
 
 Defined results: vectors link only if their labels are equal and not null and their lengths agree.
 A vector that is null, empty, zero or holds null or non-finite components, or whose label or id is
-null, has no links and is its own component. Repeated rows count as vectors of their own. An empty
-table gives an empty result; other columns are ignored.
+null, has no links and is its own component. Repeated rows count as vectors of their own. Vectors of
+a length that the sample missed share one cell. An empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +36,14 @@ from pyspark.sql import functions as F
 from mzframe.llm.common import connected_components, materialize
 
 
+MOST_CODEWORDS = 512
+
+
+def codewords_for(entries: int) -> int:
+    """Of each half: so that a cell holds about four entries, if all lie alike."""
+    return min(MOST_CODEWORDS, max(4, math.ceil(math.sqrt(entries) / 2)))
+
+
 def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Squared, of every row to every centre."""
     return np.maximum((x * x).sum(1)[:, None] + (centres * centres).sum(1) - 2 * x @ centres.T, 0)
@@ -86,6 +99,16 @@ class Grid:
         at = np.arange(len(x))
         return a[at, cells // len(self.right)] + b[at, cells % len(self.right)] <= self.slack
 
+    def right_order(self) -> np.ndarray:
+        """The place of each right centroid along the direction in which they differ most."""
+        centred = self.right - self.right.mean(0)
+        direction = np.linalg.svd(centred, full_matrices=False)[2][0]
+        return np.argsort(np.argsort(centred @ direction, kind="stable"), kind="stable")
+
+
+def one_cell(dim: int) -> Grid:
+    return Grid(np.zeros((1, max(1, dim // 2))), np.zeros((1, dim - dim // 2 if dim > 1 else 1)))
+
 
 def fit(x: np.ndarray, threshold: float, codewords: int, target_recall: float, seed: int = 7) -> Grid:
     """Codebooks on the halves of unit vectors x, and the slack that meets the target recall for
@@ -137,22 +160,22 @@ def smallest_linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         low = new
 
 
-def match(group: pd.DataFrame, grids: dict[int, Grid], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+def match(group: pd.DataFrame, grid: Grid, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """rep, links and root of the entries of one block that have links.
 
-    A pair whose members visit each other's cells is met twice and counts where the smaller one visits."""
+    A pair counts where its guest visits the listed one's cell; if both visit each other's, where the smaller one visits."""
     listed, guests = group[group["guest"] == 0], group[group["guest"] == 1]
     if listed.empty or guests.empty:
         return None
     x, y = (units(list(g["vec"])) for g in (guests, listed))
-    grid = grids[x.shape[1]]
     xr, yr, xn, yn = guests["rep"].to_numpy(), listed["rep"].to_numpy(), guests["n"].to_numpy(), listed["n"].to_numpy()
     i, j = np.nonzero(x @ y.T >= threshold - 1e-9)
     if len(i):
         p, q = x[i], y[j]
-        exact = (p * q).sum(1) >= threshold
-        both = grid.reaches(q, guests["own"].to_numpy()[i])
-        take = exact & (xr[i] != yr[j]) & (~both | (xr[i] < yr[j]))
+        exact = ((p * q).sum(1) >= threshold) & (xr[i] != yr[j])
+        i, j, p, q = i[exact], j[exact], p[exact], q[exact]
+        here, back = grid.reaches(p, listed["own"].to_numpy()[j]), grid.reaches(q, guests["own"].to_numpy()[i])
+        take = here & (~back | (xr[i] < yr[j]))
         i, j = i[take], j[take]
     if not len(i):
         return None
@@ -164,9 +187,10 @@ def match(group: pd.DataFrame, grids: dict[int, Grid], threshold: float) -> tupl
     return reps[some], links[some].astype("int64"), root[some]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", codewords: int = 48, target_recall: float = 0.99, sample_rows: int = 8_192, block: int = 256) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", codewords: int | None = None, target_recall: float = 0.99, sample_rows: int = 8_192, block: int = 256) -> DataFrame:
     """vec_id, n_links, component_id, kept: see the module. target_recall is that of one direction of
-    visits; a pair is found if either of its vectors visits the other's cell."""
+    visits; a pair is found if either of its vectors visits the other's cell. codewords: of each half;
+    by the number of entries if not given."""
     doubles = F.transform(F.col(embedding), lambda v: v.cast("double") + F.lit(0.0))
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).alias("label"), doubles.alias("vec"))
     norm = F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v)
@@ -178,38 +202,49 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "
     entries = materialize(entries.select(*key, F.col("first.vec_id").alias("rep"), F.col("first.vec").alias("vec"), "n"), "entries")
 
     sample = [r["vec"] for r in entries.select("vec").orderBy(F.xxhash64("vec")).limit(sample_rows).collect()]
-    grids = {d: fit(units([v for v in sample if len(v) == d]), threshold, codewords, target_recall) for d in {len(v) for v in sample}}
-    sizes = [r[0] for r in entries.select(F.size("vec")).distinct().limit(1000).collect()]
-    for d in sizes:  # lengths that the sample missed are so rare that one cell serves
-        grids.setdefault(d, Grid(np.zeros((1, max(1, d // 2))), np.zeros((1, d - d // 2 if d > 1 else 1))))
+    words = codewords or codewords_for(entries.count())
+    grids = {d: fit(units([v for v in sample if len(v) == d]), threshold, words, target_recall) for d in {len(v) for v in sample}}
+    orders = {d: g.right_order() for d, g in grids.items()}
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for d, part in batch.groupby(batch["vec"].map(len)):
+                grid = grids.get(d) or one_cell(d)
+                order, m = orders.get(d, np.zeros(1, int)), len(grid.right)
                 for k in range(0, len(part), 256):
                     p = part.iloc[k : k + 256]
                     x = units(list(p["vec"]))
-                    yield p.assign(dim=int(d), own=grids[d].cell(x), cells=[c.tolist() for c in grids[d].visits(x)])
+                    own, cells = grid.cell(x), grid.visits(x)
+                    met = [[{"left": int(a), "rights": np.unique(order[c[c // m == a] % m]).tolist()} for a in np.unique(c // m)] for c in cells]
+                    yield p.assign(dim=int(d), own=own, left=own // m, right=order[own % m], rights=m, met=met)
 
     schema = f"label {entries.schema['label'].dataType.simpleString()}, rep long, n long, vec array<double>"
     entry_rows = entries.select("label", "rep", "n", "vec")
-    visits = materialize(entry_rows.mapInPandas(visit, f"{schema}, dim int, own long, cells array<long>"), "visits")
-    met = visits.select("label", "dim", "rep", "own", F.explode("cells").alias("cell"))
-    cell = ["label", "dim", "cell"]
-    counts = met.groupBy(cell).agg(F.sum(F.when(F.col("own") == F.col("cell"), 1).otherwise(0)).alias("listed"), F.count("*").alias("guests"))
-    counts = materialize(counts.where("listed > 0 and guests > 1").select(*cell, F.ceil(F.col("listed") / block).cast("int").alias("blocks"), F.ceil(F.col("guests") / (2 * block)).cast("int").alias("splits")), "cells")
+    visits = materialize(entry_rows.mapInPandas(visit, f"{schema}, dim int, own long, left long, right long, rights int, met array<struct<left: long, rights: array<long>>>"), "visits")
+    side = ["label", "dim", "left"]
+    entry = ["rep", "n", "vec", "own"]
+    # how many pages the cells of a left centroid make
+    pages = visits.groupBy(side).agg(F.least(F.ceil(F.count("*") / block), F.first("rights")).cast("int").alias("pages"), F.first("rights").alias("m"))
+    pages = materialize(pages, "pages")
+    page = lambda right: F.floor(right * F.col("pages") / F.col("m")).cast("int")
+    listed = visits.join(pages, side).select(*side, page(F.col("right")).alias("page"), *entry)
+    met = visits.select("label", "dim", *entry, F.explode("met").alias("c")).select("label", "dim", F.col("c.left").alias("left"), F.col("c.rights").alias("met"), *entry)
+    guests = met.join(pages, side).select(*side, F.explode(F.array_distinct(F.transform("met", page))).alias("page"), *entry)
+    at = [*side, "page"]
+    sizes = listed.groupBy(at).agg(F.count("*").alias("listed")).join(guests.groupBy(at).agg(F.count("*").alias("guests")), at).where("guests > 1")
+    sizes = materialize(sizes.select(*at, F.ceil(F.col("listed") / block).cast("int").alias("blocks"), F.ceil(F.col("guests") / (2 * block)).cast("int").alias("splits")), "sizes")
 
     spread = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    entry = ["rep", "n", "vec", "own"]
-    listed = visits.withColumn("cell", F.col("own")).select(*cell, *entry).join(counts, cell).select(*cell, spread("blocks").alias("block"), all_of("splits").alias("split"), F.lit(0).alias("guest"), *entry)
-    guests = visits.withColumn("cell", F.explode("cells")).select(*cell, *entry).join(counts, cell).select(*cell, all_of("blocks").alias("block"), spread("splits").alias("split"), F.lit(1).alias("guest"), *entry)
-    place = [*cell, "block", "split"]
-    dealt = listed.unionByName(guests).repartition(*place).sortWithinPartitions(*place)
+    hosts = listed.join(sizes, at).select(*at, spread("blocks").alias("block"), all_of("splits").alias("split"), F.lit(0).alias("guest"), *entry)
+    callers = guests.join(sizes, at).select(*at, all_of("blocks").alias("block"), spread("splits").alias("split"), F.lit(1).alias("guest"), *entry)
+    place = [*at, "block", "split"]
+    dealt = hosts.unionByName(callers).repartition(*place).sortWithinPartitions(*place)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _blocks(batches, place):
-            if found := match(group, grids, threshold):
+            d = int(group["dim"].iloc[0])
+            if found := match(group, grids.get(d) or one_cell(d), threshold):
                 yield pd.DataFrame(dict(zip(("rep", "links", "root"), found, strict=True)))
 
     found = materialize(dealt.mapInPandas(verify, "rep long, links long, root long"), "links")

@@ -144,7 +144,8 @@ def top_k(vectors: DataFrame, k: int = 5, scale: int = 256, every: int = 50, vec
     shards, blocks = max(1, -(-n[0] // shard_rows)), max(1, -(-n[1] // block_rows))
     spread = lambda m, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(m)).cast("int")
     all_of = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    data = rows.select(spread(shards, 1).alias("shard"), all_of(blocks).alias("block"), F.lit(0).alias("query"), "vec_id", "vec")
+    # by rows, not ids, so that no id, however often it is repeated, fills a shard
+    data = rows.select(F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"), all_of(blocks).alias("block"), F.lit(0).alias("query"), "vec_id", "vec")
     asks = asked.select(all_of(shards).alias("shard"), spread(blocks, 2).alias("block"), F.lit(1).alias("query"), "vec_id", "vec")
     found = data.union(asks).groupBy("shard", "block").applyInPandas(lambda g: search_shard(g, k), "query_id long, vec_id long, score long")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -101,22 +101,26 @@ class Grid:
 
     def right_order(self) -> np.ndarray:
         """The place of each right centroid along the direction in which they differ most."""
+        if len(self.right) == 1:
+            return np.zeros(1, int)
         centred = self.right - self.right.mean(0)
         direction = np.linalg.svd(centred, full_matrices=False)[2][0]
         return np.argsort(np.argsort(centred @ direction, kind="stable"), kind="stable")
 
 
 def one_cell(dim: int) -> Grid:
-    return Grid(np.zeros((1, max(1, dim // 2))), np.zeros((1, dim - dim // 2 if dim > 1 else 1)))
+    half = max(1, dim // 2)
+    return Grid(np.zeros((1, half)), np.zeros((1, dim - half)))
 
 
 def fit(x: np.ndarray, threshold: float, codewords: int, target_recall: float, seed: int = 7) -> Grid:
     """Codebooks on the halves of unit vectors x, and the slack that meets the target recall for
     neighbours at exactly the threshold, in random directions: closer ones are met more surely."""
+    if x.shape[1] == 1:
+        return one_cell(1)
     rng = np.random.default_rng(seed)
-    half = max(1, x.shape[1] // 2)
-    right = x[:, half:] if x.shape[1] > 1 else np.zeros((len(x), 1))
-    grid = Grid(kmeans(x[:, :half], codewords, 12, rng), kmeans(right, codewords, 12, rng))
+    half = x.shape[1] // 2
+    grid = Grid(kmeans(x[:, :half], codewords, 12, rng), kmeans(x[:, half:], codewords, 12, rng))
     noise = rng.normal(size=x.shape)
     noise -= (noise * x).sum(1, keepdims=True) * x
     size = np.linalg.norm(noise, axis=1, keepdims=True)

@@ -7,8 +7,9 @@ of each distinct host label are joined to the words before its search, the token
 the tokens' weights. Only totals reach the driver.
 
 Defined results: a null url, and one without ``://``, has an empty host and path; no rule fits an
-empty host, and the classifier then has no tokens, so that the prior decides. An empty table gives
-an empty result. Repeated rows are each judged. Columns beside the id and url are ignored.
+empty host, and the classifier then has no tokens, so that the prior decides. A very long url is judged by all of its words; a host label is split as a
+whole, by words of up to 24 letters. An empty table gives an empty result. Repeated rows are each
+judged, and ids may be null. Columns beside the id and url are ignored.
 """
 
 from __future__ import annotations

@@ -1,7 +1,7 @@
 """WARC archives: write captures as records, read archives back, and assemble transactions.
 
-A capture is three records: a request, a response (or a revisit of an equal payload) and metadata.
-Request and metadata name the response in ``WARC-Concurrent-To``. Reading parses every record of
+A capture is three records: a request, a response (or a revisit of an equal payload, which names the
+target and date of what it refers to) and metadata. Request and metadata name the response in ``WARC-Concurrent-To``. Reading parses every record of
 every archive, and ``transactions`` joins the records of a capture through these identifiers into
 one nested row.
 
@@ -28,7 +28,7 @@ from mzframe.llm.common import base32_sha1, materialize
 
 EOL = "\r\n"
 HTTP_HEAD = f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=utf-8{EOL}{EOL}"
-RECORD = "record_id string, record_type string, concurrent_to string, target_uri string, date string, capture_key string, refers_to string, refers_to_key string, content_type string, payload_digest string, payload_bytes long, payload binary, fields map<string,string>"
+RECORD = "record_id string, record_type string, concurrent_to string, target_uri string, date string, capture_key string, refers_to string, refers_to_target string, refers_to_key string, content_type string, payload_digest string, payload_bytes long, payload binary, fields map<string,string>"
 
 
 def _uuid(*parts: Column) -> Column:
@@ -46,16 +46,22 @@ def _record(kind: Column | str, record_id: Column, content_type: str, block: Col
     return F.concat(F.concat_ws(EOL, *lines), F.lit(EOL + EOL), block)
 
 
+def _header_url(url: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(url, "\r", "%0D"), "\n", "%0A")
+
+
 def plan_captures(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html", min_revisit_bytes: int = 0) -> DataFrame:
-    """(id, digest, first) of the rows that revisit: first is the smallest id with an equal payload of at least so many bytes.
+    """(id, digest, first, first_url) of the rows that revisit: first is the smallest id with an equal payload of at least so many bytes.
 
     Payloads are equal if digest and length are. The grouped minimum is combined before the
     shuffle; the join back carries ids and digests only, and Spark splits a hot digest's rows."""
     body = F.coalesce(F.col(payload), F.lit(""))
-    rows = pages.select(F.col(page_id).alias("id"), base32_sha1(body).alias("digest"), F.octet_length(body).cast("long").alias("bytes"))
+    rows = pages.select(F.col(page_id).alias("id"), _header_url(F.col(url)).alias("url"), base32_sha1(body).alias("digest"), F.octet_length(body).cast("long").alias("bytes"))
     rows = materialize(rows, "digests")
-    firsts = materialize(rows.where(F.col("bytes") >= min_revisit_bytes).groupBy("digest", "bytes").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
-    return rows.join(firsts, ["digest", "bytes"], "left").where("id is not null and first is not null and id <> first").select("id", "digest", "first").distinct()
+    smallest = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "url")))
+    firsts = rows.where(F.col("bytes") >= min_revisit_bytes).groupBy("digest", "bytes").agg(smallest.alias("f"), F.count("*").alias("n")).where("n > 1")
+    firsts = materialize(firsts.select("digest", "bytes", F.col("f.id").alias("first"), F.col("f.url").alias("first_url")), "firsts")
+    return rows.join(firsts, ["digest", "bytes"], "left").where("id is not null and first is not null and id <> first").select("id", "digest", "first", "first_url").distinct()
 
 
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", payload: str = "html", min_revisit_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", records_per_file: int = 3000) -> None:
@@ -64,15 +70,16 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     Only the (id, digest, first) rows of revisits are joined to the rows, so the payloads move once at
     most. records_per_file bounds an archive; readers load one archive's compressed bytes at a time."""
     revisits = plan_captures(pages, page_id, url, payload, min_revisit_bytes)
-    rows = pages.select(F.col(page_id).alias("id"), F.regexp_replace(F.regexp_replace(F.col(url), "\r", "%0D"), "\n", "%0A").alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("body"), F.monotonically_increasing_id().alias("n"))
+    rows = pages.select(F.col(page_id).alias("id"), _header_url(F.col(url)).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("body"), F.monotonically_increasing_id().alias("n"))
     rows = rows.withColumn("digest", base32_sha1(F.col("body"))).join(revisits, ["id", "digest"], "left")
     key, again = F.col("id").cast("string"), F.col("first").isNotNull()
     main, of = _uuid(F.lit("response"), key, F.col("n").cast("string")), F.col("first").cast("string")
     common = [("WARC-Date", F.lit(date)), ("WARC-Target-URI", F.col("url"))]
+    revisited = (("Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("Refers-To-Target-URI", F.col("first_url")), ("Refers-To-Date", F.lit(date)))
     digest = ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")))
     target = F.coalesce(F.regexp_replace(F.col("url"), r"^[^:]*://[^/]*", ""), F.lit("/"))
     request = _record("request", _uuid(F.lit("request"), key, F.col("n").cast("string")), "application/http; msgtype=request", F.concat(F.lit("GET "), target, F.lit(f" HTTP/1.1{EOL}{EOL}")), ("WARC-Concurrent-To", main), *common)
-    response = _record(F.when(again, "revisit").otherwise("response"), main, "application/http; msgtype=response", F.when(again, F.lit(HTTP_HEAD)).otherwise(F.concat(F.lit(HTTP_HEAD), F.col("body"))), *common, digest, ("WARC-Profile", F.when(again, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))))
+    response = _record(F.when(again, "revisit").otherwise("response"), main, "application/http; msgtype=response", F.when(again, F.lit(HTTP_HEAD)).otherwise(F.concat(F.lit(HTTP_HEAD), F.col("body"))), *common, digest, *(("WARC-" + k, F.when(again, v)) for k, v in revisited))
     about = F.concat(
         *(F.concat(F.lit(f"{k}: "), F.coalesce(v, F.lit("")), F.lit(EOL)) for k, v in (("capture-key", key), ("refers-to-key", of), ("payload-bytes", F.octet_length("body").cast("string"))))
     )
@@ -155,7 +162,7 @@ def parse_archive(packed: bytes, with_payload: bool = True) -> Iterator[dict]:
             fields = _fields(block)
         yield {
             "record_id": h["warc-record-id"], "record_type": kind, "concurrent_to": h.get("warc-concurrent-to"), "target_uri": h.get("warc-target-uri"), "date": h.get("warc-date"),
-            "capture_key": (fields or {}).get("capture-key") or None, "refers_to": h.get("warc-refers-to"), "refers_to_key": (fields or {}).get("refers-to-key") or None, "content_type": h.get("content-type"),
+            "capture_key": (fields or {}).get("capture-key") or None, "refers_to": h.get("warc-refers-to"), "refers_to_target": h.get("warc-refers-to-target-uri"), "refers_to_key": (fields or {}).get("refers-to-key") or None, "content_type": h.get("content-type"),
             "payload_digest": digest, "payload_bytes": size if size is not None else int((fields or {}).get("payload-bytes") or -1) if fields else None, "payload": payload if with_payload else None, "fields": fields,
         }
 
@@ -183,7 +190,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
 
 
 def transactions(records: DataFrame) -> DataFrame:
-    """One nested row per capture: record_id, record_type, target_uri, date, payload_digest,
+    """One nested row per capture: record_id, record_type, target_uri, refers_to_target, date, payload_digest,
     payload_bytes, payload, request, metadata.
 
     The joins' keys are the captures' own identifiers, so no key is hot."""
@@ -192,4 +199,4 @@ def transactions(records: DataFrame) -> DataFrame:
     metadata = records.where("record_type = 'metadata' and concurrent_to is not null").select(F.col("concurrent_to").alias("record_id"), F.struct(F.col("record_id").alias("id"), "capture_key", "refers_to_key", "payload_bytes", "fields").alias("metadata"))
     out = main.join(request, "record_id", "left").join(metadata, "record_id", "left")
     size = F.coalesce("payload_bytes", "metadata.payload_bytes").alias("payload_bytes")
-    return out.select("record_id", "record_type", "target_uri", "date", "payload_digest", size, "payload", "request", "metadata")
+    return out.select("record_id", "record_type", "target_uri", "refers_to_target", "date", "payload_digest", size, "payload", "request", "metadata")

@@ -52,6 +52,25 @@ def test_links_equal_brute_force(spark):
     assert multi_index.near_duplicates(vectors(spark, rows).limit(0)).count() == 0
 
 
+def test_links_of_many_vectors_at_the_threshold_are_found_with_production_parameters(spark):
+    """Pairs of cosine 0.93 to 0.97 beside each other, a group of copies with noise, and vectors of other lengths."""
+    rng = np.random.default_rng(11)
+    base = multi_index.units(list(rng.normal(size=(900, 32))))
+    rows = []
+    for k, x in enumerate(base):
+        noise = rng.normal(size=32)
+        noise -= (noise @ x) * x
+        c = rng.uniform(0.931, 0.97)
+        rows += [x, c * x + np.sqrt(1 - c * c) * noise / np.linalg.norm(noise)]
+    rows += [base[0] + 0.02 * rng.normal(size=32) for _ in range(300)]
+    table = [(i, r.astype("float32").tolist(), 1, 1, 2) for i, r in enumerate(rows)] + [(10_000 + d, [1.0] * d, 1, 1, 2) for d in range(1, 30)] + [(20_000 + d, [2.0] * d, 1, 1, 2) for d in range(1, 30)]
+    got = {r["vec_id"]: r["n_links"] for r in multi_index.near_duplicates(vectors(spark, table), sample_rows=500, block=64).collect()}
+    x = multi_index.units([np.array(r[1], "float32").astype(float) for r in table[: len(rows)]])
+    want = ((x @ x.T) >= 0.93).sum(1) - 1
+    assert sum(got[i] for i in range(len(rows))) >= 0.97 * want.sum() and all(got[i] <= w for i, w in enumerate(want))
+    assert all(got[10_000 + d] == got[20_000 + d] == 1 for d in range(1, 30))
+
+
 def test_traversal_meets_its_target_recall():
     rng = np.random.default_rng(2)
     x = multi_index.units(list(rng.normal(size=(2000, 32))))
@@ -152,6 +171,7 @@ def test_archives_round_trip(spark):
         again = first[html or ""] != key
         assert r["record_type"] == ("revisit" if again else "response")
         assert r["metadata"]["refers_to_key"] == (str(first[html or ""]) if again else None)
+        assert r["refers_to_target"] == ({1: "http://a/2", 2: None}[first[html or ""]] if again else None)
         assert r["request"]["id"] and (again or bytes(r["payload"]) == raw)
     assert got["2"]["target_uri"] is None and got["4"]["target_uri"] == "http://a/%0D%0AX: y"
     small = common.scratch_path(spark, "test")
@@ -160,6 +180,17 @@ def test_archives_round_trip(spark):
     assert kinds["4"] == kinds["2"] == "response" and kinds["3"] == kinds["7"] == "revisit"
     none = common.scratch_path(spark, "test")
     warc.write_archives(df.limit(0), none)
+    assert warc.read_archives(spark, none).count() == 0 and warc.transactions(warc.read_archives(spark, none)).count() == 0
+
+
+def test_archives_of_odd_tables(spark):
+    big = (1 << 53) + 1
+    rows = [(big, "u", "a", "x"), (None, "u", "a", "y"), (big + 1, "v", "a", None), (big + 1, "v", "a", "z")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, digest string").withColumns({"id": F.lit(1), "body": F.lit("b"), "first": F.lit(2), "n": F.lit(3), "record_type": F.lit("w")})
+    path = common.scratch_path(spark, "test")
+    warc.write_archives(df, path)
+    got = [(r["metadata"]["capture_key"], r["record_type"], r["metadata"]["refers_to_key"]) for r in warc.transactions(warc.read_archives(spark, path)).collect()]
+    assert sorted(got, key=str) == sorted([(str(big), "response", None), (None, "response", None), *[(str(big + 1), "revisit", str(big))] * 2], key=str)
 
 
 def test_raked_sums_meet_their_targets(spark):

@@ -1,7 +1,13 @@
 """A training corpus from raw documents: classify, deduplicate, redact, mix, encode.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last
-return the columns of documents.
+return the columns of documents, extra ones included, whatever their names.
+
+Defined results: null and empty texts are rejected by the quality stage as a rule, as texts of no
+words; what it keeps of them is one group of copies and stays without personal data. Repeated rows,
+and rows of one id, are one document, of which the near-duplicate stage keeps the smallest text; rows
+without an id are kept there, each by itself. A very long text passes every stage whole. A missing
+source or language is a category of its own in the mix. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,8 +35,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of documents by source, language and form of text."""
-    return raking.sample(raking.describe(docs), queries.MIX_TARGETS, budget_share=0.9).where("sampled").select(*docs.columns)
+    """A sample of documents by source, language and form of text. Rows travel packed, so that no column of theirs is taken for one of the mix."""
+    packed = docs.select(F.struct("*").alias("document"), "doc_id", "text", "source", "lang")
+    return raking.sample(raking.describe(packed), queries.MIX_TARGETS, budget_share=0.9).where("sampled").select("document.*")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

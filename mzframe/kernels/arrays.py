@@ -22,73 +22,137 @@ class CodecError(ValueError):
     pass
 
 
-def half_bytes(codes: np.ndarray) -> bytes:
-    """Every 32-bit code as half bytes, the low one first. The head tells how many leading half bytes
-    of zeros (0-8) or, plus 8, of ones (1-7) are left out."""
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
+def _cut(raw: bytes, sizes: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(sizes).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def half_bytes_of(codes: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Every 32-bit code of arrays that lie side by side as half bytes, the low one first. The head tells how
+    many leading half bytes of zeros (0-8) or, plus 8, of ones (1-7) are left out. Each array fills whole bytes."""
     c = codes.astype("int64") & 0xFFFFFFFF
     nibbles = (c[:, None] >> np.arange(0, 32, 4)) & 15  # low first
     ones = nibbles[:, 7] == 15
     same = nibbles[:, ::-1] == np.where(ones, 15, 0)[:, None]
     lead = np.where(same.all(1), 8, same.argmin(1))
     lead = np.where(ones, np.minimum(lead, 7), np.where(nibbles[:, 7] == 0, lead, 0))
-    head = np.where(ones, lead + 8, lead)
-    table = np.concatenate([head[:, None], nibbles], axis=1)
+    table = np.concatenate([np.where(ones, lead + 8, lead)[:, None], nibbles], axis=1)
     flat = table[np.arange(9) <= (8 - lead)[:, None]].astype("uint8")
-    if len(flat) % 2:
-        flat = np.append(flat, np.uint8(0))
-    return (flat[0::2] << 4 | flat[1::2]).tobytes()
+    used = np.bincount(np.repeat(np.arange(len(sizes)), sizes), 9 - lead, len(sizes)).astype("int64")
+    odd = used % 2
+    out = np.zeros(int((used + odd).sum()), "uint8")
+    out[np.arange(len(flat)) + np.repeat(np.cumsum(odd) - odd, used)] = flat
+    return _cut((out[0::2] << 4 | out[1::2]).tobytes(), (used + odd) // 2)
 
 
-def from_half_bytes(raw: bytes, most: int) -> np.ndarray:
-    """Signed 32-bit codes; a last half byte of zero is padding. Only the walk from head to head goes code by code."""
-    packed = np.frombuffer(raw, "uint8")
+def half_bytes(codes: np.ndarray) -> bytes:
+    return half_bytes_of(codes, np.array([len(codes)]))[0]
+
+
+def from_half_bytes_of(raws: list[bytes], most: list[int]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
+    """The signed 32-bit codes of arrays side by side, how many each has, and which are well formed (others
+    have none). A last half byte of zero is padding. Only the walk from head to head goes code by code."""
+    packed = np.frombuffer(b"".join(raws), "uint8")
     flat = np.stack([packed >> 4, packed & 15], axis=1).reshape(-1)
-    end = len(flat) - (len(flat) > 0 and flat[-1] == 0)
     size = 9 - np.where(flat <= 8, flat, flat - 8).astype("int64")
     after = (np.arange(len(flat)) + size).tolist()
-    heads, at = [], 0
-    while at < end:
-        heads.append(at)
-        at = after[at]
-    if at > len(flat) or len(heads) > most:
-        raise CodecError("half-byte data is malformed")
-    k = np.array(heads, "int64")
-    held, places = size[k] - 1, np.arange(8)
+    stops = (2 * np.cumsum([len(r) for r in raws])).tolist()
+    heads: list[int] = []
+    counts, fine, at = [], [], 0
+    for start, stop, n in zip([0, *stops], stops, most, strict=False):
+        at, before = start, len(heads)
+        end = stop - 1 if stop > start and flat[stop - 1] == 0 else stop
+        while at < end:
+            heads.append(at)
+            at = after[at]
+        ok = at <= stop and len(heads) - before <= n
+        if not ok:
+            del heads[before:]
+        counts.append(len(heads) - before)
+        fine.append(ok)
+    k, places = np.array(heads, "int64"), np.arange(8)
+    held = size[k] - 1
     nibbles = np.append(flat, np.zeros(9, "uint8")).astype("int64")[k[:, None] + 1 + places]
     filled = np.where(places < held[:, None], nibbles, np.where(flat[k] > 8, 15, 0)[:, None])
     codes = (filled << 4 * places).sum(1)
-    return np.where(codes >= 1 << 31, codes - (1 << 32), codes)
+    return np.where(codes >= 1 << 31, codes - (1 << 32), codes), np.array(counts, "int64"), fine
+
+
+def from_half_bytes(raw: bytes, most: int) -> np.ndarray:
+    codes, _, fine = from_half_bytes_of([raw], [most])
+    if not fine[0]:
+        raise CodecError("half-byte data is malformed")
+    return codes
+
+
+def _linear(x: np.ndarray, sizes: np.ndarray, fps: np.ndarray) -> list[bytes | CodecError]:
+    codes = np.floor(x * np.repeat(fps, sizes) + 0.5).astype("int64")
+    place = np.arange(len(x)) - np.repeat(_starts(sizes), sizes)
+    steps = np.zeros(len(x), "int64")
+    steps[2:] = codes[2:] - 2 * codes[1:-1] + codes[:-2]
+    first = place < 2
+    large = np.where(first, codes >= 1 << 32, np.abs(steps) >= 1 << 31)
+    bad = np.bincount(np.repeat(np.arange(len(sizes)), sizes), large, len(sizes)) > 0
+    heads = _cut(codes[first].astype("<u4").tobytes(), 4 * np.minimum(sizes, 2))
+    tails = half_bytes_of(steps[~first], np.maximum(sizes - 2, 0))
+    return [CodecError("values are too large for the linear transform") if b else struct.pack(">d", fp) + h + t for b, fp, h, t in zip(bad, fps, heads, tails, strict=True)]
+
+
+def _slof(x: np.ndarray, sizes: np.ndarray, fps: np.ndarray) -> list[bytes | CodecError]:
+    codes = np.floor(np.log(x + 1) * np.repeat(fps, sizes) + 0.5).astype("int64")
+    bad = np.bincount(np.repeat(np.arange(len(sizes)), sizes), codes > 0xFFFF, len(sizes)) > 0
+    parts = _cut(codes.astype("<u2").tobytes(), 2 * sizes)
+    return [CodecError("the fixed point is too large for the values") if b else struct.pack(">d", fp) + c for b, fp, c in zip(bad, fps, parts, strict=True)]
+
+
+def _pic(x: np.ndarray, sizes: np.ndarray, fps: np.ndarray) -> list[bytes | CodecError]:
+    return half_bytes_of(np.floor(x + 0.5), sizes)
 
 
-def encode_linear(x: np.ndarray, fp: int) -> bytes:
-    codes = np.floor(x * fp + 0.5).astype("int64")
-    steps = np.diff(codes, 2)
-    if len(codes) and (codes[:2].max() >= 1 << 32 or len(steps) and np.abs(steps).max() >= 1 << 31):
-        raise CodecError("values are too large for the linear transform")
-    return struct.pack(">d", fp) + codes[:2].astype("<u4").tobytes() + (half_bytes(steps) if len(steps) else b"")
+def _from_linear(raws: list[bytes], fps: np.ndarray, most: list[int]) -> list[np.ndarray | CodecError]:
+    steps, counts, fine = from_half_bytes_of([r[16:] for r in raws], most)
+    firsts = np.array([min(2, (len(r) - 8) // 4) for r in raws])
+    sizes = firsts + counts
+    place = np.arange(sizes.sum()) - np.repeat(_starts(sizes), sizes)
+    first = np.frombuffer(b"".join(r[8 : 8 + 4 * k] for r, k in zip(raws, firsts.tolist(), strict=True)), "<u4").astype("int64")
+    base = np.zeros(len(place), "int64")
+    base[place < 2] = first
+    changes = np.zeros(len(place), "int64")
+    changes[place >= 2] = steps
+    second = np.flatnonzero(place == 1)
+    changes[second] = base[second] - base[second - 1]
+    for start in (np.zeros(len(place), "int64"), np.where(place == 0, base, 0)):  # the sums of the changes, then the codes
+        changes = np.where(place == 0, start, changes)
+        total = np.cumsum(changes)
+        begins = np.flatnonzero(place == 0)
+        changes = total - np.repeat(total[begins] - changes[begins], sizes[sizes > 0])
+    return _arrays(changes / np.repeat(fps, sizes), sizes, fine)
 
 
-def decode_linear(raw: bytes, most: int) -> np.ndarray:
-    fp = struct.unpack(">d", raw[:8])[0]
-    first = np.frombuffer(raw[8:16][: (len(raw) - 8) // 4 * 4], "<u4").astype("int64")
-    if len(first) < 2:
-        return first / fp
-    steps = from_half_bytes(raw[16:], most)
-    diffs = np.cumsum(np.concatenate([first[1:] - first[:1], steps]))
-    return np.concatenate([first[:1], first[0] + np.cumsum(diffs)]) / fp
+def _from_slof(raws: list[bytes], fps: np.ndarray, most: list[int]) -> list[np.ndarray | CodecError]:
+    sizes = np.array([(len(r) - 8) // 2 for r in raws])
+    codes = np.frombuffer(b"".join(r[8:] for r in raws), "<u2")
+    return _arrays(np.exp(codes / np.repeat(fps, sizes)) - 1, sizes, [True] * len(raws))
 
 
-def encode_slof(x: np.ndarray, fp: int) -> bytes:
-    codes = np.floor(np.log(x + 1) * fp + 0.5).astype("int64")
-    if len(codes) and codes.max() > 0xFFFF:
-        raise CodecError("the fixed point is too large for the values")
-    return struct.pack(">d", fp) + codes.astype("<u2").tobytes()
+def _from_pic(raws: list[bytes], fps: np.ndarray, most: list[int]) -> list[np.ndarray | CodecError]:
+    codes, sizes, fine = from_half_bytes_of(raws, most)
+    return _arrays((codes & 0xFFFFFFFF).astype(float), sizes, fine)
 
 
-def decode_slof(raw: bytes) -> np.ndarray:
-    if len(raw) % 2:
-        raise CodecError("slof data has an odd length")
-    return np.exp(np.frombuffer(raw[8:], "<u2") / struct.unpack(">d", raw[:8])[0]) - 1
+def _arrays(flat: np.ndarray, sizes: np.ndarray, fine: list[bool]) -> list[np.ndarray | CodecError]:
+    ends = np.cumsum(sizes).tolist()
+    return [flat[a:b] if ok else CodecError("half-byte data is malformed") for a, b, ok in zip([0, *ends], ends, fine, strict=False)]
+
+
+ENCODERS = {**dict.fromkeys(R.LINEAR, _linear), **dict.fromkeys(R.SLOF, _slof), **dict.fromkeys(R.PIC, _pic)}
+DECODERS = {**dict.fromkeys(R.LINEAR, _from_linear), **dict.fromkeys(R.SLOF, _from_slof), **dict.fromkeys(R.PIC, _from_pic)}
+PLAIN = (R.ZLIB, R.ZSTD, R.SHUFFLED_ZSTD)
+DEFLATED = (R.ZLIB, R.LINEAR_ZLIB, R.SLOF_ZLIB, R.PIC_ZLIB)
 
 
 def _shuffle(raw: bytes, width: int, back: bool) -> bytes:
@@ -96,25 +160,37 @@ def _shuffle(raw: bytes, width: int, back: bool) -> bytes:
     return (a.reshape(width, -1) if back else a.reshape(-1, width)).T.tobytes()
 
 
+def encode_many(items: list[tuple]) -> list[bytes | CodecError]:
+    """For (values, codec, type, fixed point) each: its bytes, or why it has none. All arrays of a transform
+    are transformed together; only the compressors go array by array."""
+    out: list = [CodecError(f"unknown codec {comp}") for _, comp, _, _ in items]
+    groups: dict = {}
+    for i, (values, comp, kind, fp) in enumerate(items):
+        x = np.asarray(values, float)
+        if comp in ENCODERS:
+            groups.setdefault(ENCODERS[comp], []).append((i, x, fp or 1))
+        elif comp in PLAIN:
+            raw = x.astype(NUMPY[kind]).tobytes()
+            out[i] = _shuffle(raw, np.dtype(NUMPY[kind]).itemsize, False) if comp == R.SHUFFLED_ZSTD else raw
+    for transform, members in groups.items():
+        sizes = np.array([len(x) for _, x, _ in members])
+        flat = np.concatenate([x for _, x, _ in members])
+        negative = np.bincount(np.repeat(np.arange(len(sizes)), sizes), flat < 0, len(sizes)) > 0
+        made = transform(np.maximum(flat, 0), sizes, np.array([fp for _, _, fp in members], float))
+        for (i, _, _), bad, raw in zip(members, negative, made, strict=True):
+            out[i] = CodecError("negative values have no lossy form") if bad else raw
+    pack = lambda raw, comp: zlib.compress(raw) if comp in DEFLATED else _zstd()[0].compress(raw)
+    return [raw if isinstance(raw, CodecError) else pack(raw, item[1]) for raw, item in zip(out, items, strict=True)]
+
+
 def encode(values: list, comp: int, kind: int, fp: int | None) -> bytes:
-    x = np.asarray(values, float)
-    if comp in R.LOSSY and len(x) and x.min() < 0:
-        raise CodecError("negative values have no lossy form")
-    if comp in R.LINEAR:
-        raw = encode_linear(x, fp)
-    elif comp in R.SLOF:
-        raw = encode_slof(x, fp)
-    elif comp in R.PIC:
-        raw = half_bytes(np.floor(x + 0.5)) if len(x) else b""
-    elif comp in (R.ZLIB, R.ZSTD, R.SHUFFLED_ZSTD):
-        raw = x.astype(NUMPY[kind]).tobytes()
-    else:
-        raise CodecError(f"unknown codec {comp}")
-    if comp in (R.ZLIB, R.LINEAR_ZLIB, R.SLOF_ZLIB, R.PIC_ZLIB):
-        return zlib.compress(raw)
-    if comp == R.SHUFFLED_ZSTD:
-        raw = _shuffle(raw, np.dtype(NUMPY[kind]).itemsize, False)
-    return _zstd()[0].compress(raw)
+    return _sure(encode_many([(values, comp, kind, fp)])[0])
+
+
+def _sure(x: object) -> object:
+    if isinstance(x, CodecError):
+        raise x
+    return x
 
 
 @cache
@@ -129,7 +205,7 @@ def _inflate(data: bytes, comp: int, most: int) -> bytes:
     """At most `most` bytes, whatever the data claims."""
     _, unpack, fault = _zstd()
     try:
-        if comp in (R.ZLIB, R.LINEAR_ZLIB, R.SLOF_ZLIB, R.PIC_ZLIB):
+        if comp in DEFLATED:
             z = zlib.decompressobj()
             raw = z.decompress(data, most)
             if z.unconsumed_tail or not z.eof and z.decompress(b"", 1):
@@ -146,26 +222,51 @@ def _inflate(data: bytes, comp: int, most: int) -> bytes:
     return raw
 
 
-def decode(data: bytes, comp: int, kind: int, fp: int | None, n: int) -> np.ndarray:
-    """The values as doubles; a fixed point in the data must be the declared one."""
-    if comp not in R.CODECS.values():
-        raise CodecError(f"unknown codec {comp}")
-    raw = _inflate(data, comp, min(64 + 16 * n, R.MAX_BLOB_BYTES))
+def _plain(raw: bytes, comp: int, kind: int) -> np.ndarray:
+    if comp == R.SHUFFLED_ZSTD:
+        raw = _shuffle(raw, np.dtype(NUMPY[kind]).itemsize, True)
+    return np.frombuffer(raw, NUMPY[kind]).astype(float)
+
+
+def _opened(data: bytes, comp: int, kind: int, fp: int | None, n: int) -> bytes | np.ndarray | CodecError:
+    """A transform's bytes, or the values where there is no transform."""
     try:
-        if comp in R.LINEAR or comp in R.SLOF:
-            if len(raw) < 8 or struct.unpack(">d", raw[:8])[0] != fp:
-                raise CodecError("declared and embedded fixed point differ")
-            out = decode_linear(raw, n) if comp in R.LINEAR else decode_slof(raw)
-        elif comp in R.PIC:
-            out = (from_half_bytes(raw, n) & 0xFFFFFFFF).astype(float)
-        else:
-            if comp == R.SHUFFLED_ZSTD:
-                raw = _shuffle(raw, np.dtype(NUMPY[kind]).itemsize, True)
-            out = np.frombuffer(raw, NUMPY[kind]).astype(float)
+        if comp not in DECODERS and comp not in PLAIN:
+            raise CodecError(f"unknown codec {comp}")
+        raw = _inflate(data, comp, min(64 + 16 * n, R.MAX_BLOB_BYTES))
+        if comp in PLAIN:
+            return _plain(raw, comp, kind)
+        if comp not in R.PIC and (len(raw) < 8 or struct.unpack(">d", raw[:8])[0] != fp):
+            raise CodecError("declared and embedded fixed point differ")
+        if comp in R.SLOF and len(raw) % 2:
+            raise CodecError("slof data has an odd length")
     except (ValueError, struct.error) as e:
-        raise e if isinstance(e, CodecError) else CodecError(f"array data is malformed: {e}") from e
-    if len(out) != n:
-        raise CodecError(f"array has {len(out)} values instead of {n}")
-    if not np.isfinite(out).all():
-        raise CodecError("array holds a value that is not finite")
-    return out
+        return e if isinstance(e, CodecError) else CodecError(f"array data is malformed: {e}")
+    return raw
+
+
+def _checked(x: np.ndarray | CodecError, n: int) -> np.ndarray | CodecError:
+    if isinstance(x, CodecError):
+        return x
+    if len(x) != n:
+        return CodecError(f"array has {len(x)} values instead of {n}")
+    return x if np.isfinite(x).all() else CodecError("array holds a value that is not finite")
+
+
+def decode_many(items: list[tuple]) -> list[np.ndarray | CodecError]:
+    """For (bytes, codec, type, fixed point, length) each: the values as doubles, or why there are none. A fixed
+    point in the data must be the declared one. All arrays of a transform are transformed together."""
+    out: list = [_opened(*item) for item in items]
+    groups: dict = {}
+    for i, (raw, item) in enumerate(zip(out, items, strict=True)):
+        if isinstance(raw, bytes):
+            groups.setdefault(DECODERS[item[1]], []).append(i)
+    for transform, members in groups.items():
+        made = transform([out[i] for i in members], np.array([items[i][3] or 1 for i in members], float), [items[i][4] for i in members])
+        for i, x in zip(members, made, strict=True):
+            out[i] = x
+    return [_checked(x, item[4]) for x, item in zip(out, items, strict=True)]
+
+
+def decode(data: bytes, comp: int, kind: int, fp: int | None, n: int) -> np.ndarray:
+    return _sure(decode_many([(data, comp, kind, fp, n)])[0])

@@ -46,13 +46,20 @@ def build(rows: pa.Array, kind: pa.StructType) -> pa.Array:
     columns.pop("array_units", None)
     plain = {n: c.to_pylist() for n, c in columns.items()}
 
-    def row(i: int) -> dict:
-        out: dict = {n: x[i] for n, x in plain.items()}
-        out |= {n: x[o[i] : o[i + 1]] for n, (o, x) in core.items()}
-        out["extra_arrays"] = {names[k]: {"values": values[ends[k] : ends[k + 1]]} for k in range(at[i], at[i + 1])}
-        return out
-
-    return _with_errors([_tried(document.build, row(i)) if ok else None for i, ok in enumerate(rows.is_valid().to_pylist())], kind)
+    valid = rows.is_valid().to_pylist()
+    items, counts = [], []
+    for i, plan in enumerate(plain["plan"]):
+        held = {names[k]: k for k in range(at[i], at[i + 1])} if valid[i] else {}
+        for e in plan if valid[i] else ():
+            key = e["key"]
+            o, x = (ends, values) if key in held else core[key]
+            k = held.get(key, i)
+            items.append((x[o[k] : o[k + 1]], e["comp"], e["type"], e["fp"]))
+        counts.append(len(items))
+    encoded = arrays.encode_many(items)
+    row = lambda i: {n: x[i] for n, x in plain.items()}
+    data = [encoded[a:b] for a, b in zip([0, *counts], counts, strict=False)]
+    return _with_errors([_tried(document.build, row(i), data[i]) if ok else None for i, ok in enumerate(valid)], kind)
 
 
 def parse(raw: pa.Array, kind: pa.StructType) -> pa.Array:
@@ -63,8 +70,9 @@ def parse(raw: pa.Array, kind: pa.StructType) -> pa.Array:
 def inflate(descriptors: pa.Array, lengths: pa.Array, kind: pa.StructType) -> pa.Array:
     """The values of one array for each row, as a flat buffer with offsets."""
     fields = dict(zip([f.name for f in descriptors.type], descriptors.flatten(), strict=True))
-    parts = zip(*(fields[n].to_pylist() for n in ("data", "comp", "type", "fp")), lengths.to_pylist(), strict=True)
-    made = [None if d is None else _tried(arrays.decode, d, comp, of, fp, n) for d, comp, of, fp, n in parts]
+    parts = list(zip(*(fields[n].to_pylist() for n in ("data", "comp", "type", "fp")), lengths.to_pylist(), strict=True))
+    found = iter(arrays.decode_many([p for p in parts if p[0] is not None]))
+    made = [None if p[0] is None else next(found) for p in parts]
     fine = [isinstance(x, np.ndarray) for x in made]
     sizes = [len(x) if ok else 0 for x, ok in zip(made, fine, strict=True)]
     flat = np.concatenate([x for x, ok in zip(made, fine, strict=True) if ok] or [np.zeros(0)])

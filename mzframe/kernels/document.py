@@ -64,8 +64,8 @@ def _kept(fields: dict) -> dict:
     return {k: v for k, v in fields.items() if v is not None and v != []}
 
 
-def build(row) -> bytes:  # noqa: ANN001
-    """row: a spectrum with `plan`, the entries of its encoding plan."""
+def build(row, encoded: list) -> bytes:  # noqa: ANN001
+    """row: a spectrum's metadata with `plan`, the entries of its encoding plan; encoded: the bytes of each, or why there are none."""
     scans = [_kept({0: _params(s["params"]), 1: [_params(w["params"]) for w in s["windows"] or ()], 2: _user(s["user_params"])}) for s in row["scans"] or ()]
     combined = row["scan_combination"]
     listed = None
@@ -76,12 +76,12 @@ def build(row) -> bytes:  # noqa: ANN001
             if not m:
                 raise DocumentError("a scan combination has no numeric tail")
             listed["c"] = int(m[1])
-    extra = row["extra_arrays"] or {}
     descriptors = []
-    for e in row["plan"]:
-        values = extra[e["key"]]["values"] if e["key"] in extra else row[e["key"]]
+    for e, data in zip(row["plan"], encoded, strict=True):
+        if isinstance(data, arrays.CodecError):
+            raise data
         d = {R.DESC_TYPE: e["type"], R.DESC_ARRAY: e["array"], R.DESC_COMP: e["comp"], R.DESC_FP: e["fp"], R.DESC_NAME: e["name"]}
-        d |= {R.DESC_DATA: arrays.encode(values, e["comp"], e["type"], e["fp"]), R.DESC_UNIT: e["unit"] and wire_unit(e["unit"])}
+        d |= {R.DESC_DATA: data, R.DESC_UNIT: e["unit"] and wire_unit(e["unit"])}
         descriptors.append({k: v for k, v in d.items() if v is not None})
     precursors = [_kept({0: _of_window(p["isolation_window"]), 1: [_params(i["params"]) for i in p["selected_ions"] or ()], 2: _of_window(p["activation"])}) for p in row["precursors"] or ()]
     products = [_kept({0: _of_window(p["isolation_window"])}) for p in row["products"] or ()]

@@ -292,6 +292,23 @@ def codec_registry(spark, d):
     return rows.join(R.codecs(spark), "name").groupBy("name", "compression", "lossy", "transform").agg(F.count("*").alias("n"))
 
 
+def array_registry(spark, d):
+    """Arrays by name and transform, with a unit for each."""
+    pick = lambda c, names: F.element_at(F.array(*map(F.lit, sorted(names))), (F.col(c) % len(names) + 1).cast("int"))
+    rows = _table(spark, d, "lineitem").select(pick("l_partkey", R.ARRAY_NAMES).alias("accession"), pick("l_suppkey", R.UNIT_NAMES).alias("u"))
+    units = R.units(spark).select(F.col("accession").alias("u"), F.col("name").alias("unit"))
+    return rows.join(R.arrays(spark), "accession").join(units, "u").groupBy("accession", "name", "transform", "unit").agg(F.count("*").alias("n"))
+
+
+def header_dump(spark, d):
+    empty = F.array().cast("array<double>")
+    spectra = _texts(spark, d, 300).withColumn("mz", empty)
+    encoded = tokens.encode(spectra, lossless=True).select("id", "token")
+    out = tokens.dump(_stored(encoded), "id")
+    fine = validation.interpretation_parses(F.get_json_object("header", "$.interp"))
+    return out.select(_key(), "document_bytes", "header", F.coalesce(fine, F.lit(False)).alias("parses"))
+
+
 def validate_keys(spark, d):
     """Faults of the keys of extra arrays and of units."""
     names = F.array(*map(F.lit, ("MS:1000514", "MS:1000786", "charge", "NCIT:C25330", "MS:1003008", "own")))
@@ -607,7 +624,7 @@ QUERIES = {f.__name__: f for f in (
     validate_spectra, accession_encode, unit_encode, to_fragment, to_query, to_data_uri, extract_token, b64url_text, b64url_back,
     token_checksum, inspect_arrays, breakdown_bytes, size_ratio, malformed_codes, tolerance_check, json_round_trip, token_files,
     mzml_scan, stream_decode, metadata_round_trip, find_params, long_tokens, codec_registry, validate_keys, malformed_documents, token_sql,
-    stream_error_counts,
+    stream_error_counts, array_registry, header_dump,
 )}
 
 _P = """WITH p AS (
@@ -722,6 +739,13 @@ FROM (SELECT key, {_TOKEN_LENGTH} AS n FROM ({_documents(9_000)}))""",
     "codec_registry": """SELECT c.name, c.compression, c.lossy, c.transform, count(*) AS n FROM lineitem JOIN (VALUES (0, 'zlib', 1000574, false, 'raw'), (1, 'zstd', 1003780, false, 'raw'), (2, 'byte-shuffled-zstd', 1003781, false, 'raw'),
   (3, 'numlin-zlib', 1002746, true, 'linear'), (4, 'numlin-zstd', 1003783, true, 'linear'), (5, 'numslof-zlib', 1002748, true, 'slof'), (6, 'numslof-zstd', 1003785, true, 'slof'), (7, 'numpic-zlib', 1002747, true, 'pic'), (8, 'numpic-zstd', 1003784, true, 'pic')) c(i, name, compression, lossy, transform)
 ON l_partkey % 9 = c.i GROUP BY ALL""",
+    "array_registry": f"""WITH a AS (SELECT unnest([{', '.join(f"'{a}'" for a in sorted(R.ARRAY_NAMES))}]) AS accession, unnest([{', '.join(f"'{R.ARRAY_NAMES[a]}'" for a in sorted(R.ARRAY_NAMES))}]) AS name, unnest(range({len(R.ARRAY_NAMES)})) AS i),
+u AS (SELECT unnest([{', '.join(f"'{R.UNIT_NAMES[a]}'" for a in sorted(R.UNIT_NAMES))}]) AS unit, unnest(range({len(R.UNIT_NAMES)})) AS k)
+SELECT accession, name, CASE WHEN name LIKE '%mobility%' OR name IN ('m/z', 'time', 'wavelength', 'mass', 'sampled noise m/z') OR name LIKE 'scanning%' THEN 'linear' WHEN name = 'charge' THEN 'pic'
+  WHEN name IN ('non-standard data', 'temperature', 'mean charge', 'measured element') THEN 'raw' ELSE 'slof' END AS transform, unit, count(*) AS n
+FROM lineitem JOIN a ON l_partkey % {len(R.ARRAY_NAMES)} = i JOIN u ON l_suppkey % {len(R.UNIT_NAMES)} = k GROUP BY ALL""",
+    "header_dump": f"""SELECT key, (bytes + 29)::INTEGER AS document_bytes, '{{"default_array_length":0,"id":"' || key::VARCHAR || '","params":[],"scans":[],"precursors":[],"products":[],"interp":"' || repeat('A', (key % 300)::INTEGER) ||
+  '","user_params":[],"descriptors":[{{"type":1000523,"array":1000514,"comp":1000574,"compressed_bytes":8}}]}}' AS header, true AS parses FROM ({_documents(300)})""",
     "validate_keys": """WITH o AS (SELECT o_orderkey AS key, CASE o_orderkey % 6 WHEN 0 THEN 'core array accession MS:1000514 has a field of its own' WHEN 1 THEN 'non-standard arrays are keyed by their name' WHEN 2 THEN 'array name charge is reserved'
   WHEN 3 THEN 'array accession NCIT:C25330 is not a seven-digit MS one' END AS a, CASE WHEN o_orderkey % 3 = 1 THEN 'a unit names no array' END AS b, CASE WHEN o_orderkey % 5 = 0 THEN 'a unit is no accession' END AS c FROM orders)
 SELECT key, (row_number() OVER (PARTITION BY key ORDER BY i) - 1)::INTEGER AS pos, error FROM (SELECT key, 0 AS i, a AS error FROM o UNION ALL SELECT key, 1, b FROM o UNION ALL SELECT key, 2, c FROM o) WHERE error IS NOT NULL""",

@@ -157,6 +157,15 @@ def breakdown(tokens: DataFrame, key: str, token: str = "token", magic: str = MA
     return rows.select(key, F.posexplode(F.concat(head, F.transform(ds, part))).alias("pos", "p")).select(key, "pos", "p.part", "p.bytes")
 
 
+def dump(tokens: DataFrame, key: str, token: str = "token", magic: str = MAGIC) -> DataFrame:
+    """key, document_bytes and header: the metadata as JSON, with the size of each array in place of its bytes. Bad tokens are left out."""
+    rows = read_header(tokens.select(key, token), token, magic).where("error is null")
+    h = F.col("header")
+    arrays = F.transform(h["descriptors"], lambda d: d.dropFields("data").withField("compressed_bytes", F.octet_length(d["data"])))
+    shown = F.to_json(h.withField("descriptors", arrays).dropFields("document_bytes"))
+    return rows.select(key, F.col("header.document_bytes").alias("document_bytes"), shown.alias("header"))
+
+
 def is_lossy(descriptors: Column) -> Column:
     return F.exists(descriptors, lambda d: d["comp"].isin(*R.LOSSY))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +58,29 @@ def errors(extra: bool = True) -> Column:
     return F.array_compact(F.array(*found))
 
 
+def interpretation_parses(interp: Column) -> Column:
+    """Whether a peptide notation can be parsed, by the optional library pyteomics; true where that is not
+    installed, and null for null. It warns of nothing and fails nothing: whoever minds filters by it."""
+
+    @F.arrow_udf("boolean")
+    def parses(texts: pa.Array) -> pa.Array:
+        try:
+            from pyteomics import proforma
+        except ImportError:
+            return pa.array([None if t is None else True for t in texts.to_pylist()], pa.bool_())
+
+        def fine(text: str) -> bool:
+            try:
+                proforma.parse(text)
+            except Exception:  # noqa: BLE001 - whatever the library raises means no
+                return False
+            return True
+
+        return pa.array([None if t is None else fine(t) for t in texts.to_pylist()], pa.bool_())
+
+    return parses(interp)
+
+
 def validate(spectra: DataFrame) -> DataFrame:
     """spectra with `errors`, an array of texts."""
     return spectra.withColumn("errors", errors())

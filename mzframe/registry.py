@@ -49,6 +49,52 @@ PIC_ARRAYS = (1003870,)
 OTHER_ARRAYS = (1002478, 1002716, 1000822)
 ARRAYS = (ARRAY_MZ, ARRAY_INTENSITY, ARRAY_CHARGE, ARRAY_NON_STANDARD, *LINEAR_ARRAYS, *SLOF_ARRAYS, *PIC_ARRAYS, *OTHER_ARRAYS)
 
+# Names of the arrays and of their usual units.
+ARRAY_NAMES = {
+    "MS:1000514": "m/z",
+    "MS:1000515": "intensity",
+    "MS:1000516": "charge",
+    "MS:1000517": "signal to noise",
+    "MS:1000595": "time",
+    "MS:1000617": "wavelength",
+    "MS:1000786": "non-standard data",
+    "MS:1000820": "flow rate",
+    "MS:1000821": "pressure",
+    "MS:1000822": "temperature",
+    "MS:1002477": "mean ion mobility drift time",
+    "MS:1002478": "mean charge",
+    "MS:1002529": "resolution",
+    "MS:1002530": "baseline",
+    "MS:1002716": "measured element",
+    "MS:1002742": "noise",
+    "MS:1002743": "sampled noise m/z",
+    "MS:1002744": "sampled noise intensity",
+    "MS:1002745": "sampled noise baseline",
+    "MS:1002816": "mean ion mobility",
+    "MS:1002893": "ion mobility",
+    "MS:1003006": "mean inverse reduced ion mobility",
+    "MS:1003007": "raw ion mobility",
+    "MS:1003008": "raw inverse reduced ion mobility",
+    "MS:1003143": "mass",
+    "MS:1003153": "raw ion mobility drift time",
+    "MS:1003154": "deconvoluted ion mobility",
+    "MS:1003155": "deconvoluted inverse reduced ion mobility",
+    "MS:1003156": "deconvoluted ion mobility drift time",
+    "MS:1003157": "scanning quadrupole position lower bound m/z",
+    "MS:1003158": "scanning quadrupole position upper bound m/z",
+    "MS:4000210": "vacuum pump pressure",
+}
+UNIT_NAMES = {
+    "MS:1000040": "m/z",
+    "MS:1000131": "number of detector counts",
+    "MS:1000132": "percent of base peak",
+    "MS:1000814": "counts per second",
+    "MS:1002814": "volt-second per square centimeter",
+    "UO:0000010": "second",
+    "UO:0000028": "millisecond",
+    "UO:0000031": "minute",
+}
+
 # Names of accessions.
 LABELS = {
     "MS:1000514": "m/z array",
@@ -103,6 +149,17 @@ def labels(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(LABELS.items()), "accession string, label string")
 
 
+def arrays(spark: SparkSession) -> DataFrame:
+    """(accession, name, transform): the arrays with a name, and the transform of their lossy form; a table of a fixed size."""
+    suits = {**dict.fromkeys((ARRAY_MZ, *LINEAR_ARRAYS), "linear"), **dict.fromkeys((ARRAY_INTENSITY, *SLOF_ARRAYS), "slof"), **dict.fromkeys((ARRAY_CHARGE, *PIC_ARRAYS), "pic")}
+    return spark.createDataFrame([(a, n, suits.get(int(a[3:]), "raw")) for a, n in ARRAY_NAMES.items()], "accession string, name string, transform string")
+
+
+def units(spark: SparkSession) -> DataFrame:
+    """(accession, name): a table of a fixed size."""
+    return spark.createDataFrame(sorted(UNIT_NAMES.items()), "accession string, name string")
+
+
 def codecs(spark: SparkSession) -> DataFrame:
     """(name, compression, lossy, transform): a table of a fixed size."""
     kind = {**dict.fromkeys(LINEAR, "linear"), **dict.fromkeys(SLOF, "slof"), **dict.fromkeys(PIC, "pic")}

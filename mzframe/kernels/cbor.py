@@ -63,68 +63,70 @@ def dumps(x: object) -> bytes:
     raise CborError(f"no CBOR form for {type(x).__name__}")
 
 
-class _Reader:
-    def __init__(self, raw: bytes):
-        self.raw, self.at, self.items = raw, 0, 0
+def loads(raw: bytes) -> object:
+    """One item that fills the bytes; bounded in size, items and depth."""
+    size, at, items = len(raw), 0, 0
+    if size > R.MAX_PAYLOAD_BYTES:
+        raise CborError("payload is too large")
 
-    def take(self, n: int) -> bytes:
-        if self.at + n > len(self.raw):
+    def take(n: int) -> bytes:
+        nonlocal at
+        if at + n > size:
             raise CborError("truncated document")
-        self.at += n
-        return self.raw[self.at - n : self.at]
-
-    def item(self, depth: int = 0) -> object:
-        self.items += 1
-        if self.items > R.MAX_ITEMS:
+        at += n
+        return raw[at - n : at]
+
+    def pairs(n: int, depth: int) -> dict:
+        out: dict = {}
+        for _ in range(n):
+            key = item(depth)
+            if not isinstance(key, (int, str)) or isinstance(key, bool):
+                raise CborError("a map key is neither integer nor text")
+            if key in out:
+                raise CborError("duplicate map key")
+            out[key] = item(depth)
+        return out
+
+    def item(depth: int) -> object:
+        nonlocal at, items
+        items += 1
+        if items > R.MAX_ITEMS:
             raise CborError("too many items")
         if depth > R.MAX_DEPTH:
             raise CborError("nested too deeply")
-        first = self.take(1)[0]
+        if at >= size:
+            raise CborError("truncated document")
+        first = raw[at]
+        at += 1
         major, code = first >> 5, first & 31
         if code > 27:
             raise CborError("indefinite or reserved length")
-        n = code if code < 24 else int.from_bytes(self.take(1 << code - 24), "big")
-        if major == 0:
-            return n
-        if major == 1:
-            return -1 - n
-        if major == 2:
-            return self.take(n)
-        if major == 3:
-            try:
-                return self.take(n).decode()
-            except UnicodeDecodeError as e:
-                raise CborError("text is not UTF-8") from e
-        if major == 4:
-            return [self.item(depth + 1) for _ in range(n)]
-        if major == 5:
-            out: dict = {}
-            for _ in range(n):
-                key = self.item(depth + 1)
-                if not isinstance(key, (int, str)) or isinstance(key, bool):
-                    raise CborError("a map key is neither integer nor text")
-                if key in out:
-                    raise CborError("duplicate map key")
-                out[key] = self.item(depth + 1)
-            return out
-        if major == 6:
-            raise CborError("tags are not supported")
-        if code == 25:
-            return struct.unpack(">e", n.to_bytes(2, "big"))[0]
-        if code == 26:
-            return struct.unpack(">f", n.to_bytes(4, "big"))[0]
-        if code == 27:
-            return struct.unpack(">d", n.to_bytes(8, "big"))[0]
+        n = code if code < 24 else int.from_bytes(take(1 << code - 24), "big")
+        match major:
+            case 0:
+                return n
+            case 1:
+                return -1 - n
+            case 2:
+                return take(n)
+            case 3:
+                try:
+                    return take(n).decode()
+                except UnicodeDecodeError as e:
+                    raise CborError("text is not UTF-8") from e
+            case 4:
+                return [item(depth + 1) for _ in range(n)]
+            case 5:
+                return pairs(n, depth + 1)
+            case 6:
+                raise CborError("tags are not supported")
+        if code in (25, 26, 27):
+            return struct.unpack({25: ">e", 26: ">f", 27: ">d"}[code], n.to_bytes(1 << code - 24, "big"))[0]
         if n in (20, 21, 22, 23):
             return {20: False, 21: True}.get(n)
         raise CborError("unknown simple value")
 
-
-def loads(raw: bytes) -> object:
-    if len(raw) > R.MAX_PAYLOAD_BYTES:
-        raise CborError("payload is too large")
-    reader = _Reader(raw)
-    out = reader.item()
-    if reader.at != len(raw):
+    out = item(0)
+    if at != size:
         raise CborError("trailing bytes after the document")
     return out

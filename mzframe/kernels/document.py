@@ -147,29 +147,49 @@ def _window(x: dict, key: int) -> dict | None:
     return {"params": _param_rows(x[key])} if key in x else None
 
 
+TYPES, COMPRESSIONS, FIXED = frozenset(R.DTYPES.values()), frozenset(R.CODECS.values()), frozenset((*R.LINEAR, *R.SLOF))
+
+
+def _descriptor_fault(d: object) -> str | None:
+    """What is wrong with an array descriptor by itself."""
+    if not isinstance(d, dict):
+        return "an array descriptor is no map"
+    kind, array, comp, fp, name, unit = (d.get(k) for k in (R.DESC_TYPE, R.DESC_ARRAY, R.DESC_COMP, R.DESC_FP, R.DESC_NAME, R.DESC_UNIT))
+    for x, label in ((kind, "type"), (array, "array"), (comp, "compression")):
+        if not _whole(x):
+            return f"an array descriptor has no {label}"
+    if kind not in TYPES:
+        return "unknown data type"
+    if comp not in COMPRESSIONS:
+        return f"unknown codec {comp}"
+    if kind != R.FLOAT64 and comp in R.LOSSY:
+        return "a lossy codec needs doubles"
+    if comp in FIXED:
+        if R.DESC_FP not in d:
+            return "linear and slof codecs require fp"
+        if not _whole(fp) or not 0 < fp <= R.MAX_SAFE_INTEGER:
+            return "fp is no positive whole number"
+    elif R.DESC_FP in d:
+        return "a codec without fixed point has fp"
+    if not isinstance(d.get(R.DESC_DATA), bytes):
+        return "an array descriptor has no data"
+    if (array == R.ARRAY_NON_STANDARD) != (name is not None):
+        return "non-standard arrays, and they only, have a name"
+    if name is not None and not (isinstance(name, str) and name and name not in R.CORE.values() and not ACCESSION.fullmatch(name)):
+        return "invalid array name"
+    if R.DESC_UNIT in d and not (_whole(unit) and unit >= 0 or isinstance(unit, (str, list))):
+        return "invalid array unit"
+    return None
+
+
 def _descriptor(d: object, seen: set) -> dict:
-    _check(isinstance(d, dict), "an array descriptor is no map")
-    for key, label in ((R.DESC_TYPE, "type"), (R.DESC_ARRAY, "array"), (R.DESC_COMP, "compression")):
-        _check(_whole(d.get(key)), f"an array descriptor has no {label}")
-    kind, array, comp, fp = (d.get(k) for k in (R.DESC_TYPE, R.DESC_ARRAY, R.DESC_COMP, R.DESC_FP))
-    _check(kind in R.DTYPES.values(), "unknown data type")
-    _check(comp in R.CODECS.values(), f"unknown codec {comp}")
-    fixed = comp in R.LINEAR or comp in R.SLOF
-    _check(kind == R.FLOAT64 or comp not in R.LOSSY, "a lossy codec needs doubles")
-    _check(not fixed or R.DESC_FP in d, "linear and slof codecs require fp")
-    _check(R.DESC_FP not in d or fixed, "a codec without fixed point has fp")
-    _check(not fixed or _whole(fp) and 0 < fp <= R.MAX_SAFE_INTEGER, "fp is no positive whole number")
-    _check(isinstance(d.get(R.DESC_DATA), bytes), "an array descriptor has no data")
-    name = d.get(R.DESC_NAME)
-    _check((array == R.ARRAY_NON_STANDARD) == (name is not None), "non-standard arrays, and they only, have a name")
-    _check(name is None or isinstance(name, str) and name and name not in R.CORE.values() and not ACCESSION.fullmatch(name), "invalid array name")
-    unit = d.get(R.DESC_UNIT)
-    if R.DESC_UNIT in d:
-        _check(not isinstance(unit, bool) and (_whole(unit) and unit >= 0 or isinstance(unit, (str, list))), "invalid array unit")
-        unit = _accession(unit_text(unit))
+    if fault := _descriptor_fault(d):
+        raise DocumentError(fault)
+    kind, array, comp, fp, name, data = (d.get(k) for k in (R.DESC_TYPE, R.DESC_ARRAY, R.DESC_COMP, R.DESC_FP, R.DESC_NAME, R.DESC_DATA))
+    unit = _accession(unit_text(d[R.DESC_UNIT])) if R.DESC_UNIT in d else None
     _check((array, name) not in seen, "duplicate array")
     seen.add((array, name))
-    return {"type": kind, "array": array, "comp": comp, "fp": fp, "name": name, "data": d[R.DESC_DATA], "unit": unit}
+    return {"type": kind, "array": array, "comp": comp, "fp": fp, "name": name, "data": data, "unit": unit}
 
 
 SHAPES = {1: str, 2: dict, 3: dict, 4: list, 5: list, 6: list, 7: str, 8: list}

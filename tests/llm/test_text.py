@@ -308,7 +308,7 @@ def plain_near_duplicates(rows, counts):
     for k, (i, t) in enumerate(rows):
         words = (t or "").lower().split()
         grams = Counter(" ".join(words[a : a + 5]) for a in range(max(1, len(words) - 4))) if words else Counter()
-        bag = {g: n * weight[int(hashed.shingles(g.split())[0][0]) % len(counts)] for g, n in grams.items()}
+        bag = {g: n * weight[int(hashed.shingles(g.split())[0][0]) * len(counts) >> 64] for g, n in grams.items()}
         near = Counter()
         for g, w in bag.items():
             for j, v in holders.get(g, ()):

@@ -103,6 +103,7 @@ def bytes_per_peak(token_bytes: Column, n: Column) -> Column:
 
 def format_bytes(n: Column) -> Column:
     """Bytes below 1,024, else kilobytes of 1,024 with one digit, or megabytes with two; halves are rounded up."""
+    n = n.cast("bigint")  # 100 times an int may be no int
 
     def shown(unit: int, digits: int, name: str) -> Column:
         steps = F.floor(n * 10**digits / F.lit(unit) + 0.5).cast("bigint")

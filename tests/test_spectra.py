@@ -244,3 +244,17 @@ def test_a_bad_array_leaves_the_others(spark):
         assert tokens.decode(df).select("mz").first()["mz"] == [1.0, 2.0]
         with pytest.raises(Exception, match="compressed data ends early|values instead"):
             tokens.decode(df).select(name).collect()
+
+
+def test_sizes_beyond_an_int(spark):
+    from mzframe.operators import analytics
+
+    rows = spark.createDataFrame([(30_000_000,), (2_000_000_000,), (None,)], "n int")
+    assert [r[0] for r in rows.select(analytics.format_bytes(F.col("n"))).collect()] == ["28.61 MB", "1907.35 MB", None]
+
+
+def test_size_texts_of_long_pages(spark, tmp_path):
+    from mzframe import catalog
+
+    spark.range(1, 2).select(F.col("id").alias("page_id"), F.repeat(F.lit("a"), 8_000_000).alias("html")).write.parquet(f"{tmp_path}/pages.parquet")
+    assert catalog.size_texts(spark, str(tmp_path)).first()["size"] == "2288.82 MB"

@@ -258,3 +258,43 @@ def test_size_texts_of_long_pages(spark, tmp_path):
 
     spark.range(1, 2).select(F.col("id").alias("page_id"), F.repeat(F.lit("a"), 8_000_000).alias("html")).write.parquet(f"{tmp_path}/pages.parquet")
     assert catalog.size_texts(spark, str(tmp_path)).first()["size"] == "2288.82 MB"
+
+
+def test_token_faults_are_those_of_the_expressions(spark):
+    from mzframe.kernels import batches, document
+
+    good = tokens.encode(spectra(spark, ("a", [1.0, 2.0], [3.0, 4.0], None))).first()["token"]
+    crc = lambda body: f"{body}.{__import__('zlib').crc32(body.encode()):08x}"
+    body = good.rpartition(".")[0]
+    cases = ["", "x", good, good + "é", "x" + good, body, good + ".", good.upper(), body + ".0000000G", body + ".00000000", *map(crc, (body + "=", body + "==", body + "===", body + "=A", body + "A", body + "AA", body + "+", body + " ", f"{U.MAGIC}.", f"{U.MAGIC}.A", f"{U.MAGIC}.=="))]
+    df = spark.createDataFrame([(c,) for c in [*cases, None]], "t string")
+    want = [r[0] for r in df.select(T.token_error(F.col("t"))).collect()]
+
+    def fault(token):
+        try:
+            batches.payload(token, U.MAGIC.encode())
+        except document.DocumentError as e:
+            return str(e)
+
+    assert [fault(c if c is None else c.encode()) for c in [*cases, None]] == want and len(set(want)) == 8
+    made = spark.createDataFrame([(bytearray(b"\0\xff?>" * 99),)], "d binary").select(T.to_token(F.col("d"))).first()[0]
+    assert batches._token(b"\0\xff?>" * 99, U.MAGIC) == made.encode() and batches.payload(made.encode(), U.MAGIC.encode()) == b"\0\xff?>" * 99
+
+
+def test_long_texts_become_tokens_without_text_functions_of_spark(spark):
+    """translate() over 12,000 characters, several times a row, had taken most of the time."""
+    plan = tokens.encode(spectra(spark, ("a", [], [], None)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" not in plan and "crc32(" not in plan
+
+
+def test_rows_of_a_small_file_are_dealt_before_they_grow(spark):
+    from mzframe import catalog
+
+    for rows in (catalog._texts(spark, "/root/testdata/sf0.001", 10), catalog.meta_spectra(spark, "/root/testdata/sf0.001")):
+        assert rows.rdd.getNumPartitions() > 4
+
+
+def test_batches_larger_than_a_slice(spark):
+    df = spark.range(2_345).select(F.col("id").cast("string").alias("id"), F.array(F.col("id") + 0.5).alias("mz"), F.array(F.lit(2.0)).alias("intensity")).coalesce(1)
+    back = tokens.decode(tokens.encode(df, lossless=True).select("token")).select("id", "mz", "error").collect()
+    assert [(r["id"], r["mz"], r["error"]) for r in back] == [(str(i), [i + 0.5], None) for i in range(2_345)]

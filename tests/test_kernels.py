@@ -92,3 +92,19 @@ def test_no_other_error_escapes_from_random_bytes(raw):
         document.parse(raw)
     except (document.DocumentError, cbor.CborError):
         pass
+
+
+def test_descriptors_seen_before_are_read_as_any_other():
+    part = {0: R.FLOAT64, 1: R.ARRAY_MZ, 2: R.ZLIB, 5: b"x" * 300}
+    others = [{**part, 1: R.ARRAY_INTENSITY, 2: R.SLOF_ZLIB, 3: 3600}, {**part, 1: R.ARRAY_NON_STANDARD, 4: "tax"}, {**part, 1: R.ARRAY_CHARGE, 6: 10}, {**part, 1: R.ARRAY_NON_STANDARD, 4: "n" * 40, 5: b""}]
+    for _ in range(2):
+        raw = cbor.dumps({0: 0, 6: [part, *others]})
+        assert cbor.loads(raw, document._known) == cbor.loads(raw)
+        rows = document.parse(raw)["descriptors"]
+        assert rows == [document._descriptor(d, set()) for d in cbor.loads(raw)[6]] and type(cbor.loads(raw, document._known)[6][1]) is document.Known
+        for bad, fault in (({0: 0, 6: [part, part]}, "duplicate array"), ({0: 0, 6: [{**part, 2: 7}]}, "unknown codec 7")):
+            with pytest.raises(document.DocumentError, match=fault):
+                document.parse(cbor.dumps(bad))
+        for cut in range(len(raw)):
+            with pytest.raises(cbor.CborError, match="truncated"):
+                cbor.loads(raw[:cut], document._known)

@@ -298,3 +298,9 @@ def test_batches_larger_than_a_slice(spark):
     df = spark.range(2_345).select(F.col("id").cast("string").alias("id"), F.array(F.col("id") + 0.5).alias("mz"), F.array(F.lit(2.0)).alias("intensity")).coalesce(1)
     back = tokens.decode(tokens.encode(df, lossless=True).select("token")).select("id", "mz", "error").collect()
     assert [(r["id"], r["mz"], r["error"]) for r in back] == [(str(i), [i + 0.5], None) for i in range(2_345)]
+
+
+def test_a_plan_looks_at_each_array_once(spark):
+    """What a lambda uses twice is worked out twice: the key's pattern had been matched dozens of times for each array."""
+    plan = spectra(spark, ("a", [1.0], [1.0], None)).select(encoding_plan())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 1 and plan.count("array_max(") <= 4

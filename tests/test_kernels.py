@@ -108,3 +108,34 @@ def test_descriptors_seen_before_are_read_as_any_other():
         for cut in range(len(raw)):
             with pytest.raises(cbor.CborError, match="truncated"):
                 cbor.loads(raw[:cut], document._known)
+
+
+def test_bare_documents_are_read_as_any_other():
+    part = {0: R.FLOAT64, 1: R.ARRAY_MZ, 2: R.ZLIB, 5: b"x" * 300}
+    others = [{**part, 1: R.ARRAY_INTENSITY, 2: R.SLOF_ZLIB, 3: 3600}, {**part, 1: R.ARRAY_NON_STANDARD, 4: "tax", 5: b""}, {**part, 1: R.ARRAY_CHARGE, 6: 10, 5: b"y" * 24}]
+    for name in ("", "7", "é" * 11, "i" * 24, "i" * 300):
+        for more in ({}, {7: "PEP"}, {7: "A" * 500}):
+            for n, held in ((2, [part, *others[:2]]), (70_000, [part, others[2]]), (0, [])):
+                raw = cbor.dumps({0: n, 1: name, 6: held, **more})
+                assert document.parse(raw) == document._parsed(cbor.loads(raw), len(raw))
+                assert (document._bare(raw) is None) == (others[2] in held)  # a unit stands behind the bytes
+    raw = cbor.dumps({0: 2, 1: "a", 6: [part], 7: "PEP"})
+    for bad in (raw + b"\0", *(raw[:k] for k in range(len(raw))), cbor.dumps({0: 2, 1: "a", 6: [part, part]}), cbor.dumps({0: R.MAX_PEAKS + 1, 1: "a", 6: []}), raw.replace(b"PEP", b"P\xffP")):
+        assert document._bare(bad) is None
+        with pytest.raises((document.DocumentError, cbor.CborError)):
+            document.parse(bad)
+
+
+def test_arrays_of_one_buffer_are_encoded_as_alone():
+    rng = np.random.default_rng(3)
+    x = rng.uniform(1, 500, 400)
+    comps = np.array([*sorted(R.CODECS.values())] * 4)
+    starts, sizes = rng.integers(0, 300, len(comps)), rng.integers(0, 90, len(comps))
+    fps = np.where(np.isin(comps, [*R.LINEAR, *R.SLOF]), 1000, 0)
+    kinds = np.where(np.isin(comps, [*R.LOSSY]) | (np.arange(len(comps)) % 2 == 0), R.FLOAT64, R.INT32)
+    made = arrays.encode_flat(x, starts, sizes, comps, kinds, fps)
+    parts = [x[a : a + n] for a, n in zip(starts, sizes, strict=True)]
+    assert made == [arrays.encode(p, c, k, f or None) for p, c, k, f in zip(parts, comps.tolist(), kinds.tolist(), fps.tolist(), strict=True)]
+    back = arrays.decode_many([(m, c, k, f or None, len(p)) for m, c, k, f, p in zip(made, comps.tolist(), kinds.tolist(), fps.tolist(), parts, strict=True)])
+    plain = [(p.astype("int32") if k == R.INT32 else p, b) for p, b, c, k in zip(parts, back, comps, kinds, strict=True) if c not in R.LOSSY]
+    assert plain and all(np.array_equal(p, b) for p, b in plain)

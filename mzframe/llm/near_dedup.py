@@ -10,7 +10,8 @@ propose is verified by the exact weighted Jaccard similarity of the whole texts.
 Texts with the same words are one class from the start. In a bucket every class is first verified
 against the smallest one; classes that this leaves in different components are then compared in
 blocks. There every pair is verified unless its members are connected, an earlier band brings them
-together too, or the sums of their weights are so unequal that they cannot reach the threshold. So
+together too, or the sums of their weights are so unequal that they cannot reach the threshold;
+classes of which this holds for all others of a bucket leave it before texts are fetched. So
 copies are not expanded to pairs, a block's output is at most one link per member, and no link
 between components that a band proposes is lost; what is lost is only what no band proposes.
 
@@ -24,6 +25,7 @@ out of the way. A very long text is one more row; its shingles are drawn from in
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import cache
 
@@ -275,6 +277,23 @@ def same_id_links(signed: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
 
 
+def _size(total: Column, threshold: float) -> Column:
+    """A step of the sums of weights: sums that could reach the threshold are in one step or in neighbouring ones."""
+    step = -math.log(max(threshold, 1e-9) * (1 - 1e-6))
+    return F.coalesce(F.floor(F.log(total) / step), F.lit(-(1 << 40)))
+
+
+def with_partners(rows: DataFrame, what: str) -> DataFrame:
+    """Rows beside which their bucket has another value of `what` among classes whose sum of weights could reach the threshold.
+
+    The similarity of two texts is at most the smaller sum of weights over the larger, so the rest has no link here."""
+    place = ["band", "bucket", "size"]
+    near = rows.groupBy(place).agg(F.min(what).alias("least"), F.max(what).alias("most"))
+    near = near.withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
+    near = near.groupBy(place).agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least <> most").select(*place)
+    return rows.join(near, place, "left_semi")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text", bands: int = 8, rows: int = 3, star_block: int = 256, block: int = 512) -> DataFrame:
     """doc_id, component_id (the smallest id of its group), n_copies (rows with the same words), kept.
 
@@ -295,21 +314,24 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_
                 if key not in recent:  # copies are drawn from once
                     if len(recent) >= RECENT:
                         recent.clear()
-                    recent[key] = sample(*weigh.of(words), samples)
-                made.append((np.frombuffer(key, "<i8"), recent[key]))
+                    shape = weigh.of(words)
+                    recent[key] = sample(*shape, samples), float(shape[1].sum())
+                made.append((np.frombuffer(key, "<i8"), *recent[key]))
             k = np.array([m[0] for m in made], "int64").reshape(-1, 2)
-            buckets = [_mix((d.reshape(bands, rows) * _MULTIPLIERS[:rows]).sum(1, dtype="uint64")).view("int64") for _, d in made]
-            columns = [batch["doc_id"], batch["mark"], pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(buckets, pa.list_(pa.int64())), pa.array([d.astype("<u8").tobytes() for _, d in made], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "k1", "k2", "buckets", "draws"])
-
-    signed = materialize(base.mapInArrow(sign, "doc_id long, mark long, k1 long, k2 long, buckets array<long>, draws binary"), "draws")
-    classes = signed.groupBy("k1", "k2").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))).alias("first"), F.count("*").alias("n_copies"), F.min("buckets").alias("buckets"), F.min("draws").alias("draws"))
-    classes = materialize(classes.select("k1", "k2", F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("mark"), "n_copies", "buckets", "draws"), "classes")
-    placed = classes.where("rep is not null").select("rep", "mark", "draws", F.posexplode("buckets").alias("band", "bucket"))
+            buckets = [_mix((d.reshape(bands, rows) * _MULTIPLIERS[:rows]).sum(1, dtype="uint64")).view("int64") for _, d, _ in made]
+            columns = [batch["doc_id"], batch["mark"], pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(buckets, pa.list_(pa.int64())), pa.array([d.astype("<u8").tobytes() for _, d, _ in made], pa.binary()), pa.array([t for _, _, t in made], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "k1", "k2", "buckets", "draws", "total"])
+
+    signed = materialize(base.mapInArrow(sign, "doc_id long, mark long, k1 long, k2 long, buckets array<long>, draws binary, total double"), "draws")
+    classes = signed.groupBy("k1", "k2").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))).alias("first"), F.count("*").alias("n_copies"), F.min("buckets").alias("buckets"), F.min("draws").alias("draws"), F.min("total").alias("total"))
+    classes = materialize(classes.select("k1", "k2", F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("mark"), "n_copies", "buckets", "draws", "total"), "classes")
+    # draws do not compress, so they stay behind until a block's classes are compared
+    placed = classes.where("rep is not null").select("rep", "mark", "total", _size(F.col("total"), threshold).alias("size"), F.posexplode("buckets").alias("band", "bucket"))
     place = ["band", "bucket"]
-    hubs = placed.groupBy(place).agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    hubs = placed.groupBy(place).agg(F.min("rep").alias("hub"), F.min_by("total", "rep").alias("hub_total"), F.count("*").alias("n")).where("n > 1")
     hubs = materialize(hubs, "buckets")
-    shared = materialize(placed.join(hubs, place), "shared")
+    shared = materialize(placed.join(hubs, place), "met")
+    shared = materialize(with_partners(shared, "rep"), "shared")
 
     # merge joins at every size: the ids grow with the documents, and a plan that broadcasts the few of
     # a small table would not be that of a large one
@@ -317,7 +339,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_
     texts = base.where("doc_id is not null").join(met, ["doc_id", "mark"], "left_semi").groupBy("doc_id", "mark").agg(F.min("text").alias("text"))
     texts = materialize(texts.withColumnRenamed("doc_id", "rep"), "texts")
 
-    pairs = shared.where("rep <> hub").groupBy("hub", "rep").agg(F.max("n").alias("n"))
+    fits = F.least("total", "hub_total") >= F.greatest("total", "hub_total") * (threshold * (1 - 1e-9))
+    pairs = shared.where("rep <> hub").where(fits).groupBy("hub", "rep").agg(F.max("n").alias("n"))
     salted = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / star_block)).cast("int").alias("salt")
     pairs = materialize(pairs.select("hub", "rep", salted), "pairs")
     wanted = pairs.select("hub", "salt", "rep", F.lit(1).alias("guest")).union(pairs.select("hub", "salt").distinct().select("hub", "salt", F.col("hub").alias("rep"), F.lit(0).alias("guest")))
@@ -342,12 +365,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_
     first = materialize(connected_components(links), "components").withColumnRenamed("node", "rep")
     left = shared.join(first, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
     left = materialize(left, "left")
-    split = materialize(left.groupBy(place).agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select(*place), "split")
-    left = left.join(split, place)
+    left = with_partners(left, "comp")
     own = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / block)).cast("int")
     left = left.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1)))
     low, high = F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
-    left = left.select(*place, low, high, "own", "rep", "mark", "comp", "draws").join(texts.hint("merge"), ["rep", "mark"])
+    left = left.select(*place, low, high, "own", "rep", "mark", "comp").join(texts.hint("merge"), ["rep", "mark"])
+    left = left.join(classes.select("rep", "mark", "draws").hint("merge"), ["rep", "mark"])
     keys = [*place, "low", "high"]
     dealt = left.repartition(*keys).sortWithinPartitions(*keys)
 

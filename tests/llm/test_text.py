@@ -351,3 +351,15 @@ def test_near_duplicates_of_odd_tables(spark):
     got = near_dedup.near_duplicates(df).collect()
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in got) == [(-1, -1, True), (5, 5, True), (5, 5, True)]
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_rows_without_partners_of_like_size_leave_their_bucket(spark):
+    rows = [(0, 1, 1, 100.0), (0, 1, 2, 81.0), (0, 1, 3, 300.0), (0, 1, 4, 30.0), (0, 1, 5, 30.0), (0, 2, 6, 0.0), (0, 2, 7, 9.0), (0, 3, 8, 5.0)]
+    df = spark.createDataFrame(rows, "band int, bucket long, rep long, total double").withColumn("size", near_dedup._size(near_dedup.F.col("total"), 0.8))
+    assert sorted(r["rep"] for r in near_dedup.with_partners(df, "rep").collect()) == [1, 2, 4, 5]
+    joined = df.withColumn("comp", near_dedup.F.when(df.rep.isin(4, 5), 4).otherwise(df.rep))
+    assert sorted(r["rep"] for r in near_dedup.with_partners(joined, "comp").collect()) == [1, 2]
+    totals = [round(1.05**k, 6) for k in range(-20, 90)]
+    df = spark.createDataFrame([(t,) for t in totals], "total double")
+    sizes = [r[0] for r in df.select(near_dedup._size(df.total, 0.8)).collect()]
+    assert all(abs(a - b) <= 1 for t, a in zip(totals, sizes, strict=True) for u, b in zip(totals, sizes, strict=True) if min(t, u) >= 0.8 * max(t, u))

@@ -139,3 +139,21 @@ def test_arrays_of_one_buffer_are_encoded_as_alone():
     back = arrays.decode_many([(m, c, k, f or None, len(p)) for m, c, k, f, p in zip(made, comps.tolist(), kinds.tolist(), fps.tolist(), parts, strict=True)])
     plain = [(p.astype("int32") if k == R.INT32 else p, b) for p, b, c, k in zip(parts, back, comps, kinds, strict=True) if c not in R.LOSSY]
     assert plain and all(np.array_equal(p, b) for p, b in plain)
+
+
+def test_faults_that_are_kept_hold_no_decompressor():
+    """A traceback would keep the window and the document of each fault until its batch ends."""
+    import tracemalloc
+
+    from mzframe.kernels import batches
+
+    cut = (arrays.encode([1.0, 2.0], R.LINEAR_ZLIB, R.FLOAT64, 100)[:-3], R.LINEAR_ZLIB, R.FLOAT64, 100, 2)
+    arrays.decode_many([cut])
+    tracemalloc.start()
+    try:
+        faults = arrays.decode_many([cut] * 500)
+        held, _ = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert {str(f) for f in faults} == {"compressed data ends early"} and held < 1_000_000
+    assert batches._tried(document.parse, b"\xff").__traceback__ is None

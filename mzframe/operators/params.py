@@ -19,14 +19,29 @@ def number_of(v: Column) -> Column:
     return F.when(v["kind"] == "int", v["i"].cast("double")).when(v["kind"] == "float", v["d"])
 
 
-def typed_value(text: Column) -> Column:
-    """Text as a tagged value: whole numbers are int, other finite ones float, the rest text; empty is null (a flag)."""
+def number_in(text: Column) -> Column:
+    """The double that a text writes, or null."""
     bare = F.trim(text)
-    number = F.when(bare.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"), bare.try_cast("double"))
+    return F.when(bare.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"), bare.try_cast("double"))
+
+
+def kind_of(text: Column, number: Column) -> Column:
+    """The kind of a text's tagged value; number: what number_in gives for it."""
     finite = number.isNotNull() & (F.abs(number) < float("inf"))
     whole = finite & (number == F.floor(number)) & (F.abs(number) < 9.2e18)
-    kind = F.when(F.coalesce(text, F.lit("")) == "", "null").when(whole, "int").when(finite, "float").otherwise("str")
-    return F.struct(kind.alias("kind"), F.when(kind == "int", F.coalesce(bare.try_cast("bigint"), number.try_cast("bigint"))).alias("i"), F.when(kind == "float", number).alias("d"), F.when(kind == "str", text).alias("s")).cast(S.VALUE)
+    return F.when(F.coalesce(text, F.lit("")) == "", "null").when(whole, "int").when(finite, "float").otherwise("str")
+
+
+def tagged(text: Column, number: Column, kind: Column) -> Column:
+    return F.struct(kind.alias("kind"), F.when(kind == "int", F.coalesce(F.trim(text).try_cast("bigint"), number.try_cast("bigint"))).alias("i"), F.when(kind == "float", number).alias("d"), F.when(kind == "str", text).alias("s")).cast(S.VALUE)
+
+
+def typed_value(text: Column) -> Column:
+    """Text as a tagged value: whole numbers are int, other finite ones float, the rest text; empty is null (a flag).
+
+    In a lambda, where Spark shares no common parts, go by its three steps, with a list of structs between."""
+    number = number_in(text)
+    return tagged(text, number, kind_of(text, number))
 
 
 def expand_refs(owners: DataFrame, groups: DataFrame, strict: bool = False) -> DataFrame:

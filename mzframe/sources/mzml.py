@@ -1,4 +1,4 @@
-"""mzML files through Spark's XML reader: a row for each spectrum element, wherever the file is split.
+"""mzML files through Spark's XML reader: a row for each spectrum element. One task reads a file.
 
 A file is read once for its spectra and once for its parameter groups. The groups of a file come to
 its spectra as one map, in one join by file, and are resolved at every level (spectrum, scan, window,
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from mzframe import registry as R
 from mzframe import schema as S
-from mzframe.operators.params import typed_value
+from mzframe.operators.params import kind_of, number_in, tagged
 from mzframe.operators.peaks import complete
 
 _CV = "array<struct<_accession: string, _value: string, _unitAccession: string>>"
@@ -43,7 +43,11 @@ MOST_SHARED_GROUPS = 10_000
 
 
 def _params(cv: Column) -> Column:
-    return F.coalesce(F.transform(cv, lambda p: F.struct(p["_accession"].alias("accession"), typed_value(p["_value"]).alias("value"), F.nullif(p["_unitAccession"], F.lit("")).alias("unit_accession"))), F.array()).cast(f"array<{S.CV}>")
+    # number, kind and value one after the other: a lambda works out each mention of a part anew
+    rows = F.transform(cv, lambda p: F.struct(p["_accession"].alias("accession"), p["_value"].alias("text"), p["_unitAccession"].alias("unit"), number_in(p["_value"]).alias("number")))
+    rows = F.transform(rows, lambda p: F.struct(p.alias("p"), kind_of(p["text"], p["number"]).alias("kind")))
+    rows = F.transform(rows, lambda k: F.struct(k["p"]["accession"].alias("accession"), tagged(k["p"]["text"], k["p"]["number"], k["kind"]).alias("value"), F.nullif(k["p"]["unit"], F.lit("")).alias("unit_accession")))
+    return F.coalesce(rows, F.array()).cast(f"array<{S.CV}>")
 
 
 def _users(u: Column) -> Column:
@@ -135,14 +139,17 @@ def read_mzml(spark: SparkSession, path: str | list[str], strict: bool = False,
     every = F.coalesce(F.col("binaryDataArrayList.binaryDataArray"), F.array().cast(BINARY))
     raw = raw.withColumn("held", F.transform(every, lambda a: F.struct(a["binary"].alias("binary"), refs.params(a).alias("params"))))
 
-    def described(a: Column) -> Column:
-        names = F.transform(a["params"], lambda p: p["accession"])
+    def sought(a: Column) -> Column:
         kind = F.try_element_at(F.filter(a["params"], lambda p: p["accession"].isin([f"MS:{t}" for t in R.ARRAYS])), F.lit(1))
+        return F.struct(a["binary"].alias("binary"), kind.alias("kind"), F.transform(a["params"], lambda p: p["accession"]).alias("names"))
+
+    def described(a: Column) -> Column:
+        kind, names = a["kind"], a["names"]
         own = F.when(kind["accession"] == f"MS:{R.ARRAY_NON_STANDARD}", F.coalesce(kind["value"]["s"], kind["value"]["i"].cast("string"), kind["value"]["d"].cast("string"), F.lit("non-standard"))).otherwise(kind["accession"])
         dtype = F.try_element_at(F.filter(names, lambda n: n.isin(list(TYPES))), F.lit(1))
         return F.struct(own.alias("name"), kind["unit_accession"].alias("unit"), a["binary"].alias("text"), dtype.alias("type"), F.array_contains(names, "MS:1000574").alias("packed"))
 
-    raw = raw.withColumn("held", F.filter(F.transform("held", described), lambda a: a["name"].isNotNull()))
+    raw = raw.withColumn("held", F.filter(F.transform(F.transform("held", sought), described), lambda a: a["name"].isNotNull()))
     raw = raw.withColumn("values", _values(F.transform("held", lambda a: F.struct(a["text"], a["type"], a["packed"]))))
     dtype = lambda t: F.when(t == "MS:1000521", "float32").when(t == "MS:1000519", "int32").otherwise("float64")
     raw = raw.withColumn("arrays", F.zip_with("held", "values", lambda a, v: F.struct(a["name"].alias("name"), a["unit"].alias("unit"), dtype(a["type"]).alias("dtype"), F.when(a["type"].isNotNull(), v).alias("values"))))

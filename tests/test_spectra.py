@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from mzframe import catalog
 from mzframe.functions import tokens as T
 from mzframe.functions import urls as U
 from mzframe.operators import params, peaks, tokens, validation
@@ -199,6 +200,24 @@ def test_groups_are_resolved_at_every_level_within_their_file(spark, tmp_path):
     assert "Exchange" not in plan and plan.count("ArrowEvalPython ") == 1
 
 
+def test_mzml_parameters_are_typed_in_steps(spark, tmp_path):
+    """In a lambda each mention of a part is worked out anew: two tests for a number for each list of parameters, no more."""
+    (tmp_path / "a.mzML").write_text(MZML)
+    plan = mzml.read_mzml(spark, str(tmp_path / "a.mzML"))._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("RLIKE") <= 20
+
+
+def test_mzml_files_of_the_scan_are_small(spark, tmp_path, monkeypatch):
+    """One task reads a file, so that their number must grow with the spectra, and rows are dealt before."""
+    made = []
+    monkeypatch.setattr(catalog, "_scratch", lambda _: made.append(tmp_path / f"s{len(made)}") or f"file://{made[-1]}")
+    monkeypatch.setattr(catalog, "MZML_SPECTRA", 20)
+    rows = catalog.mzml_scan(spark, "/root/testdata/sf0.001").collect()
+    files = list(made[0].glob("part-*"))
+    assert len(rows) > 1_000 and len({r["key"] for r in rows}) == len(rows)
+    assert len(files) >= len(rows) / 20 and max(f.read_text().count("<spectrum ") for f in files) <= 20
+
+
 def test_typed_values(spark):
     texts = ["2", "2.0", "1e3", "007", " 5 ", "x", "", "NaN", "5d", "2.5"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(params.typed_value(F.col("t")).alias("v"))

@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from mzframe import catalog
 from mzframe import registry as R
 from mzframe import schema as S
 from mzframe.functions import tokens as T
 from mzframe.functions import urls as U
-from mzframe.kernels import arrays, batches, cbor, columns
+from mzframe.kernels import arrays, batches, cbor, columns, document
 from mzframe.operators import tokens
 
+DATA = "/root/testdata/sf0.001"
 TEXT = st.text(max_size=5) | st.sampled_from(["t" * 23, "t" * 24, "é" * 200])
 VALUE = st.none() | st.fixed_dictionaries({"kind": st.sampled_from(["int", "float", "str", "null"]), "i": st.none() | st.integers(-(2**63), 2**63 - 1) | st.integers(-300, 300), "d": st.none() | st.floats() | st.floats(width=16), "s": st.none() | TEXT})
 UNIT = st.sampled_from([None, "UO:0000031", "UO:0000010", "MS:1000040", "X:1", "no"])
@@ -59,6 +61,30 @@ def test_documents_of_columns_are_those_of_rows(kinds, rows):
         columns.documents = keep
 
 
+@settings(max_examples=300, deadline=None)
+@given(META, st.sampled_from([0, 1, 2, 30, 300]), st.integers(0, 400), st.integers(0, 255))
+def test_documents_in_usual_form_are_read_as_any_other(kinds, meta, n, spot, byte):
+    token = batches.build_tokens(pa.array([spectrum(meta, n)], kinds[0]), kinds[1], U.MAGIC).to_pylist()[0]["token"]
+    if token is None:
+        return
+    raw = batches.payload(token.encode(), U.MAGIC.encode())
+    for doc in (raw, raw[:spot], raw + b"\0", raw[:spot] + bytes([byte]) + raw[spot + 1 :]):
+        if (got := document._usual_document(doc)) is not None:
+            assert repr(got) == repr(document._parsed(cbor.loads(doc), len(doc)))
+
+
+def test_documents_of_every_kind_of_metadata_need_no_other_reader(spark):
+    raws = [batches.payload(r[0].encode(), U.MAGIC.encode()) for r in tokens.encode(catalog.meta_spectra(spark, DATA)).select("token").collect()]
+    got = [document._usual_document(raw) for raw in raws]
+    assert got and got == [document._parsed(cbor.loads(raw), len(raw)) for raw in raws]
+
+
+def test_metadata_is_typed_once(spark):
+    """The number of a text had been matched 270 times in one expression."""
+    text = catalog.meta_spectra(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("RLIKE") <= 8
+
+
 def test_numbers_have_their_shortest_form():
     x = np.array([0.0, -0.0, 0.5, 1 / 3, 65_504.0, 65_505.0, 1e5, 3.4028234663852886e38, 1e39, 1e300, 5e-324, 6e-8, np.inf, -np.inf, np.nan])
     n = np.array([0, 23, 24, 255, 256, 65_535, 65_536, 2**32 - 1, 2**32, 2**63 - 1, -1, -24, -25, -256, -257, -(2**63)])

@@ -118,3 +118,15 @@ def test_explode_token_goes_batch_by_batch(spark):
     for bad in ("x", T.to_token(F.lit("plain text").cast("binary"))):
         with pytest.raises(Exception, match="wrong magic|trailing bytes|truncated|no map"):
             spark.range(1).select((F.lit(bad) if isinstance(bad, str) else bad).alias("token")).selectExpr("inline(token_peaks(token))").collect()
+
+
+def test_code_of_metadata_is_short_enough_to_be_compiled(spark, capsys):
+    """The JVM compiles no method of more than 8,000 bytes, and typing the texts in one stage had made one of 11,303."""
+    import re
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        catalog.meta_spectra(spark, DATA).explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out))) < 8_000

@@ -120,6 +120,18 @@ def test_explode_token_goes_batch_by_batch(spark):
             spark.range(1).select((F.lit(bad) if isinstance(bad, str) else bad).alias("token")).selectExpr("inline(token_peaks(token))").collect()
 
 
+def test_a_lossless_plan_asks_no_values(spark):
+    """Its entries had gone through three more lists of structs, each worked out element by element."""
+    from mzframe.plans.encoding import encoding_plan
+
+    rows = catalog.line_spectra(spark, DATA)
+    text = rows.select(encoding_plan(True))._jdf.queryExecution().optimizedPlan().toString().split("\n")[0]
+    assert "array_min" not in text
+    assert text.count("transform(") <= 4  # two of them make the extra arrays
+    plain, asked = (rows.select("id", encoding_plan(True, overrides).alias("p")) for overrides in (None, {"mz": "zlib"}))
+    assert plain.schema["p"].dataType == asked.schema["p"].dataType and plain.orderBy("id").collect() == asked.orderBy("id").collect()
+
+
 def test_code_of_metadata_is_short_enough_to_be_compiled(spark, capsys):
     """The JVM compiles no method of more than 8,000 bytes, and typing the texts in one stage had made one of 11,303."""
     import re
